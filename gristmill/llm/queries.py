@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .packed_ids import read_packed_ids, write_packed_ids
 from .packing import pack_sequences
+from .quality import quality_report
 
 
 def tokenizer_file(name: str) -> str:
@@ -26,6 +27,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(documents(spark, sf_dir))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
@@ -40,7 +45,7 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op7_source_mix, op8_packed_ids, op9_pack_sequences)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op7_source_mix, op8_packed_ids, op9_pack_sequences)}
 
 
 def oracle_sql() -> dict[str, str]:

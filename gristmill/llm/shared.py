@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import ship_package
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -35,6 +37,7 @@ class Workspace:
     """One run's folder below the shared root."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_package(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
