@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .neural_lm import score_documents
 from .packed_ids import read_packed_ids, write_packed_ids
 from .packing import pack_sequences
 from .quality import quality_report
@@ -44,8 +45,12 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=1, vocabulary=49_408)
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op7_source_mix, op8_packed_ids, op9_pack_sequences)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op7_source_mix, op8_packed_ids, op9_pack_sequences, op10_lm_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
