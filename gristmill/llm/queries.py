@@ -12,6 +12,7 @@ from .neural_lm import score_documents
 from .packed_ids import read_packed_ids, write_packed_ids
 from .packing import pack_sequences
 from .quality import quality_report
+from .repeats import remove_repeats
 
 
 def tokenizer_file(name: str) -> str:
@@ -32,6 +33,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(documents(spark, sf_dir))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
@@ -50,7 +55,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op7_source_mix, op8_packed_ids, op9_pack_sequences, op10_lm_scores)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op5_repeats, op7_source_mix, op8_packed_ids, op9_pack_sequences, op10_lm_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
