@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .jaccard import similar_components
 from .mixing import mix_sources
 from .neural_lm import score_documents
 from .packed_ids import read_packed_ids, write_packed_ids
@@ -33,6 +34,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(documents(spark, sf_dir))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(documents(spark, sf_dir))
+
+
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
@@ -55,7 +60,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op5_repeats, op7_source_mix, op8_packed_ids, op9_pack_sequences, op10_lm_scores)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op4_jaccard, op5_repeats, op7_source_mix, op8_packed_ids, op9_pack_sequences, op10_lm_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
