@@ -144,13 +144,13 @@ def _write(folder: str, tokenizer: str, end_id: int, bits: int):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = batch.column(1).cast(pa.binary())
-            for k in range(0, len(ids), 64):
+            for k in range(0, len(ids), 256):
                 if writer is None:
                     store.create_dir(path, recursive=True)
                     temporary = f"{name}.{task.taskAttemptId()}.part"
                     out = store.open_output_stream(temporary)
                     writer = ShardWriter(out, bits)
-                for doc_id, raw in zip(ids[k : k + 64], encode(texts[k : k + 64].to_pylist()), strict=True):
+                for doc_id, raw in zip(ids[k : k + 256], encode(texts[k : k + 256].to_pylist()), strict=True):
                     writer.add(doc_id, np.frombuffer(raw + end, "<u4"))
         if writer:
             writer.close()

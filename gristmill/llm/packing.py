@@ -31,12 +31,12 @@ def _encode(tokenizer: str, end_id: int, small: bool):
         encode, end = Encoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
-            for k in range(0, len(doc_ids), 64):
-                ids = [np.frombuffer(raw + end, "<u4") for raw in encode(texts[k : k + 64].to_pylist())]
+            for k in range(0, len(doc_ids), 256):
+                ids = [np.frombuffer(raw + end, "<u4") for raw in encode(texts[k : k + 256].to_pylist())]
                 n = np.array([len(x) for x in ids])
                 start = at + np.cumsum(n) - n
                 at += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(start), doc_ids[k : k + 64], pa.array(n), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(start), doc_ids[k : k + 256], pa.array(n), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], schema=schema)
 
     return run
 

@@ -1,8 +1,9 @@
 """Encoding with the tokenizers library, each distinct piece of text once.
 
-A text is cut before white space that follows something else. The pre-tokenisers in use never join a piece
-with what stands before such a cut, so the pieces' ids, joined, are the text's ids. Encoded whole are texts in
-which white space beyond ASCII could meet ASCII white space, and texts that spell out a special token.
+A text is cut where the pre-tokenisers in use always cut: before white space that follows something else, and,
+if all its letters are plain Latin ones, between a letter or digit and the punctuation after it. So the
+pieces' ids, joined, are the text's ids. Encoded whole are texts in which white space beyond ASCII could meet
+ASCII white space, and texts that spell out a special token.
 """
 
 from __future__ import annotations
@@ -12,12 +13,20 @@ import re
 
 import numpy as np
 
+#: Pieces with their leading white space: of any text, and of a text in Latin letters.
 PIECE = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+LATIN_PIECE = re.compile(rb"[\x20\x09-\x0D]*[A-Za-z0-9\x80-\xFF]+|[\x20\x09-\x0D]*[^\x20\x09-\x0DA-Za-z0-9\x80-\xFF]+[A-Za-z0-9\x80-\xFF]*|[\x20\x09-\x0D]+")
+#: The same without white space, for tokenizers that drop it.
+LATIN_WORD = re.compile(rb"[A-Za-z0-9\x80-\xFF]+|[^\x20\x09-\x0DA-Za-z0-9\x80-\xFF]+[A-Za-z0-9\x80-\xFF]*")
+NOT_LATIN = re.compile("[^\x00-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]")
 #: White space, and what some regular expressions count as such, beyond ASCII.
-WIDE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+WIDE = re.compile("[\x1C-\x1F\x85\xA0\u1680\u180E\u2000-\u200B\u2028\u2029\u202F\u205F\u3000\uFEFF]")
+CONTROL = re.compile(rb"[\x1C-\x1F]")
 #: Distinct pieces that a Python worker remembers, also from one task to the next; then it starts anew.
-REMEMBERED = 600_000
-#: Pieces encoded in one call, parted by a special token.
+REMEMBERED = 1_000_000
+#: A character that stands alone between pieces; texts that hold it are encoded whole.
+LONE = "\x01"
+#: Pieces encoded as one string, parted by a special token or, if white space is dropped, by LONE.
 TOGETHER = 200
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -34,6 +43,8 @@ class Encoder:
         self.drops_white = self.tokenizer.encode(" a\n", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
         special = {k: t.content for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.part, self.mark = max(special.items())
+        if self.drops_white and len(one := self.tokenizer.encode(LONE, add_special_tokens=False).ids) == 1:
+            self.part, self.mark = one[0], f"\n{LONE}\n"  # cheaper than a special token
         self.special = re.compile(b"|".join(re.escape(s.encode()) for s in special.values()), re.IGNORECASE)
 
     @classmethod
@@ -47,28 +58,39 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, pieces: list[bytes]) -> None:
-        for k in range(0, len(pieces), TOGETHER):
-            some = pieces[k : k + TOGETHER]
-            joined = self.mark.join(p.decode("utf-8", "replace") for p in some)
-            ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
-            at = [-1, *np.flatnonzero(ids == self.part).tolist(), len(ids)]
-            raw = ids.tobytes()
-            for p, a, b in zip(some, at, at[1:], strict=False):
-                self.known[p] = raw[4 * a + 4 : 4 * b]
+        groups = [pieces[k : k + TOGETHER] for k in range(0, len(pieces), TOGETHER)]
+        joined = [self.mark.join([p.decode("utf-8", "replace") for p in g]) for g in groups]
+        for some, got in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            ends = [*(4 * np.flatnonzero(ids == self.part)).tolist(), 4 * len(ids)]
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(some, ends, strict=True):
+                self.known[p] = raw[at:end]
+                at = end + 4
+
+    def _pieces(self, raw: bytes) -> list[bytes] | None:
+        """The pieces of a text, or None if it is to be encoded whole."""
+        plain = raw.isascii()
+        if LONE.encode() in raw or b"<|" in raw and self.special.search(raw):
+            return None
+        if plain and not CONTROL.search(raw):
+            return LATIN_WORD.findall(raw.lower()) if self.drops_white else LATIN_PIECE.findall(raw)
+        text = raw.decode("utf-8", "replace")
+        if WIDE.search(text):
+            return None
+        if NOT_LATIN.search(text):
+            return raw.split() if self.drops_white else PIECE.findall(raw)
+        return (LATIN_WORD if self.drops_white else LATIN_PIECE).findall(raw)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        out, known = [], self.known.get
-        for raw in texts:
-            plain = raw.isascii()
-            if self.special.search(raw) or (not plain or any(c in raw for c in b"\x1c\x1d\x1e\x1f")) and WIDE.search(raw.decode("utf-8", "replace")):
-                out.append(self._whole(raw.decode("utf-8", "replace")))
-                continue
-            pieces = ((raw.lower() if plain else raw).split()) if self.drops_white else PIECE.findall(raw)
-            ids = list(map(known, pieces))
-            if None in ids:
-                self._learn(list({p for p, i in zip(pieces, ids, strict=True) if i is None}))
-                ids = map(known, pieces)
-            out.append(b"".join(ids))
-        return out
+        cut = [self._pieces(raw) for raw in texts]
+        found = [list(map(self.known.get, pieces or ())) for pieces in cut]
+        lacking = [k for k, ids in enumerate(found) if None in ids]
+        new = {p for k in lacking for p, i in zip(cut[k], found[k], strict=True) if i is None}
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()  # what is found stays so
+        self._learn(list(new))
+        known = self.known
+        for k in lacking:
+            found[k] = [known[p] if i is None else i for p, i in zip(cut[k], found[k], strict=True)]
+        return [self._whole(raw.decode("utf-8", "replace")) if pieces is None else b"".join(ids) for raw, pieces, ids in zip(texts, cut, found, strict=True)]
