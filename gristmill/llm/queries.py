@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .jaccard import similar_components
+from .licenses import document_path, scan_licenses
+from .licenses import oracle_sql as licenses_sql
 from .mixing import mix_sources
 from .neural_lm import score_documents
 from .packed_ids import read_packed_ids, write_packed_ids
@@ -34,6 +36,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(documents(spark, sf_dir))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir), path=document_path())
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(documents(spark, sf_dir))
 
@@ -60,11 +66,11 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op4_jaccard, op5_repeats, op7_source_mix, op8_packed_ids, op9_pack_sequences, op10_lm_scores)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_licenses, op4_jaccard, op5_repeats, op7_source_mix, op8_packed_ids, op9_pack_sequences, op10_lm_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {**ORACLES, "op3_licenses": licenses_sql()}
 
 
 ORACLES = {
