@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import format_dialogues
 from .exact_dedup import exact_dedup
 from .jaccard import similar_components
 from .licenses import document_path, scan_licenses
@@ -48,6 +49,10 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op6_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_dialogues(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
@@ -66,7 +71,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_licenses, op4_jaccard, op5_repeats, op7_source_mix, op8_packed_ids, op9_pack_sequences, op10_lm_scores)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_licenses, op4_jaccard, op5_repeats, op6_chat_turns, op7_source_mix, op8_packed_ids, op9_pack_sequences, op10_lm_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
