@@ -41,10 +41,11 @@ def words_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Hashes, suffix classes and document numbers of the tokens of a slice, without the ends."""
     starts, ends, doc = word_bounds(buf, offs)
     h = span_hashes(buf, starts, ends, BYTE_LOWER).view(np.int64)
-    last = LOWER[buf[ends - 1]].astype(np.uint64) if len(ends) else np.zeros(0, np.uint64)
-    before = np.where(ends - starts > 1, LOWER[buf[ends - 2]] if len(ends) else 0, 0).astype(np.uint64)
-    third = np.where(ends - starts > 2, LOWER[buf[ends - 3]] if len(ends) else 0, 0).astype(np.uint64)
-    suffix = mix((third << np.uint64(16)) | (before << np.uint64(8)) | last) % np.uint64(SUFFIXES) if len(ends) else last
+    code = np.zeros(len(ends), np.uint64)  # the last three bytes, or as many as there are
+    for k in (1, 2, 3):
+        part = LOWER[buf[np.maximum(ends - k, 0)]].astype(np.uint64) << np.uint64(8 * k - 8)
+        code |= np.where(ends - starts >= k, part, np.uint64(0))
+    suffix = mix(code) % np.uint64(SUFFIXES)
     return h, suffix.astype(np.int16) + np.int16(FIRST_SUFFIX), doc
 
 
