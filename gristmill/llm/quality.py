@@ -230,7 +230,9 @@ def _score(model, payload: int):
             for first, last, buf, offs in text_slices(batch.column(payload)):
                 got = text_measures(buf, offs)
                 sizes = np.diff(offs)
-                lp = m.log_probabilities(gram_keys(buf, offs, m.order), np.repeat(codes_of[first:last], sizes))
+                coded = gram_keys(buf, offs, m.order) | np.repeat(codes_of[first:last] << np.uint64(48), sizes)
+                distinct, at = np.unique(coded, return_inverse=True)  # each is looked up once a slice
+                lp = m.log_probabilities(distinct & np.uint64((1 << 48) - 1), distinct >> np.uint64(48))[at]
                 got["log_ppl"] = -sums_by(lp, sizes) / np.maximum(got["real_words"], 1)
                 for k, v in got.items():
                     out.setdefault(k, []).append(v)
