@@ -156,3 +156,38 @@ def sums_by(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
     at = np.concatenate([[0], np.cumsum(counts)])
     return total[at[1:]] - total[at[:-1]]
+
+
+def release() -> None:
+    """Give memory that this worker no longer uses back to the system: a worker outlives its task."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def batchwise(run):
+    """A function of record batches that releases memory at its task's end."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def groupwise(run):
+    """A function of one group's table that releases memory at its end."""
+
+    def wrapped(table):
+        try:
+            return run(table)
+        finally:
+            release()
+
+    return wrapped

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import batchwise
 from .shared import Workspace
 
 ROLES = ("system", "user", "assistant")
@@ -123,7 +124,7 @@ def _count(batches):
 
 def train_roles(labelled: DataFrame, turns_col: str = "turns") -> RoleModel:
     """labelled: a row a transcript, with an array of structs role, text. All rows count."""
-    counts = labelled.select(turns_col).mapInArrow(_count, "table int, state int, value int, n long").groupBy("table", "state", "value").agg(F.sum("n").alias("n"))
+    counts = labelled.select(turns_col).mapInArrow(batchwise(_count), "table int, state int, value int, n long").groupBy("table", "state", "value").agg(F.sum("n").alias("n"))
     return RoleModel({(r.table, r.state, r.value): r.n for r in counts.collect()})  # N_STATES * (N_STATES + sum(KINDS)) rows at most
 
 
@@ -168,7 +169,7 @@ def format_transcripts(transcripts: DataFrame, model: RoleModel, keys: list[str]
     rows = transcripts.select(*keys, F.col(text_col).alias("_transcript"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     made = "turn_no long, role string, text string, n_lines long, rendered string"
-    return rows.mapInArrow(_parse(spark.sparkContext.broadcast(model)), f"{fields}, {made}")
+    return rows.mapInArrow(batchwise(_parse(spark.sparkContext.broadcast(model))), f"{fields}, {made}")
 
 
 #: Ways in which speakers are marked in the transcripts that the query makes of the dialogues.

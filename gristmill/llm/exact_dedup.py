@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import batchwise
 from .shared import Workspace, partitions
 
 WHITE = b" \t\n\x0b\x0c\r"
@@ -150,7 +151,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     work, n = Workspace(spark, "exact"), partitions(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.char_length(text).cast("long").alias("n_cp"))
-    entries = work.write(rows.mapInArrow(_entries, ENTRY), "entries")
+    entries = work.write(rows.mapInArrow(batchwise(_entries), ENTRY), "entries")
 
     prefix = F.shiftrightunsigned("h", 64 - MAX_DEPTH)
     counts = np.zeros(1 << MAX_DEPTH, np.int64)
@@ -165,7 +166,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owned = F.broadcast(table.select("slot", "owner"))  # 2**MAX_DEPTH rows at most
     dealt = entries.where("kind > 0").select("h", "sha", "doc_row", "doc_id", "n_cp", "size", "body", slot.alias("slot"))
     dealt = dealt.join(owned, "slot").repartition(n, "owner").sortWithinPartitions("owner", "h").drop("slot", "owner")
-    index = work.write(dealt.mapInArrow(_chains(directory.slots, depth), INDEX), "index")
+    index = work.write(dealt.mapInArrow(batchwise(_chains(directory.slots, depth)), INDEX), "index")
 
     found = entries.where("kind = 0").select("h", "sha", "doc_id", "doc_row", "n_cp").join(index, ["h", "sha"])
     return found.select(

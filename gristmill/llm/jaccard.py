@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BYTE_LOWER, mix, shingle_sets, span_hashes, sums_by, text_slices, word_bounds
+from .blocks import BYTE_LOWER, batchwise, groupwise, mix, shingle_sets, span_hashes, sums_by, text_slices, word_bounds
 from .shared import Workspace, partitions
 from .signature_tree import SignatureTree, bitmap_bits
 
@@ -35,7 +35,11 @@ WIDTH = 5
 #: Similarity of a link, as a fraction.
 SHARE = (75, 100)
 #: Shingles a bucket holds; classes a tree holds; pivots of a cluster that is dealt over blocks.
-BUCKET, CLUSTER, PIVOTS = 2_000_000, 2048, 32
+BUCKET, CLUSTER, PIVOTS = 4_000_000, 2048, 32
+#: Shingles that a task gathers before it sends them.
+HELD = 1_000_000
+#: A class's key: 96 bits of its shingles' hashes.
+KEY = np.dtype([("a", "<u8"), ("b", "<u4")])
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -45,9 +49,9 @@ def _sets(column, width):
         starts, ends, doc = word_bounds(buf, offs)
         words = span_hashes(buf, starts, ends, BYTE_LOWER)
         h, counts = shingle_sets(words, np.bincount(doc, minlength=last - first), width)
-        key = np.empty((last - first, 2), np.uint64)
-        key[:, 0] = mix(sums_by(h, counts) + counts.astype(np.uint64)) if len(counts) else 0
-        key[:, 1] = mix(sums_by(mix(h + np.uint64(77)), counts))
+        key = np.empty(last - first, KEY)
+        key["a"] = mix(sums_by(h, counts) + counts.astype(np.uint64))
+        key["b"] = mix(sums_by(mix(h + np.uint64(77)), counts)) & np.uint64(0xFFFFFFFF)
         yield first, last, h, counts, key
 
 
@@ -58,78 +62,113 @@ def _heads(width):
         for batch in batches:
             for first, last, _, counts, key in _sets(batch.column(1), width):
                 raw = key.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array(counts), pa.array([raw[k : k + 16] for k in range(0, len(raw), 16)], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array(counts), pa.array([raw[k : k + 12] for k in range(0, len(raw), 12)], pa.binary())], schema=schema)
 
     return run
 
 
+def _fold(key: np.ndarray) -> np.ndarray:
+    return key["a"] ^ mix(key["b"].astype(np.uint64) + np.uint64(1))
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    change = np.zeros(len(columns[0]), bool)
+    change[0] = True
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(change)
+
+
+def _blobs(to: np.ndarray, of: np.ndarray, key: np.ndarray, size: np.ndarray, *values: np.ndarray) -> list[tuple]:
+    """Rows (to; keys, sizes and counts of its classes; their values), of entries sorted by `to`, then `of`."""
+    edge = _starts(to, of)
+    count, at = np.diff(np.append(edge, len(to))).astype(np.uint32), to[edge]
+    cut = np.append(_starts(at), len(at))
+    spot = np.append(edge, len(to))[cut]
+    return [(int(at[i]), key[of[edge[i:j]]].tobytes(), size[of[edge[i:j]]].astype(np.uint32).tobytes(), count[i:j].tobytes(), *(v[x:y].tobytes() for v in values)) for i, j, x, y in zip(cut, cut[1:], spot, spot[1:], strict=False)]
+
+
 def _send(width: int, n_buckets: int):
-    """Rows (bucket, classes: keys of 16 bytes, sizes, counts here, shingles)."""
-    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("classes", "sizes", "counts", "shingles"))])
+    """Rows (bucket; keys, sizes and counts here of classes; the lower 48 bits of their shingles, in two parts)."""
+    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("classes", "sizes", "counts", "low", "high"))])
+
+    def send(held):
+        h, counts, key = (np.concatenate(x) for x in zip(*held, strict=True))
+        doc = np.repeat(np.arange(len(counts)), counts)
+        _, first, of = np.unique(_fold(key), return_index=True, return_inverse=True)
+        mine = (first[of] == np.arange(len(of)))[doc]  # one document of each class
+        h, doc = h[mine], doc[mine]
+        bucket = (((h >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
+        by = np.argsort(bucket * len(counts) + doc, kind="stable")
+        h, doc, bucket = h[by], doc[by], bucket[by]
+        rows = _blobs(bucket, doc, key, counts, h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint16))
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t.type) for c, t in enumerate(schema)], schema=schema)
 
     def run(batches):
         for batch in batches:
-            held = [(h, counts, key) for _, _, h, counts, key in _sets(batch.column(1), width)]
-            if not held:
-                continue
-            h, counts, key = (np.concatenate(x) for x in zip(*held, strict=True))
-            doc = np.repeat(np.arange(len(counts)), counts)
-            _, first, of = np.unique(key[:, 0] ^ mix(key[:, 1]), return_index=True, return_inverse=True)
-            mine = (first[of] == np.arange(len(of)))[doc]  # one document of each class
-            h, doc = h[mine], doc[mine]
-            bucket = (((h >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
-            by = np.argsort(bucket * len(counts) + doc, kind="stable")
-            h, doc, bucket = h[by], doc[by], bucket[by]
-            if not len(h):
-                continue
-            edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])]))
-            here, of = np.diff(np.append(edge, len(h))).astype(np.uint32), bucket[edge]
-            cut = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
-            spot = np.append(edge, len(h))[cut]
-            rows = [(int(of[i]), key[doc[edge[i:j]]].tobytes(), counts[doc[edge[i:j]]].astype(np.uint32).tobytes(), here[i:j].tobytes(), h[x:y].tobytes()) for i, j, x, y in zip(cut, cut[1:], spot, spot[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            held, weight = [], 0
+            for _, last, h, counts, key in _sets(batch.column(1), width):
+                held.append((h, counts, key))
+                weight += len(h)
+                if weight >= HELD or last == batch.num_rows:
+                    yield send(held)
+                    held, weight = [], 0
+
+    return run
+
+
+def _shared(n_groups: int):
+    """One bucket: to each class's group, its shingles that another class has too, as (classes that have it, up to 65535) << 48 | lower bits."""
+    schema = pa.schema([("grp", pa.int32()), *((c, pa.binary()) for c in ("classes", "sizes", "counts", "tokens"))])
+    kinds = (KEY, np.uint32, np.uint32, np.uint32, np.uint16)
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [[np.frombuffer(x, k) for x, k in zip(r, kinds, strict=True)] for r in zip(*(table.column(c).to_pylist() for c in ("classes", "sizes", "counts", "low", "high")), strict=True)]
+        key, size, here, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+        _, first, of = np.unique(_fold(key), return_index=True, return_inverse=True)
+        of = np.repeat(of, here)
+        by = np.lexsort((of, h))
+        h, of = h[by], of[by]
+        keep = _starts(h, of)
+        h, of = h[keep], of[keep]
+        have = np.diff(np.append(_starts(h), len(h)))
+        have = np.repeat(have, have)
+        some = have > 1
+        h, of, have = h[some], first[of[some]], have[some]
+        tokens = (np.minimum(have, 65535).astype(np.uint64) << np.uint64(48)) | h
+        grp = (key["a"][of] % np.uint64(n_groups)).astype(np.int64)
+        by = np.lexsort((of, grp))
+        rows = _blobs(grp[by], of[by], key, size, tokens[by])
+        return pa.Table.from_arrays([pa.array([r[c] for r in rows], t.type) for c, t in enumerate(schema)], schema=schema)
 
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """One bucket: for each class its shingles that another class has too, as (classes that have it, up to 65535) << 48 | hash."""
-    schema = pa.schema([("cls", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary())])
-    kinds = (np.uint64, np.uint32, np.uint32, np.uint64)
-    parts = [[np.frombuffer(x, k) for x, k in zip(r, kinds, strict=True)] for r in zip(*(table.column(c).to_pylist() for c in ("classes", "sizes", "counts", "shingles")), strict=True)]
-    key, size, here, h = (np.concatenate(x) for x in zip(*parts, strict=True))
-    key = key.reshape(-1, 2)
-    _, first, of = np.unique(key[:, 0] ^ mix(key[:, 1]), return_index=True, return_inverse=True)
-    of = np.repeat(of, here)
-    by = np.lexsort((of, h))
-    h, of = h[by], of[by]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])
-    h, of = h[new], of[new]
-    edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    have = np.diff(np.append(edge, len(h)))
-    have = np.repeat(have, have)
-    h, of, have = h[have > 1], of[have > 1], have[have > 1]
-    tokens = (np.minimum(have, 65535).astype(np.uint64) << np.uint64(48)) | (h & LOW48)
-    by = np.argsort(of, kind="stable")
-    tokens, of = tokens[by], of[by]
-    edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
-    at, mine = np.append(edge, len(of)), first[of[edge]]
-    return pa.Table.from_arrays([pa.array([k.tobytes() for k in key[mine]], pa.binary()), pa.array(size[mine].astype(np.int64)), pa.array([tokens[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())], schema=schema)
-
-
-def _prefixes(share):
-    """Sort a class's shared shingles by rarity and cut the prefix within which linked classes must meet."""
+def _gather(share):
+    """One group of classes: those enough of whose shingles are shared, with these by rarity and the prefix within which linked classes must meet."""
     schema = pa.schema([("cls", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))])
-    p, q = share
+    kinds, (p, q) = (KEY, np.uint32, np.uint32, np.uint64), share
 
-    def run(batches):
-        for batch in batches:
-            tokens, prefix = [], []
-            for blobs, n in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                t = np.sort(np.frombuffer(b"".join(blobs), np.uint64))
-                tokens.append(t.tobytes())
-                prefix.append(t[: len(t) + 1 + (-p * n) // q].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], schema=schema)
+    def run(table: pa.Table) -> pa.Table:
+        parts = [[np.frombuffer(x, k) for x, k in zip(r, kinds, strict=True)] for r in zip(*(table.column(c).to_pylist() for c in ("classes", "sizes", "counts", "tokens")), strict=True)]
+        key, size, here, tokens = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, first, of = np.unique(_fold(key), return_index=True, return_inverse=True)
+        n, got = size[first].astype(np.int64), np.bincount(of, here, len(first)).astype(np.int64)
+        of = np.repeat(of, here)
+        some = (q * got >= p * n)[of]
+        of, tokens = of[some], tokens[some]
+        by = np.lexsort((tokens, of))
+        of, tokens = of[by], tokens[by]
+        edge = np.append(_starts(of), len(of))
+        out = []
+        for i, j in zip(edge, edge[1:], strict=False):
+            c = of[i]
+            out.append((key[first[c]].tobytes(), int(n[c]), tokens[i:j].tobytes(), tokens[i : j + 1 + (-p * int(n[c])) // q].view(np.int64)))
+        return pa.Table.from_arrays([pa.array([r[c] for r in out], t.type) for c, t in enumerate(schema)], schema=schema)
 
     return run
 
@@ -229,15 +268,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "jaccard")
     n, (p, q) = partitions(spark), share
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    heads = work.write(rows.mapInArrow(_heads(width), "doc_id long, n_shingles long, cls binary"), "heads")
+    heads = work.write(rows.mapInArrow(batchwise(_heads(width)), "doc_id long, n_shingles long, cls binary"), "heads")
     total = heads.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     n_buckets = max(n, int(total) // BUCKET)
 
-    sent = rows.mapInArrow(_send(width, n_buckets), "bucket int, classes binary, sizes binary, counts binary, shingles binary")
-    shared = work.write(sent.groupBy("bucket").applyInArrow(_shared, "cls binary, n long, tokens binary"), "shared")
-    enough = F.sum(F.octet_length("tokens")).cast("long") * q >= F.first("n") * 8 * p
-    gathered = shared.groupBy("cls").agg(F.first("n").alias("n"), F.collect_list("tokens").alias("blobs"), enough.alias("enough")).where("enough").select("cls", "n", "blobs")
-    active = work.write(gathered.mapInArrow(_prefixes(share), "cls binary, n long, tokens binary, prefix array<long>"), "active")
+    sent = rows.mapInArrow(batchwise(_send(width, n_buckets)), "bucket int, classes binary, sizes binary, counts binary, low binary, high binary")
+    shared = sent.groupBy("bucket").applyInArrow(groupwise(_shared(n_buckets)), "grp int, classes binary, sizes binary, counts binary, tokens binary")
+    active = work.write(shared.groupBy("grp").applyInArrow(groupwise(_gather(share)), "cls binary, n long, tokens binary, prefix array<long>"), "active")
 
     # Candidate clusters: classes that meet in a prefix, each with the token's least class.
     node = F.xxhash64("cls")
@@ -263,18 +300,18 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pivot = pivot.withColumns({"block": F.col("cluster"), "own": F.pmod("draw", "salts").cast("int"), "salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1))}).where("own <> salt").drop("own")
     columns = ["dealt", "block", "salt", "cluster", "cls", "n", "tokens", "largest"]
     grouped = own.select(columns).union(pivot.select(columns)).groupBy("dealt", "block", "salt")
-    local = work.write(grouped.applyInArrow(_trees(share), "cluster long, salt int, cls binary, root binary, map binary, least long, most long, over long"), "local")
+    local = work.write(grouped.applyInArrow(groupwise(_trees(share)), "cluster long, salt int, cls binary, root binary, map binary, least long, most long, over long"), "local")
 
     links = local.select(F.col("cls").alias("a"), F.col("root").alias("b")).where("a <> b")
     nodes = local.where("map is not null")
     if nodes.take(1):
         comp = components(work, links, "comps")
         part = nodes.join(comp, nodes.root == comp.node, "left").select("cluster", "salt", nodes.root, "map", "least", "most", "over", F.coalesce(comp.root, nodes.root).alias("comp"))
-        pairs = work.write(part.groupBy("cluster").applyInArrow(_open_pairs(share), "cluster long, pair long, side int, salt int, root binary"), "pairs")
+        pairs = work.write(part.groupBy("cluster").applyInArrow(groupwise(_open_pairs(share)), "cluster long, pair long, side int, salt int, root binary"), "pairs")
         if pairs.take(1):
             inside = local.where("map is not null or root <> cls").select("cluster", "salt", "cls", "root")
             sets = pairs.join(inside, ["cluster", "salt", "root"]).join(members, ["cluster", "cls"])
-            more = sets.select("cluster", "pair", "side", "root", "n", "tokens").groupBy("cluster", "pair").applyInArrow(_compare(share), "a binary, b binary")
+            more = sets.select("cluster", "pair", "side", "root", "n", "tokens").groupBy("cluster", "pair").applyInArrow(groupwise(_compare(share)), "a binary, b binary")
             links = work.write(links.union(more), "links")
             comp = components(work, links, "comps-all")
     else:
@@ -284,7 +321,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labelled = least.join(comp, least.cls == comp.node, "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     tops = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = work.write(labelled.join(tops, "root").select("cls", "component_id"), "labels")
-    for name in ("shared", "meet", "active", "members"):
+    for name in ("meet", "active", "members"):
         work.drop(name)
     full = heads.where("n_shingles > 0").join(classes, "cls").select("doc_id", "n_shingles", "component_id")
     return full.union(heads.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BYTE_LOWER, LOWER, mix, span_hashes, sums_by, text_slices, word_bounds
+from .blocks import BYTE_LOWER, LOWER, batchwise, mix, span_hashes, sums_by, text_slices, word_bounds
 from .shared import Workspace
 
 #: Classes of the model, those of suffixes among them; the tokens whose counts are broadcast.
@@ -219,7 +219,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     train = docs.where(~held).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    counted = train.mapInArrow(_count_words, "h long, suffix short, n long").groupBy("h", "suffix").agg(F.sum("n").alias("n"))
+    counted = train.mapInArrow(batchwise(_count_words), "h long, suffix short, n long").groupBy("h", "suffix").agg(F.sum("n").alias("n"))
     counts = work.write(counted, "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()  # FREQUENT rows
@@ -227,7 +227,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     vocabulary = spark.sparkContext.broadcast(v)
 
     pairs = np.zeros(CLASSES * CLASSES, np.int64)
-    table = train.mapInArrow(_count_pairs(vocabulary), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # CLASSES ** 2 rows at most
+    table = train.mapInArrow(batchwise(_count_pairs(vocabulary)), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # CLASSES ** 2 rows at most
     pairs[table.column("pair").to_numpy()] = table.column("n").to_numpy()
     log_p = train_log_bilinear(pairs.reshape(CLASSES, CLASSES))
 
@@ -243,7 +243,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in_class = np.log10(mass)
     state = spark.sparkContext.broadcast((v, log_p, in_class))
 
-    partial = work.write(rows.mapInArrow(_score(state), "doc_row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>"), "partial")
+    partial = work.write(rows.mapInArrow(batchwise(_score(state)), "doc_row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>"), "partial")
     rare = partial.select("doc_row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("doc_row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     found = rare.join(counts.select("h", "n"), "h", "left")
     log_count = F.col("times") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.1)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import SPACE, mix, span_hashes, sums_by, text_slices, window_hashes, word_bounds
+from .blocks import SPACE, batchwise, mix, span_hashes, sums_by, text_slices, window_hashes, word_bounds
 from .shared import Workspace
 
 ORDER = 5
@@ -165,7 +165,7 @@ def train_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """Counts over all documents; at most MAX_TYPES rows come to the driver."""
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     work = Workspace(docs.sparkSession, "grams")
-    counted = rows.mapInArrow(_count(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(batchwise(_count(order)), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = work.write(counted, "counts")
     while counts.count() > MAX_TYPES and order > 1:
         order -= 1
@@ -279,7 +279,7 @@ def quality_scores(docs: DataFrame, keep: list[str], text_col: str = "text", lan
     lang = F.col(lang_col).cast("string")
     rows = docs.select(*keep, lang.alias("_lang"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), lang.alias("_lang2"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
-    scored = work.write(rows.mapInArrow(_score(model, len(keep) + 1), f"{fields}, {METRICS}"), "scored")
+    scored = work.write(rows.mapInArrow(batchwise(_score(model, len(keep) + 1)), f"{fields}, {METRICS}"), "scored")
     bands = _bands(scored)
     limits = spark.createDataFrame(bands, "_band string, _low double, _high double")
     limits = F.broadcast(limits) if len(bands) <= 10_000 else limits

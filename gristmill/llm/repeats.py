@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import rolling_hashes, span_hashes, text_slices
+from .blocks import batchwise, groupwise, rolling_hashes, span_hashes, text_slices
 from .shared import Workspace, partitions
 from .suffix_sort import common_prefixes, sort_suffixes
 
 LENGTH, GRAM = 50, 20
 #: Text of contexts that is sorted at once, minimizers a bucket, starts whose minimizers are found at once.
 SORTED, BUCKET, STRETCH = 1 << 20, 2_000_000, 1 << 22
+#: Bytes of text, or of contexts, that a task gathers before it sends them; text whose contexts share a bucket.
+HELD, CONTEXT_BUCKET = 1 << 23, 1 << 22
 LAST = (1 << 63) - 1
 LOW32, LOW24 = np.uint64((1 << 32) - 1), np.uint64((1 << 24) - 1)
 
@@ -84,26 +86,30 @@ def _send_minimizers(n_buckets: int, length: int):
 
     def run(batches):
         for batch in batches:
-            key, held = batch.column(0).to_numpy(), []
-            for first, _, buf, offs in text_slices(batch.column(1)):
+            key, held, weight = batch.column(0).to_numpy(), [], 0
+            for first, last, buf, offs in text_slices(batch.column(1)):
                 _, _, doc, h = runs(buf, offs, length)
                 held.append((bucket_of(h, n_buckets), doc + first, (h & LOW32).astype(np.uint32)))
-            if not held:
-                continue
-            b, doc, rest = (np.concatenate(x) for x in zip(*held, strict=True))
-            by = np.lexsort((rest, doc, b))
-            b, doc, rest = b[by], doc[by], rest[by]
-            if not len(b):
-                continue
-            keep = np.ones(len(b), bool)
-            keep[1:] = (b[1:] != b[:-1]) | (doc[1:] != doc[:-1]) | (rest[1:] != rest[:-1])
-            b, doc, rest = b[keep], doc[keep], rest[keep]
-            edge = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (doc[1:] != doc[:-1])]))
-            sizes, texts, of = np.diff(np.append(edge, len(b))).astype(np.uint32), key[doc[edge]], b[edge]
-            cut = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
-            spot = np.append(edge, len(b))[cut]
-            rows = [(int(of[i]), texts[i:j].tobytes(), sizes[i:j].tobytes(), rest[x:y].tobytes()) for i, j, x, y in zip(cut, cut[1:], spot, spot[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                weight += len(buf)
+                if weight >= HELD or last == batch.num_rows:
+                    yield from rows(key, held)
+                    held, weight = [], 0
+
+    def rows(key, held):
+        b, doc, rest = (np.concatenate(x) for x in zip(*held, strict=True))
+        by = np.lexsort((rest, doc, b))
+        b, doc, rest = b[by], doc[by], rest[by]
+        if not len(b):
+            return
+        keep = np.ones(len(b), bool)
+        keep[1:] = (b[1:] != b[:-1]) | (doc[1:] != doc[:-1]) | (rest[1:] != rest[:-1])
+        b, doc, rest = b[keep], doc[keep], rest[keep]
+        edge = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (doc[1:] != doc[:-1])]))
+        sizes, texts, of = np.diff(np.append(edge, len(b))).astype(np.uint32), key[doc[edge]], b[edge]
+        cut = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
+        spot = np.append(edge, len(b))[cut]
+        rows = [(int(of[i]), texts[i:j].tobytes(), sizes[i:j].tobytes(), rest[x:y].tobytes()) for i, j, x, y in zip(cut, cut[1:], spot, spot[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
@@ -147,7 +153,7 @@ def _keys(buckets: list, blobs: list) -> np.ndarray:
     return np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(buckets, blobs, strict=True)])
 
 
-def _send_contexts(n_buckets: int, length: int):
+def _send_contexts(n_buckets: int, n_contexts: int, length: int):
     """Rows (bucket; per context: minimizer, hash, strings, bytes; per context and document: context's place, order, key)."""
     names = ("minimizers", "hashes", "counts", "bytes", "places", "orders", "texts")
     schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in names)])
@@ -156,7 +162,7 @@ def _send_contexts(n_buckets: int, length: int):
         for batch in batches:
             key, order = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             wanted = [_keys(a, b) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-            held = []
+            held, weight = [], 0
             for first, last, buf, offs in text_slices(batch.column(2)):
                 start, count, doc, h = _marked_runs(buf, offs, length, (n_buckets, wanted[first:last]))
                 if len(start):
@@ -166,41 +172,44 @@ def _send_contexts(n_buckets: int, length: int):
                     size = count[own] + length - 1
                     body = buf[np.repeat(start[own] - _runs_by_size(size)[:-1], size) + np.arange(size.sum())]
                     held.append((h[own], u, count[own].astype(np.uint8), body, pair >> 32, (pair & 0xFFFFFFFF) + first))
-            if not held:
-                continue
-            h, c, count = (np.concatenate([x[k] for x in held]) for k in range(3))
-            body = np.concatenate([x[3] for x in held])
-            lead = _runs_by_size(np.array([len(x[0]) for x in held]))
-            place, doc = np.concatenate([x[4] + d for x, d in zip(held, lead, strict=False)]), np.concatenate([x[5] for x in held])
-            bucket, size = bucket_of(h, n_buckets), count.astype(np.int64) + length - 1
-            begin = _runs_by_size(size)
-            rows = []
-            by = np.argsort(bucket, kind="stable")
-            new_place = np.empty(len(by), np.int64)
-            edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[by][1:] != bucket[by][:-1]])), len(by))
-            pair_by = np.argsort(bucket[place], kind="stable")
-            pair_at = np.searchsorted(bucket[place][pair_by], np.arange(n_buckets + 1))
-            for i, j in zip(edges, edges[1:], strict=False):
-                mine, b = by[i:j], int(bucket[by[i]])
-                new_place[mine] = np.arange(len(mine))
-                pairs = pair_by[pair_at[b] : pair_at[b + 1]]
-                texts = body[np.repeat(begin[mine] - _runs_by_size(size[mine])[:-1], size[mine]) + np.arange(size[mine].sum())]
-                rows.append((b, h[mine].tobytes(), c[mine].tobytes(), count[mine].tobytes(), texts.tobytes(), new_place[place[pairs]].astype(np.uint32).tobytes(), order[doc[pairs]].tobytes(), key[doc[pairs]].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    weight += len(body)
+                if held and (weight >= HELD or last == batch.num_rows):
+                    yield send(key, order, held)
+                    held, weight = [], 0
+
+    def send(key, order, held):
+        h, c, count = (np.concatenate([x[k] for x in held]) for k in range(3))
+        body = np.concatenate([x[3] for x in held])
+        lead = _runs_by_size(np.array([len(x[0]) for x in held]))
+        place, doc = np.concatenate([x[4] + d for x, d in zip(held, lead, strict=False)]), np.concatenate([x[5] for x in held])
+        bucket, size = bucket_of(h, n_contexts), count.astype(np.int64) + length - 1
+        begin = _runs_by_size(size)
+        rows = []
+        by = np.argsort(bucket, kind="stable")
+        new_place = np.empty(len(by), np.int64)
+        edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[by][1:] != bucket[by][:-1]])), len(by))
+        pair_by = np.argsort(bucket[place], kind="stable")
+        pair_at = np.searchsorted(bucket[place][pair_by], np.arange(n_contexts + 1))
+        for i, j in zip(edges, edges[1:], strict=False):
+            mine, b = by[i:j], int(bucket[by[i]])
+            new_place[mine] = np.arange(len(mine))
+            pairs = pair_by[pair_at[b] : pair_at[b + 1]]
+            texts = body[np.repeat(begin[mine] - _runs_by_size(size[mine])[:-1], size[mine]) + np.arange(size[mine].sum())]
+            rows.append((b, h[mine].tobytes(), c[mine].tobytes(), count[mine].tobytes(), texts.tobytes(), new_place[place[pairs]].astype(np.uint32).tobytes(), order[doc[pairs]].tobytes(), key[doc[pairs]].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
 # ---------------------------------------------------------------- step 3: equal strings
-def least_orders(h, count, body, order, length: int) -> np.ndarray:
+def least_orders(h, count, body, begin, order, length: int) -> np.ndarray:
     """For each distinct context and start the least order of a document with the same string: a row of 32 a context.
 
-    h: minimizers, count: starts, body: the contexts' bytes in turn, order: least order of each context's documents.
+    h: minimizers, count: starts, begin: where each context begins in body, order: least order of its documents.
     """
     out = np.repeat(order[:, None], 32, 1)
     by = np.argsort(h, kind="stable")
     size = count + length - 1
-    begin = _runs_by_size(size)
     group = np.concatenate([[0], np.cumsum(h[by][1:] != h[by][:-1])])
     several = np.bincount(group)[group] > 1  # a context alone has strings of its own only
     by, group = by[several], group[several]
@@ -242,14 +251,11 @@ def _resolve(length: int):
         # Distinct contexts, by both hashes.
         both = c ^ (h * np.uint64(0x9E3779B97F4A7C15))
         _, first, same = np.unique(both, return_index=True, return_inverse=True)
-        size = count + length - 1
-        begin = _runs_by_size(size)[:-1][first]
-        size = size[first]
-        body = body[np.repeat(begin - _runs_by_size(size)[:-1], size) + np.arange(size.sum())]
+        begin = _runs_by_size(count + length - 1)[:-1][first]
         of = same[place]
         least = np.full(len(first), LAST)
         np.minimum.at(least, of, order)
-        found = least_orders(h[first], count[first], body, least, length)
+        found = least_orders(h[first], count[first], body, begin, least, length)
         by = np.lexsort((of, order, text))
         of, order, text = of[by], order[by], text[by]
         bits = (found[of] < order[:, None]) & (np.arange(32) < count[first][of][:, None])
@@ -316,19 +322,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = heads.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     n_buckets = max(n, int(total) // 15 // BUCKET)
 
-    sent = rows.select("text_key", "text").mapInArrow(_send_minimizers(n_buckets, length), "bucket int, texts binary, counts binary, rest binary")
-    repeated = work.write(sent.groupBy("bucket").applyInArrow(_repeated, "text_key long, bucket int, rest binary"), "repeated")
+    sent = rows.select("text_key", "text").mapInArrow(batchwise(_send_minimizers(n_buckets, length)), "bucket int, texts binary, counts binary, rest binary")
+    repeated = work.write(sent.groupBy("bucket").applyInArrow(groupwise(_repeated), "text_key long, bucket int, rest binary"), "repeated")
     # The first document of each distinct text stands for all.
     first = work.write(heads.groupBy("sha", "text_key", "n_bytes").agg(F.min("ord").alias("least")), "first")
     marked = repeated.groupBy("text_key").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("rest").alias("rests"))
     todo = first.join(marked, "text_key").select("text_key", F.col("least").alias("ord"), "sha", "buckets", "rests")
     found = rows.join(todo, ["ord", "text_key", "sha"]).select("text_key", "ord", "text", "buckets", "rests")
     found = work.write(found, "marked")
-    contexts = found.mapInArrow(_send_contexts(n_buckets, length), "bucket int, minimizers binary, hashes binary, counts binary, bytes binary, places binary, orders binary, texts binary")
-    marks = work.write(contexts.groupBy("bucket").applyInArrow(_resolve(length), "text_key long, ord long, hashes binary, marks binary"), "marks")
+    text_size = found.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_contexts = max(n, int(text_size) // CONTEXT_BUCKET)
+    contexts = found.mapInArrow(batchwise(_send_contexts(n_buckets, n_contexts, length)), "bucket int, minimizers binary, hashes binary, counts binary, bytes binary, places binary, orders binary, texts binary")
+    marks = work.write(contexts.groupBy("bucket").applyInArrow(groupwise(_resolve(length)), "text_key long, ord long, hashes binary, marks binary"), "marks")
     per_doc = marks.groupBy("text_key", "ord").agg(F.collect_list("hashes").alias("hashes"), F.collect_list("marks").alias("marks"))
     cut = found.select("text_key", "ord", "text").join(per_doc, ["text_key", "ord"]).select("text_key", "ord", "text", "hashes", "marks")
-    cut = work.write(cut.mapInArrow(_cut(n_buckets, length), "text_key long, ord long, n_removed long, n_spans long, kept_sha string").distinct(), "cut")
+    cut = work.write(cut.mapInArrow(batchwise(_cut(n_buckets, length)), "text_key long, ord long, n_removed long, n_spans long, kept_sha string").distinct(), "cut")
     for name in ("repeated", "marked", "marks"):
         work.drop(name)
 

@@ -388,9 +388,13 @@ def test_queries_are_registered():
     assert "pipeline" in e.queries()
 
 
-def test_pipeline(spark, docs, rows, tmp_path):
+def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
+    from conftest import SCHEMA, corpus
 
+    rows = [r for r in corpus(7, 200) if r[1] is None or len(r[1]) < 10_000]
+    rows += [(1000 + r[0], f"{r[1]} {r[1][::-1]}" * 2, *r[2:]) for r in rows if r[1] and len(r[1]) > 900]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got, kept = cp.run(spark, str(tmp_path)).collect(), rows
     report = {r.doc_id: r.kept for r in quality.quality_report(docs).collect()}
