@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyspark.sql.functions as F
 from pyspark.sql import Column
 
 from . import fixed
-from .text import grab, keep_model_text, unescape_nfkc
+from .text import clean, grab, keep_model_text, unescape_nfkc
 
 KINDS = {
     "socket": "string", "chipset": "string", "memory_type": "string", "form_factor": "string", "wifi": "boolean", "wifi_standard": "string",
@@ -176,15 +178,43 @@ def as_map(columns: dict[str, Column]) -> Column:
 COOLING = ("case_fan", "aio", "cooler_air")
 
 
+def first_wins(*maps: Column) -> Column:
+    """Union of maps in which the first to have a key decides."""
+
+    def beside(known: Column, more: Column) -> Column:
+        return F.map_concat(known, F.map_filter(more, lambda k, v: ~F.array_contains(F.map_keys(known), k)))
+
+    return reduce(beside, maps)
+
+
+def meta_text(meta: Column) -> Column:
+    """The title and description in structured data, where they are texts."""
+    return F.concat_ws(" ", F.get_json_object(meta, "$.title"), F.get_json_object(meta, "$.description"))
+
+
+def cuts(meta: Column) -> Column:
+    """The builder's cut ids, ascending; repeats stay, what is no number goes."""
+    texts = F.from_json(F.get_json_object(meta, "$.cuts"), "array<string>")
+    return F.array_sort(F.transform(F.filter(texts, lambda c: c.rlike("^[0-9]+$")), lambda c: c.cast("long")))
+
+
+def parent(meta: Column) -> Column:
+    p = F.get_json_object(meta, "$.parent")
+    return F.when(~p.isin("", "0"), p)
+
+
 def with_attributes(enriched):
-    """enriched listings with attr_<name> columns and the map `attributes`.
+    """enriched listings with attr_<name> columns, the map `attributes`, and of those with vendor_meta (JSON text) cuts and parent.
 
-    The category's own parser comes first, then the title's fragments, which count for every category. Each
-    parser is a column of its own, so that the plan compares a text once and compiles in small pieces.
+    In the map the vendor's own data comes first, then the category's parser, the title's fragments (which count for
+    every category) and facts from a Hebrew description. Each parser is a column of its own, so that the plan
+    compares a text once and compiles in small pieces.
     """
     rows = enriched.withColumn("_texts", fragment_texts(F.col("title_raw")))
     rows = rows.withColumn("_spec", F.when(F.col("_texts").isNotNull(), fragments(F.col("_texts"))))
-    found = parsers(F.col("match_text"))
+    meta = "vendor_meta" in enriched.columns
+    rows = rows.withColumn("_text", F.concat_ws(" ", "match_text", F.nullif(clean(meta_text(F.col("vendor_meta"))), F.lit(""))) if meta else F.col("match_text"))
+    found = parsers(F.col("_text"))
     groups = {name: [name] for name in found if name not in COOLING} | {"cooling": list(COOLING)}
     for name, categories in groups.items():
         rows = rows.withColumn(f"_p_{name}", F.when(F.col("category").isin(*categories), F.struct(*(v.cast(KINDS[k]).alias(k) for k, v in found[categories[0]].items()))))
@@ -193,4 +223,11 @@ def with_attributes(enriched):
         own = [F.col(f"_p_{name}.{key}") for name, categories in groups.items() if key in found[categories[0]]]
         out[key] = F.coalesce(*own, *([F.col(f"_spec.{key}")] if key in FRAGMENT_KEYS else []))
     wide = rows.select(*enriched.columns, *(v.alias(f"attr_{k}") for k, v in out.items()))
-    return wide.withColumn("attributes", as_map({k: F.col(f"attr_{k}") for k in out}))
+    parsed = as_map({k: F.col(f"attr_{k}") for k in out})
+    if not meta:
+        return wide.withColumn("attributes", parsed)
+    facts = hebrew_facts(F.get_json_object("vendor_meta", "$.description"))
+    wide = wide.withColumns({"_meta": meta_map(F.col("vendor_meta")), "_parsed": parsed, "_facts": facts, "cuts": cuts(F.col("vendor_meta")), "parent": parent(F.col("vendor_meta"))})
+    spoken = as_map({k: F.col(f"_facts.{k}") for k in ("cores", "threads", "base_clock_ghz", "boost_clock_ghz", "cooler_included")})
+    wide = wide.withColumns({"_spoken": spoken, "_known": first_wins(F.col("_meta"), F.col("_parsed"))})
+    return wide.withColumn("attributes", first_wins(F.col("_known"), F.col("_spoken"))).drop("_meta", "_parsed", "_facts", "_spoken", "_known")

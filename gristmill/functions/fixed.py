@@ -104,3 +104,11 @@ DEAL_PHRASES = ("New PC", "הנחת")
 BLACKS = ("#000000", "#000", "black", "rgb(0, 0, 0)", "rgb(0,0,0)")
 FEED_COLUMNS = ("sku", "title", "description", "category", "division", "shelf", "price_total", "tree", "image_file", "amount", "engdivision")
 FEED_DIVISIONS = ("hard drives", "motherboards", "cpus", "fans and cooling solutions", "liquid cooling", "computer cases", "memory", "display adapters", "power supply", "power supplies")
+
+# The categories that vendors' payloads are fetched by: names (repeats stand for several pages), ids, and names with platform and parent.
+TILE_CATEGORIES = ("cpu", "gpu", "gpu", "gpu", "gpu", "motherboard", "psu", "psu", "ram", "ram", "ssd", "hdd", "cpu cooler", "case fans", "case", "case")
+FRAGMENT_CATEGORIES = {158: "cpu", 429: "cpu_cooling", 167: "motherboard", 45: "memory", 118: "case", 88: "psu", 428: "case_fans", 192: "gpu", 358: "ssd", 356: "harddrive"}
+BUILDER_CATEGORIES = (
+    ("cpu", "intel", 2674), ("cpu", "amd", 2675), ("motherboard", "intel", 2653), ("motherboard", "amd", 2676), ("cpu_cooler_air", "intel", 6083), ("cpu_cooler_aio", "intel", 11656),
+    ("ram", "intel", 2649), ("ssd", "intel", 2672), ("hdd", "intel", 2720), ("gpu", "intel", 2652), ("psu", "intel", 5347), ("case", "intel", 2628), ("case_fans", "intel", 6084),
+)

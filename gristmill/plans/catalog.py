@@ -36,12 +36,15 @@ def matched_with_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attributes.with_attributes(matched(spark, sf_dir))
 
 
-def build_catalog(raw: DataFrame, ledger: DataFrame | None = None, blocked: DataFrame | None = None, tie: list[str] | None = None, score: bool = True) -> dict[str, DataFrame]:
+def build_catalog(raw: DataFrame, ledger: DataFrame | None = None, blocked: DataFrame | None = None, learnt: DataFrame | None = None, tie: list[str] | None = None, score: bool = True) -> dict[str, DataFrame]:
     """The whole build: listings, products, offers, attributes, conflicts and the review queue, as tables.
 
-    raw: listings with last_seen and stale; tie: columns that tell equal rows apart.
+    raw: listings with last_seen and stale; ledger: listing_key, manual_id; blocked: key_1, key_2; learnt: labels of
+    an earlier build (see learn_labels), which need vendor_meta; tie: columns that tell equal rows apart.
     """
     rows = attributes.with_attributes(assign(dedupe(identity.enrich(raw), tie or ["scraped_at"]), ledger))
+    if learnt is not None and "vendor_meta" in raw.columns:
+        rows = labels.with_labels(rows, learnt)
     pairs = fuzzy.candidate_pairs(rows, blocked)
     summary = products.summarize(rows).join(best_product_rule(rows), "product_id")
     best = products.best_offer(rows).select("product_id", *(F.col(c).alias(f"best_{c}") for c in ("listing_key", "vendor", "price", "in_stock", "stale", "url")))
@@ -51,6 +54,21 @@ def build_catalog(raw: DataFrame, ledger: DataFrame | None = None, blocked: Data
     }
 
 
+def learn_labels(rows: DataFrame) -> DataFrame:
+    """Labels (kind, id, attr, value) from a build's listings; the next build takes them."""
+    return labels.learn(labels.tallies(rows, _label_keys()))
+
+
+def with_ledger(summary: DataFrame, majority: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Products and their majority attributes, overridden by what the ledger states of them. Conflicts stay as they were found."""
+    stated = known.select("product_id", *(F.col(c).alias(f"_{c}") for c in ("canonical_name", "category", "brand", "model")))
+    out = summary.join(stated, "product_id", "left")
+    out = out.withColumns({c: F.coalesce(f"_{c}", c) for c in ("canonical_name", "category", "brand")}).withColumn("model", F.col("_model")).drop("_canonical_name", "_category", "_brand", "_model")
+    own = known.select("product_id", F.explode("attributes").alias("key", "stated")).join(summary.select("product_id"), "product_id", "left_semi")
+    merged = majority.join(own, ["product_id", "key"], "full").select("product_id", "key", F.coalesce("stated", "value").alias("value"), F.coalesce("n_values", F.lit(1)).alias("n_values"))
+    return out, merged
+
+
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 
@@ -29,3 +30,16 @@ def write_raw(listings: DataFrame, root: str) -> None:
     """Raw JSON lines by date and vendor, replacing the same day's. An empty run writes nothing."""
     if listings.take(1):
         listings.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "vendor").json(root)
+
+
+def run_summary(tables: dict[str, DataFrame], skipped: list[str]) -> DataFrame:
+    """One row: when, how many listings, products and review pairs, and the vendors that had no snapshot."""
+    spark = tables["listings"].sparkSession
+    counts = [tables[k].count() if k in tables else 0 for k in ("listings", "products", "review")]
+    row = spark.createDataFrame([(*counts, skipped)], "listings long, products long, review_queue_count long, skipped_vendors array<string>")
+    return row.withColumn("generated_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"))
+
+
+def export_json(df: DataFrame, path: str) -> None:
+    """A table as JSON lines, in as many files as it has partitions."""
+    df.write.mode("overwrite").json(path)

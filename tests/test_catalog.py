@@ -336,3 +336,32 @@ def test_daily_counts_stream(spark, tmp_path):
     q = daily_counts(stream).writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.day.day, r.vendor, r.n) for r in spark.table("daily").collect()) == [(1, "a", 2), (2, "b", 1), (9, "a", 1)]
+
+
+def test_vendor_data_and_two_passes(spark):
+    meta = [{"socket": "AM4", "description": "8 ליבות Ryzen 5 5600X Tray", "cuts": [7, "3", "x", 7], "parent": 12}, {"cuts": [3], "parent": "0"}, {"cuts": ["3"]}]
+    rows = [listing(vendor_id="ivory", vendor_sku=f"s{k}", category_guess="cpu", title_raw="cpu") | {"vendor_meta": json.dumps(m)} for k, m in enumerate(meta)]
+    raw = spark.createDataFrame(rows, LISTING + ", vendor_meta string")
+    got = {r.vendor_sku: r for r in build_catalog(raw, score=False)["listings"].collect()}
+    assert got["s0"].attributes == {"socket": "AM4", "packaging": "Tray", "brand": "AMD", "model": "Ryzen 5 5600X", "cores": "8"}
+    assert (got["s0"].cuts, got["s0"].parent, got["s1"].parent) == ([3, 7, 7], "12", None)
+    learnt = labels.learn(labels.tallies(build_catalog(raw, score=False)["listings"], ("socket", "packaging")))
+    assert {(r.kind, r.id, r.attr, r.value) for r in learnt.collect()} == {("cuts", "7", "socket", "AM4"), ("cuts", "7", "packaging", "Tray")}
+    given = spark.createDataFrame([("cuts", "3", "socket", "AM5"), ("parents", "12", "category", "cpu")], "kind string, id string, attr string, value string")
+    again = {r.vendor_sku: dict(r.attributes) for r in build_catalog(raw, learnt=given, score=False)["listings"].collect()}
+    assert again["s1"] == {"socket": "AM5"} and again["s0"]["socket"] == "AM4" and again["s0"]["ivory_category"] == "cpu"
+
+
+def test_ledger_overrides(spark):
+    from gristmill.plans.catalog import with_ledger
+
+    raw = spark.createDataFrame([listing(vendor_sku="a", title_raw="MSI RTX 4070 12GB", category_guess="gpu"), listing(vendor_sku="b", title_raw="x", category_guess="gpu")], LISTING)
+    led = spark.createDataFrame([("tms:a", "p")], "listing_key string, manual_id string")
+    known = spark.createDataFrame([("p", "Name", None, "B", "M", {"vram_gb": "16", "n": "1"}), ("gone", "x", None, None, None, {"n": "1"})], "product_id string, canonical_name string, category string, brand string, model string, attributes map<string,string>")
+    built = build_catalog(raw, led, score=False)
+    summary, merged = with_ledger(built["products"], built["attributes"], known)
+    assert {r.product_id: (r.canonical_name, r.category, r.brand, r.model) for r in summary.collect()}["p"] == ("Name", "gpu", "B", "M")
+    assert {r.key: r.value for r in merged.where("product_id = 'p'").collect()} == {"vram_gb": "16", "n": "1", "gpu_chip": "RTX 4070"}
+    assert merged.where("product_id = 'gone'").count() == 0
+    row = sinks.run_summary(built, ["ivory"]).first()
+    assert (row.listings, row.products, row.review_queue_count, row.skipped_vendors) == (2, 2, 0, ["ivory"])
