@@ -114,26 +114,67 @@ def _send_minimizers(n_buckets: int, length: int):
     return run
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """One bucket: for each text those of its minimizers that another text has too."""
-    parts = [(np.frombuffer(a, np.int64), np.frombuffer(b, np.uint32), np.frombuffer(c, np.uint32)) for a, b, c in zip(*(table.column(k).to_pylist() for k in ("texts", "counts", "rest")), strict=True)]
-    schema = pa.schema([("text_key", pa.int64()), ("bucket", pa.int32()), ("rest", pa.binary())])
-    texts, counts, rest = (np.concatenate(x) for x in zip(*parts, strict=True))
-    texts = np.repeat(texts, counts)
-    by = np.lexsort((texts, rest))
-    texts, rest = texts[by], rest[by]
-    new = np.concatenate([[True], (rest[1:] != rest[:-1]) | (texts[1:] != texts[:-1])])
-    texts, rest = texts[new], rest[new]
-    same = np.concatenate([[False], rest[1:] == rest[:-1], [False]])
-    shared = same[1:] | same[:-1]
-    texts, rest = texts[shared], rest[shared]
-    by = np.argsort(texts, kind="stable")
-    texts, rest = texts[by], rest[by]
-    edge = np.flatnonzero(np.concatenate([[True], texts[1:] != texts[:-1]])) if len(texts) else np.zeros(0, np.int64)
-    at = np.append(edge, len(texts))
-    bucket = table.column("bucket")[0].as_py()
-    blobs = [rest[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)]
-    return pa.Table.from_arrays([pa.array(texts[edge]), pa.array(np.full(len(edge), bucket, np.int32)), pa.array(blobs, pa.binary())], schema=schema)
+def _group_rows(grp: np.ndarray, keys: list[np.ndarray], values: list[np.ndarray]) -> list[tuple]:
+    """Rows (group; its keys and their counts; the values) of entries sorted by group and key."""
+    if not len(grp):
+        return []
+    change = np.ones(len(grp), bool)
+    change[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in (grp, *keys)])
+    edge = np.flatnonzero(change)
+    count, at = np.diff(np.append(edge, len(grp))).astype(np.uint32), grp[edge]
+    cut = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
+    spot = np.append(edge, len(grp))[cut]
+    return [(int(at[i]), *(k[edge[i:j]].tobytes() for k in keys), count[i:j].tobytes(), *(v[x:y].tobytes() for v in values)) for i, j, x, y in zip(cut, cut[1:], spot, spot[1:], strict=False)]
+
+
+def _columns(table: pa.Table, names: tuple[str, ...], kinds: tuple) -> list[np.ndarray]:
+    parts = [[np.frombuffer(x, k) for x, k in zip(r, kinds, strict=True)] for r in zip(*(table.column(c).to_pylist() for c in names), strict=True)]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def _group_of(text: np.ndarray, n: int) -> np.ndarray:
+    return (text.view(np.uint64) % np.uint64(n)).astype(np.int64)
+
+
+def _repeated(n_groups: int):
+    """One bucket: to each text's group, those of its minimizers that another text has too."""
+    schema = pa.schema([("grp", pa.int32()), ("texts", pa.binary()), ("counts", pa.binary()), ("codes", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        texts, counts, rest = _columns(table, ("texts", "counts", "rest"), (np.int64, np.uint32, np.uint32))
+        texts = np.repeat(texts, counts)
+        by = np.lexsort((texts, rest))
+        texts, rest = texts[by], rest[by]
+        new = np.concatenate([[True], (rest[1:] != rest[:-1]) | (texts[1:] != texts[:-1])])
+        texts, rest = texts[new], rest[new]
+        same = np.concatenate([[False], rest[1:] == rest[:-1], [False]])
+        shared = same[1:] | same[:-1]
+        texts, rest = texts[shared], rest[shared]
+        codes = (np.uint64(table.column("bucket")[0].as_py()) << np.uint64(32)) | rest.astype(np.uint64)
+        grp = _group_of(texts, n_groups)
+        by = np.lexsort((texts, grp))
+        rows = _group_rows(grp[by], [texts[by]], [codes[by]])
+        return pa.Table.from_arrays([pa.array([r[c] for r in rows], t.type) for c, t in enumerate(schema)], schema=schema)
+
+    return run
+
+
+def _gather(names: tuple[str, ...], key_kinds: tuple, value_kinds: tuple, schema: pa.Schema):
+    """One group: a row a key, with its values in one piece, sorted by the first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = _columns(table, names, (*key_kinds, np.uint32, *value_kinds))
+        keys, counts, values = columns[: len(key_kinds)], columns[len(key_kinds)], columns[len(key_kinds) + 1 :]
+        keys = [np.repeat(k, counts) for k in keys]
+        by = np.lexsort((values[0], *keys[::-1]))
+        keys, values = [k[by] for k in keys], [v[by] for v in values]
+        change = np.ones(len(by), bool)
+        change[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in keys])
+        edge = np.append(np.flatnonzero(change), len(by))
+        arrays = [pa.array(k[edge[:-1]]) for k in keys] + [pa.array([v[i:j].tobytes() for i, j in zip(edge, edge[1:], strict=False)], pa.binary()) for v in values]
+        return pa.Table.from_arrays(arrays, schema=schema)
+
+    return run
 
 
 # ---------------------------------------------------------------- step 2: contexts
@@ -149,10 +190,6 @@ def _marked_runs(buf, offs, length, wanted):
     return start[keep], count[keep], doc[keep], h[keep]
 
 
-def _keys(buckets: list, blobs: list) -> np.ndarray:
-    return np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(buckets, blobs, strict=True)])
-
-
 def _send_contexts(n_buckets: int, n_contexts: int, length: int):
     """Rows (bucket; per context: minimizer, hash, strings, bytes; per context and document: context's place, order, key)."""
     names = ("minimizers", "hashes", "counts", "bytes", "places", "orders", "texts")
@@ -161,7 +198,7 @@ def _send_contexts(n_buckets: int, n_contexts: int, length: int):
     def run(batches):
         for batch in batches:
             key, order = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            wanted = [_keys(a, b) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            wanted = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
             held, weight = [], 0
             for first, last, buf, offs in text_slices(batch.column(2)):
                 start, count, doc, h = _marked_runs(buf, offs, length, (n_buckets, wanted[first:last]))
@@ -236,8 +273,9 @@ def least_orders(h, count, body, begin, order, length: int) -> np.ndarray:
     return out
 
 
-def _resolve(length: int):
-    schema = pa.schema([("text_key", pa.int64()), ("ord", pa.int64()), ("hashes", pa.binary()), ("marks", pa.binary())])
+def _resolve(n_groups: int, length: int):
+    """One bucket: to each document's group, its contexts that have strings to remove, with a bit a start."""
+    schema = pa.schema([("grp", pa.int32()), *((c, pa.binary()) for c in ("texts", "orders", "counts", "hashes", "marks"))])
 
     def run(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table.column(k).to_pylist() for k in ("minimizers", "hashes", "counts", "bytes", "places", "orders", "texts")), strict=True))
@@ -256,19 +294,14 @@ def _resolve(length: int):
         least = np.full(len(first), LAST)
         np.minimum.at(least, of, order)
         found = least_orders(h[first], count[first], body, begin, least, length)
-        by = np.lexsort((of, order, text))
-        of, order, text = of[by], order[by], text[by]
         bits = (found[of] < order[:, None]) & (np.arange(32) < count[first][of][:, None])
         marks = np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(-1)
         some = marks > 0
         of, order, text, marks = of[some], order[some], text[some], marks[some]
-        edge = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (order[1:] != order[:-1])])) if len(of) else np.zeros(0, np.int64)
-        at = np.append(edge, len(of))
-        hashes = c[first][of]
-        return pa.Table.from_arrays(
-            [pa.array(text[edge]), pa.array(order[edge]), pa.array([hashes[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary()), pa.array([marks[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())],
-            schema=schema,
-        )
+        grp = _group_of(text, n_groups)
+        by = np.lexsort((order, text, grp))
+        rows = _group_rows(grp[by], [text[by], order[by]], [c[first][of[by]], marks[by]])
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(schema)], schema=schema)
 
     return run
 
@@ -287,9 +320,7 @@ def _cut(n_buckets: int, length: int):
                 context = span_hashes(buf, start, start + count + length - 1)
                 at = _runs_by_size(np.bincount(doc, minlength=len(offs) - 1))
                 for d in range(len(offs) - 1):
-                    h, m = (np.concatenate([np.frombuffer(x, k) for x in y[first + d]]) for y, k in ((hashes, np.uint64), (marks, np.uint32)))
-                    by = np.argsort(h)
-                    h, m = h[by], m[by]
+                    h, m = np.frombuffer(hashes[first + d], np.uint64), np.frombuffer(marks[first + d], np.uint32)
                     mine = slice(at[d], at[d + 1])
                     spot = np.minimum(np.searchsorted(h, context[mine]), len(h) - 1)
                     bits = np.where(h[spot] == context[mine], m[spot], np.uint32(0))
@@ -323,18 +354,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_buckets = max(n, int(total) // 15 // BUCKET)
 
     sent = rows.select("text_key", "text").mapInArrow(batchwise(_send_minimizers(n_buckets, length)), "bucket int, texts binary, counts binary, rest binary")
-    repeated = work.write(sent.groupBy("bucket").applyInArrow(groupwise(_repeated), "text_key long, bucket int, rest binary"), "repeated")
+    repeated = sent.groupBy("bucket").applyInArrow(groupwise(_repeated(n_buckets)), "grp int, texts binary, counts binary, codes binary")
+    one = _gather(("texts", "counts", "codes"), (np.int64,), (np.uint64,), pa.schema([("text_key", pa.int64()), ("codes", pa.binary())]))
+    marked = work.write(repeated.groupBy("grp").applyInArrow(groupwise(one), "text_key long, codes binary"), "repeated")
     # The first document of each distinct text stands for all.
     first = work.write(heads.groupBy("sha", "text_key", "n_bytes").agg(F.min("ord").alias("least")), "first")
-    marked = repeated.groupBy("text_key").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("rest").alias("rests"))
-    todo = first.join(marked, "text_key").select("text_key", F.col("least").alias("ord"), "sha", "buckets", "rests")
-    found = rows.join(todo, ["ord", "text_key", "sha"]).select("text_key", "ord", "text", "buckets", "rests")
+    todo = first.join(marked, "text_key").select("text_key", F.col("least").alias("ord"), "sha", "codes")
+    found = rows.join(todo, ["ord", "text_key", "sha"]).select("text_key", "ord", "text", "codes")
     found = work.write(found, "marked")
     text_size = found.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_contexts = max(n, int(text_size) // CONTEXT_BUCKET)
     contexts = found.mapInArrow(batchwise(_send_contexts(n_buckets, n_contexts, length)), "bucket int, minimizers binary, hashes binary, counts binary, bytes binary, places binary, orders binary, texts binary")
-    marks = work.write(contexts.groupBy("bucket").applyInArrow(groupwise(_resolve(length)), "text_key long, ord long, hashes binary, marks binary"), "marks")
-    per_doc = marks.groupBy("text_key", "ord").agg(F.collect_list("hashes").alias("hashes"), F.collect_list("marks").alias("marks"))
+    marks = contexts.groupBy("bucket").applyInArrow(groupwise(_resolve(n_buckets, length)), "grp int, texts binary, orders binary, counts binary, hashes binary, marks binary")
+    one = _gather(("texts", "orders", "counts", "hashes", "marks"), (np.int64, np.int64), (np.uint64, np.uint32), pa.schema([("text_key", pa.int64()), ("ord", pa.int64()), ("hashes", pa.binary()), ("marks", pa.binary())]))
+    per_doc = work.write(marks.groupBy("grp").applyInArrow(groupwise(one), "text_key long, ord long, hashes binary, marks binary"), "marks")
     cut = found.select("text_key", "ord", "text").join(per_doc, ["text_key", "ord"]).select("text_key", "ord", "text", "hashes", "marks")
     cut = work.write(cut.mapInArrow(batchwise(_cut(n_buckets, length)), "text_key long, ord long, n_removed long, n_spans long, kept_sha string").distinct(), "cut")
     for name in ("repeated", "marked", "marks"):
@@ -343,10 +376,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Copies of an earlier text go whole; first documents take what was cut.
     whole = heads.join(first, ["sha", "text_key", "n_bytes"]).join(cut, ["text_key", "ord"], "left")
     gone = (F.col("ord") > F.col("least")) & (F.col("n_bytes") >= length)
-    one = lambda copy, cut, none: F.when(gone, copy).otherwise(F.coalesce(cut, none))
+    pick = lambda copy, cut, none: F.when(gone, copy).otherwise(F.coalesce(cut, none))
     return whole.select(
         F.when(F.col("ord") < LAST, F.col("ord")).alias("doc_id"), "n_bytes",
-        one(F.col("n_bytes"), F.col("n_removed"), F.lit(0).cast("long")).alias("n_removed"),
-        one(F.lit(1).cast("long"), F.col("n_spans"), F.lit(0).cast("long")).alias("n_spans"),
-        one(F.sha2(F.lit(""), 256), F.col("kept_sha"), F.col("sha")).alias("kept_sha256"),
+        pick(F.col("n_bytes"), F.col("n_removed"), F.lit(0).cast("long")).alias("n_removed"),
+        pick(F.lit(1).cast("long"), F.col("n_spans"), F.lit(0).cast("long")).alias("n_spans"),
+        pick(F.sha2(F.lit(""), 256), F.col("kept_sha"), F.col("sha")).alias("kept_sha256"),
     )
