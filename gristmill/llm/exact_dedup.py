@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import batchwise
-from .shared import Workspace, partitions
+from .shared import Workspace, named, numbered, partitions, place
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Deepest directory: 2**16 slots, so what the driver holds doesn't grow with the data.
@@ -177,7 +177,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    text, lost = F.coalesce(F.col(text_col), F.lit("")), F.lit(-(1 << 62))
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.coalesce("doc_id", lost).alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_cp").alias("_n"))
-    rows = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), lost), "_sha": F.sha2(F.translate(text, WHITE.decode(), ""), 256), "_n": F.char_length(text).cast("long")})
-    return rows.join(kept, ["_id", "_sha", "_n"], "left_semi").dropDuplicates(["_id", "_sha", "_n"]).select(*docs.columns)
+    own = numbered(docs)
+    own_id, own_text = place(docs, id_col), place(docs, text_col)
+    text, lost = F.coalesce(F.col(own_text), F.lit("")), F.lit(-(1 << 62))
+    kept = exact_dedup(own, own_id, own_text).where("kept").select(F.coalesce("doc_id", lost).alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_cp").alias("_n"))
+    rows = own.withColumns({"_id": F.coalesce(F.col(own_id).cast("long"), lost), "_sha": F.sha2(F.translate(text, WHITE.decode(), ""), 256), "_n": F.char_length(text).cast("long")})
+    return named(rows.join(kept, ["_id", "_sha", "_n"], "left_semi").dropDuplicates(["_id", "_sha", "_n"]), docs)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, named, numbered, place
 
 BITS, LEVELS = 12, 5
 #: Up to so many sources the plan (a row a source) is broadcast.
@@ -114,9 +114,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with all its columns."""
-    _, plan = _plan(docs, id_col, text_col, source_col, weights, most)
-    rows = docs.withColumns({"_size": word_count(F.col(text_col)), "_u": _hash(id_col, text_col)})
-    rows = rows.join(plan, F.col(source_col).eqNullSafe(plan["_source"]))
+    own, own_id, own_text, own_source = numbered(docs), *(place(docs, c) for c in (id_col, text_col, source_col))
+    _, plan = _plan(own, own_id, own_text, own_source, weights, most)
+    rows = own.withColumns({"_size": word_count(F.col(own_text)), "_u": _hash(own_id, own_text)})
+    rows = rows.join(plan, F.col(own_source).eqNullSafe(plan["_source"]))
     copies = F.col("whole") + (F.col("_u") < F.col("threshold")).cast("int")
-    taken = rows.where((F.col("_size") > 0) & (copies > 0)).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-    return taken.select(*[F.col(c) for c in docs.columns])
+    return named(rows.where((F.col("_size") > 0) & (copies > 0)).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))), docs)

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import ship_package
 
@@ -55,3 +56,18 @@ class Workspace:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with columns named by their place, so that no name clashes with an operator's own."""
+    return docs.toDF(*(f"__c{k}" for k in range(len(docs.columns))))
+
+
+def place(docs: DataFrame, name: str) -> str:
+    """What numbered() calls a column."""
+    return f"__c{docs.columns.index(name)}"
+
+
+def named(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, by their own names, from a frame that came of numbered(docs)."""
+    return df.select(*(F.col(f"__c{k}").alias(c) for k, c in enumerate(docs.columns)))

@@ -54,5 +54,5 @@ def odd(spark):
     """Nulls, ties and repeated rows, beside columns whose names the operators use themselves."""
     t = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     rows = [(None, t, None, None), (None, t, "en", "a"), (3, t, "en", "a"), (3, t, "en", "a"), (2, t + " ", "en", None), (9, None, None, None), (None, None, "x", "b"), (4, "x", "en", "a")]
-    rows = [(*r, 1, b"k", "b", 7, 0.5) for r in rows]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n long, key binary, bucket string, size long, _n double")
+    rows = [(*r, 1, b"k", "b", 7, 0.5, 1, 2, 3) for r in rows]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n long, key binary, bucket string, size long, _n double, _id int, threshold int, _text int")
