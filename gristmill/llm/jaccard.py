@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BYTE_LOWER, batchwise, groupwise, mix, shingle_sets, span_hashes, sums_by, text_slices, word_bounds
-from .shared import Workspace, partitions
+from .shared import Workspace, named, numbered, partitions, place
 from .signature_tree import SignatureTree, bitmap_bits
 
 WIDTH = 5
 #: Similarity of a link, as a fraction.
 SHARE = (75, 100)
 #: Shingles a bucket holds; classes a tree holds; pivots of a cluster that is dealt over blocks.
-BUCKET, CLUSTER, PIVOTS = 4_000_000, 2048, 32
+BUCKET, CLUSTER, PIVOTS = 3_000_000, 2048, 32
 #: Shingles that a task gathers before it sends them.
 HELD = 1_000_000
 #: A class's key: 96 bits of its shingles' hashes.
@@ -82,18 +82,41 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _blobs(to: np.ndarray, of: np.ndarray, key: np.ndarray, size: np.ndarray, *values: np.ndarray) -> list[tuple]:
-    """Rows (to; keys, sizes and counts of its classes; their values), of entries sorted by `to`, then `of`."""
-    edge = _starts(to, of)
-    count, at = np.diff(np.append(edge, len(to))).astype(np.uint32), to[edge]
+def _blobs(to: np.ndarray, of: np.ndarray, key: np.ndarray, *values: np.ndarray) -> list[tuple]:
+    """Rows (to; keys and counts of its classes; their values), of entries sorted by `to`, then `of`. A class of more entries than 16 bits count comes in parts."""
+    part = np.arange(len(to)) - np.repeat(_starts(to, of), np.diff(np.append(_starts(to, of), len(to)))) if len(to) else of
+    edge = _starts(to, of, part >> 15)
+    count, at = np.diff(np.append(edge, len(to))).astype(np.uint16), to[edge]
     cut = np.append(_starts(at), len(at))
     spot = np.append(edge, len(to))[cut]
-    return [(int(at[i]), key[of[edge[i:j]]].tobytes(), size[of[edge[i:j]]].astype(np.uint32).tobytes(), count[i:j].tobytes(), *(v[x:y].tobytes() for v in values)) for i, j, x, y in zip(cut, cut[1:], spot, spot[1:], strict=False)]
+    return [(int(at[i]), key[of[edge[i:j]]].tobytes(), count[i:j].tobytes(), *(v[x:y].tobytes() for v in values)) for i, j, x, y in zip(cut, cut[1:], spot, spot[1:], strict=False)]
+
+
+def _columns(table: pa.Table, names: tuple[str, ...], kinds: tuple) -> list[np.ndarray]:
+    parts = [[np.frombuffer(x, k) for x, k in zip(r, kinds, strict=True)] for r in zip(*(table.column(c).to_pylist() for c in names), strict=True)]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def _sizes(n_groups: int):
+    """Classes with their sizes, to their groups: rows like those of _shared, with no entries."""
+    schema = pa.schema([("grp", pa.int32()), *((c, pa.binary()) for c in ("classes", "counts", "tokens", "sizes"))])
+
+    def run(batches):
+        for batch in batches:
+            key = np.frombuffer(b"".join(batch.column(0).to_pylist()), KEY)
+            size = batch.column(1).to_numpy().astype(np.uint32)
+            grp = (key["a"] % np.uint64(n_groups)).astype(np.int64)
+            by = np.argsort(grp, kind="stable")
+            cut = np.append(_starts(grp[by]), len(by))
+            rows = [(int(grp[by[i]]), key[by[i:j]].tobytes(), bytes(2 * (j - i)), b"", size[by[i:j]].tobytes()) for i, j in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t.type) for c, t in enumerate(schema)], schema=schema)
+
+    return run
 
 
 def _send(width: int, n_buckets: int):
-    """Rows (bucket; keys, sizes and counts here of classes; the lower 48 bits of their shingles, in two parts)."""
-    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("classes", "sizes", "counts", "low", "high"))])
+    """Rows (bucket; keys and counts here of classes; the lower 48 bits of their shingles, in two parts)."""
+    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("classes", "counts", "low", "high"))])
 
     def send(held):
         h, counts, key = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -104,7 +127,7 @@ def _send(width: int, n_buckets: int):
         bucket = (((h >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
         by = np.argsort(bucket * len(counts) + doc, kind="stable")
         h, doc, bucket = h[by], doc[by], bucket[by]
-        rows = _blobs(bucket, doc, key, counts, h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint16))
+        rows = _blobs(bucket, doc, key, h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint16))
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t.type) for c, t in enumerate(schema)], schema=schema)
 
     def run(batches):
@@ -122,12 +145,10 @@ def _send(width: int, n_buckets: int):
 
 def _shared(n_groups: int):
     """One bucket: to each class's group, its shingles that another class has too, as (classes that have it, up to 65535) << 48 | lower bits."""
-    schema = pa.schema([("grp", pa.int32()), *((c, pa.binary()) for c in ("classes", "sizes", "counts", "tokens"))])
-    kinds = (KEY, np.uint32, np.uint32, np.uint32, np.uint16)
+    schema = pa.schema([("grp", pa.int32()), *((c, pa.binary()) for c in ("classes", "counts", "tokens", "sizes"))])
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [[np.frombuffer(x, k) for x, k in zip(r, kinds, strict=True)] for r in zip(*(table.column(c).to_pylist() for c in ("classes", "sizes", "counts", "low", "high")), strict=True)]
-        key, size, here, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, here, low, high = _columns(table, ("classes", "counts", "low", "high"), (KEY, np.uint16, np.uint32, np.uint16))
         h = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
         _, first, of = np.unique(_fold(key), return_index=True, return_inverse=True)
         of = np.repeat(of, here)
@@ -142,7 +163,7 @@ def _shared(n_groups: int):
         tokens = (np.minimum(have, 65535).astype(np.uint64) << np.uint64(48)) | h
         grp = (key["a"][of] % np.uint64(n_groups)).astype(np.int64)
         by = np.lexsort((of, grp))
-        rows = _blobs(grp[by], of[by], key, size, tokens[by])
+        rows = [(*r, b"") for r in _blobs(grp[by], of[by], key, tokens[by])]
         return pa.Table.from_arrays([pa.array([r[c] for r in rows], t.type) for c, t in enumerate(schema)], schema=schema)
 
     return run
@@ -151,13 +172,19 @@ def _shared(n_groups: int):
 def _gather(share):
     """One group of classes: those enough of whose shingles are shared, with these by rarity and the prefix within which linked classes must meet."""
     schema = pa.schema([("cls", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))])
-    kinds, (p, q) = (KEY, np.uint32, np.uint32, np.uint64), share
+    p, q = share
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [[np.frombuffer(x, k) for x, k in zip(r, kinds, strict=True)] for r in zip(*(table.column(c).to_pylist() for c in ("classes", "sizes", "counts", "tokens")), strict=True)]
-        key, size, here, tokens = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, here, tokens, _ = _columns(table, ("classes", "counts", "tokens", "sizes"), (KEY, np.uint16, np.uint64, np.uint32))
         _, first, of = np.unique(_fold(key), return_index=True, return_inverse=True)
-        n, got = size[first].astype(np.int64), np.bincount(of, here, len(first)).astype(np.int64)
+        n = np.zeros(len(first), np.int64)
+        at = 0
+        for raw, sizes in zip(table.column("classes").to_pylist(), table.column("sizes").to_pylist(), strict=True):
+            many = len(raw) // KEY.itemsize
+            if sizes:
+                n[of[at : at + many]] = np.frombuffer(sizes, np.uint32)
+            at += many
+        got = np.bincount(of, here, len(first)).astype(np.int64)
         of = np.repeat(of, here)
         some = (q * got >= p * n)[of]
         of, tokens = of[some], tokens[some]
@@ -270,10 +297,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     heads = work.write(rows.mapInArrow(batchwise(_heads(width)), "doc_id long, n_shingles long, cls binary"), "heads")
     total = heads.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    n_buckets = max(n, int(total) // BUCKET)
+    n_buckets = max(8, int(total) // BUCKET)
 
-    sent = rows.mapInArrow(batchwise(_send(width, n_buckets)), "bucket int, classes binary, sizes binary, counts binary, low binary, high binary")
-    shared = sent.groupBy("bucket").applyInArrow(groupwise(_shared(n_buckets)), "grp int, classes binary, sizes binary, counts binary, tokens binary")
+    sent = rows.mapInArrow(batchwise(_send(width, n_buckets)), "bucket int, classes binary, counts binary, low binary, high binary")
+    to_groups = "grp int, classes binary, counts binary, tokens binary, sizes binary"
+    shared = sent.groupBy("bucket").applyInArrow(groupwise(_shared(n_buckets)), to_groups)
+    sized = heads.where("n_shingles > 0").select("cls", "n_shingles").distinct().mapInArrow(_sizes(n_buckets), to_groups)
+    shared = shared.union(sized)
     active = work.write(shared.groupBy("grp").applyInArrow(groupwise(_gather(share)), "cls binary, n long, tokens binary, prefix array<long>"), "active")
 
     # Candidate clusters: classes that meet in a prefix, each with the token's least class.
@@ -329,5 +359,6 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose id names their component, with all their columns."""
-    kept = similar_components(docs, id_col, text_col).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    own, own_id = numbered(docs), place(docs, id_col)
+    kept = similar_components(own, own_id, place(docs, text_col)).where("doc_id <=> component_id").select("doc_id").distinct()
+    return named(own.join(kept, F.col(own_id).cast("long").eqNullSafe(F.col("doc_id")), "left_semi"), docs)
