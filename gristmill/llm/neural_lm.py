@@ -4,7 +4,7 @@ Spark counts every training token (by 64-bit hash) and every pair of neighbourin
 frequent tokens but one for each suffix class are classes of their own; all other words share a class with words
 of the same ending. The log-bilinear model predicts a class from the class before it: score = (r[previous] C) . q[next]
 + b[next]. Training minimises the noise-contrastive loss over all pair counts; the expectation over noise is
-taken exactly, so it is a few hundred products of small matrices in numpy, whatever the corpus holds. A batched
+taken exactly, so it is a hundred-odd products of small matrices in numpy, whatever the corpus holds. A batched
 matrix product then gives the normalised table of log probabilities, CLASSES squared, that scoring looks up.
 Inside a class a word has its share of the class's smoothed counts. The sum over all known words and one unknown
 word a suffix class is 1 after any context.
@@ -30,7 +30,7 @@ from .shared import Workspace
 
 #: Classes of the model, those of suffixes among them; the tokens whose counts are broadcast.
 CLASSES, SUFFIXES, FREQUENT = 1024, 224, 1 << 16
-DIMENSION, NOISE, STEPS, RATE = 48, 20, 250, 0.05
+DIMENSION, NOISE, STEPS, RATE = 48, 20, 120, 0.05
 END_TOKEN = int(mix(np.array([0x454E44], np.uint64)).astype(np.int64)[0])
 #: Class numbers: the end token, then suffixes, then frequent words.
 END, FIRST_SUFFIX, FIRST_WORD = 0, 1, 1 + SUFFIXES

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import SPACE, batchwise, mix, span_hashes, sums_by, text_slices, window_hashes, word_bounds
-from .shared import Workspace
+from .shared import Workspace, named, numbered, place
 
 ORDER = 5
 #: Most n-gram types of the highest order that go into a model; the driver and each worker hold them.
@@ -296,4 +296,5 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents that pass, with all their columns. The texts are written once, beside their scores, and not shuffled."""
-    return quality_scores(docs, docs.columns, text_col, lang_col).where("_kept").select(*docs.columns)
+    own = numbered(docs)
+    return named(quality_scores(own, own.columns, place(docs, text_col), place(docs, lang_col)).where("_kept"), docs)
