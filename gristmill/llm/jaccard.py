@@ -207,6 +207,7 @@ def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = work.write(low, f"{name}-low-{k}")  # so that both sides of the joins are exchanges, which AQE can split at a hub
         large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.union(both.join(low, "a").where("a > m and b = m").select("a", F.col("m").alias("b"))).distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
@@ -214,6 +215,7 @@ def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
         k += 1
         now = work.write(small.where("a <> b").distinct(), f"{name}-{k}")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        work.drop(f"{name}-low-{k - 1}")
         if k > 1:
             work.drop(f"{name}-{k - 2}")
         if state == before:
