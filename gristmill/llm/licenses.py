@@ -2,8 +2,9 @@
 
 A file's header lines are compared with the templates' notices as TF-IDF vectors. Document frequencies are counted
 over all files for the templates' vocabulary; a word outside it takes the largest idf, so it only lengthens a
-line's vector. Any line may be a notice, so all lines of the whole text are looked at; a line that has none of
-the anchor words can't reach the threshold (their weights are checked for that), which spares the rest the split.
+line's vector. Any line may be a notice, so all lines of the whole text are looked at. A cosine is at most the
+length of that part of the template's vector whose words occur: texts and lines in which too little of every
+template occurs need no vector, and what is shuffled is a few words of likely notices.
 
 A file most of whose words stand in notices is a licence file and holds for its directory and what lies below,
 down to the next licence file. Directories, not files, are joined with their ancestors; the files then join
@@ -64,14 +65,15 @@ def template_weights(templates: dict[str, str], idf: dict[str, float]) -> dict[s
     return out
 
 
-def anchors(weights: dict[str, dict[str, float]], cosine: float) -> set[str]:
-    """Words of which a line must have one: without them no template's remaining weights reach the cosine."""
-    chosen: set[str] = set()
+def may_reach(weights: dict[str, dict[str, float]], cosine: float, occurs) -> Column:
+    """Whether enough of some template's vector occurs for the cosine. occurs: a word's column."""
+    parts = []
     for vector in weights.values():
-        rest = sorted(((v, w) for w, v in vector.items() if w not in chosen), reverse=True)
-        while math.sqrt(sum(v * v for v, _ in rest)) >= cosine - 1e-9:
-            chosen.add(rest.pop(0)[1])
-    return chosen
+        part = F.lit(0.0)
+        for word, v in vector.items():
+            part = part + F.when(occurs(word), v * v).otherwise(0.0)
+        parts.append(part)
+    return F.greatest(*parts, F.lit(0.0)) >= cosine * cosine - 1e-9
 
 
 def scan_licenses(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: Column | None = None, templates: dict[str, str] = TEMPLATES, cosine: float = COSINE, file_share: float = FILE_SHARE) -> DataFrame:
@@ -90,22 +92,25 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     weights = template_weights(templates, idf)
 
     # Lines that may be notices.
-    low, some = F.lower("text"), sorted(anchors(weights, cosine))
-    has = lambda text: F.greatest(*(F.contains(text, F.lit(w)).cast("int") for w in some), F.lit(0)) == 1
-    lines = rows.where(has(low)).withColumns({"row": F.monotonically_increasing_id(), "words": F.size(terms(F.col("text")))})
-    lines = lines.select("row", "doc_id", "path", "words", F.posexplode(F.split("text", "\n")).alias("line", "body")).where(has(F.lower("body")))
-    lines = lines.withColumn("terms", terms(F.col("body"))).where(F.size("terms") > 0)
-    idf_map = F.create_map(*(x for w in vocabulary for x in (F.lit(w), F.lit(idf[w]))))
-    bag = F.transform(F.array_distinct("terms"), lambda w: F.struct(w.alias("w"), (F.size(F.filter("terms", lambda y: y == w)) * F.coalesce(F.try_element_at(idf_map, w), F.lit(outside))).alias("v")))
-    lines = lines.withColumn("bag", bag)
-    total = lambda column, f: F.aggregate(column, F.lit(0.0), lambda a, x: a + f(x))
-    lines = lines.withColumn("norm", F.sqrt(total("bag", lambda x: x["v"] * x["v"])))
-    scores = []
-    for name, vector in weights.items():
-        template = F.create_map(*(x for w, v in vector.items() for x in (F.lit(w), F.lit(v))))
-        dot = total("bag", lambda x, t=template: x["v"] * F.coalesce(F.try_element_at(t, x["w"]), F.lit(0.0)))
-        scores.append(F.struct((-F.round(dot / F.col("norm"), 6)).alias("worse"), F.lit(name).alias("license")))
-    notices = lines.select("row", "doc_id", "path", "words", "line", F.size("terms").alias("here"), F.array_min(F.array(*scores)).alias("best")).where(F.col("best.worse") <= -cosine)
+    reaches = lambda found: may_reach(weights, cosine, lambda w: F.array_contains(found, w))
+    there = F.array_intersect(listed, F.split(F.lower("text"), SPLIT))
+    likely = rows.where(F.get(F.transform(F.array(there), reaches), F.lit(0)))  # the text is split once, not once a word
+    likely = likely.withColumns({"row": F.monotonically_increasing_id(), "words": F.size(terms(F.col("text")))})
+    each = F.transform(F.split("text", "\n"), lambda body, k: F.struct(k.alias("line"), terms(body).alias("terms")))
+    lines = likely.select("row", "doc_id", "path", "words", F.explode(F.filter(each, lambda x: reaches(x["terms"]))).alias("x"))
+    lines = lines.select("row", "doc_id", "path", "words", "x.line", "x.terms")
+    lines = lines.withColumn("here", F.size("terms"))
+    words = lines.select("row", "line", "doc_id", "path", "words", "here", F.explode("terms").alias("term"))
+    kept = [F.first(c).alias(c) for c in ("doc_id", "path", "words", "here")]
+    counted = words.groupBy("row", "line", "term").agg(F.count("*").alias("c"), *kept)
+    names = list(weights)
+    table = [(w, idf[w], *(weights[k].get(w, 0.0) for k in names)) for w in vocabulary]
+    table = spark.createDataFrame(table, "term string, idf double, " + ", ".join(f"w{k} double" for k in range(len(names))))
+    value = F.col("c") * F.coalesce("idf", F.lit(outside))
+    vectors = counted.join(F.broadcast(table), "term", "left").withColumn("v", value)  # a row a template word
+    sums = vectors.groupBy("row", "line").agg(*kept, F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), *(F.sum(F.col("v") * F.coalesce(f"w{k}", F.lit(0.0))).alias(f"dot{k}") for k in range(len(names))))
+    scores = F.array(*(F.struct((-F.round(F.col(f"dot{k}") / F.col("norm"), 6)).alias("worse"), F.lit(name).alias("license")) for k, name in enumerate(names)))
+    notices = sums.select("row", "line", "doc_id", "path", "words", "here", F.array_min(scores).alias("best")).where(F.col("best.worse") <= -cosine)
     found = notices.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("path").alias("path"), F.min("best").alias("best"),
         (F.sum("here") >= file_share * F.first("words")).alias("is_file"),
@@ -143,7 +148,7 @@ def document_path() -> Column:
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL for the scan of documents, without the anchor words' short cut."""
+    """DuckDB SQL for the scan of documents, without any short cut."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     listed = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in TEMPLATES.items())
     words = lambda x: f"list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: w <> '')"

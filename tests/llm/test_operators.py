@@ -111,11 +111,22 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty, path=licenses.document_path()).count() == 0
 
 
-def test_licenses_anchors_lose_nothing():
-    idf = {w: 1.0 + k / 10 for k, w in enumerate(sorted({w for t in licenses.TEMPLATES.values() for w in licenses._words(t)}))}
+def test_licenses_short_cut_loses_nothing(spark):
+    """Lines around the threshold: the scan with the short cut finds what plain vectors find."""
+    import math
+    import random
+
+    rng, words = random.Random(2), sorted({w for t in licenses.TEMPLATES.values() for w in licenses._words(t)})
+    lines = [" ".join(rng.sample(licenses._words(t), rng.randint(1, len(licenses._words(t)))) + rng.choices([*words, "other", "words"], k=rng.randint(0, 3))) for t in list(licenses.TEMPLATES.values()) * 12]
+    got = {r.doc_id: r.own_license for r in licenses.scan_licenses(spark.createDataFrame([(k, "a", t) for k, t in enumerate(lines)], "doc_id long, path string, text string")).collect()}
+    n, df = len(lines), Counter(w for t in lines for w in set(licenses._words(t)))
+    idf = {w: math.log((1 + n) / (1 + df[w])) + 1 for w in words}
     weights = licenses.template_weights(licenses.TEMPLATES, idf)
-    chosen = licenses.anchors(weights, licenses.COSINE)
-    assert all(sum(v * v for w, v in t.items() if w not in chosen) < licenses.COSINE**2 for t in weights.values())
+    for k, t in enumerate(lines):
+        bag = {w: c * idf.get(w, math.log(1 + n) + 1) for w, c in Counter(licenses._words(t)).items()}
+        norm = math.sqrt(sum(v * v for v in bag.values()))
+        best = min((-round(sum(v * x.get(w, 0) for w, v in bag.items()) / norm, 6), name) for name, x in weights.items())
+        assert got[k] == (best[1] if -best[0] >= licenses.COSINE else None)
 
 
 def test_licenses_odd(odd):
