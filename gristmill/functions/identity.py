@@ -80,16 +80,25 @@ def listing_key(vendor_id, sku, url, payload: Column | None = None) -> Column:
     return F.concat(v, F.lit(":"), F.coalesce(F.nullif(number, F.lit("")), s, *hashed))
 
 
-def enrich(listings):
-    """Raw listings with their key, price, category, match text, brand, part number, SKU and bundle mark.
+def identify(listings):
+    """Raw listings with what tells them apart and ranks them: vendor, listing_key, price."""
+    return listings.withColumns({"vendor": vendor("vendor_id"), "listing_key": listing_key("vendor_id", "vendor_sku", "url"), "price": normalize_price("price_ils")})
+
+
+def describe(identified):
+    """Listings with their category, match text, brand, part number, SKU and bundle mark.
 
     In steps, so that each text is cleaned once and not again for every rule that looks at it.
     """
     guess = F.coalesce("category_guess", F.lit("None"))
-    rows = listings.withColumns({
-        "vendor": vendor("vendor_id"), "listing_key": listing_key("vendor_id", "vendor_sku", "url"), "price": normalize_price("price_ils"),
+    rows = identified.withColumns({
         "match_text": match_text("vendor_sku", "title_raw"), "sku_norm": normalize_sku("vendor_sku"), "bundle_only": F.contains(F.lower(guess), F.lit("bundle-only")),
         "_title": F.lower(clean("title_raw")), "_base": base_category(F.replace(compact_key("category_guess"), F.lit("bundleonly"), F.lit(""))),
     })
     rows = rows.withColumns({"_hint": title_category(F.col("_title")), "brand": brand(F.col("match_text")), "mpn": part_number(F.col("match_text"))})
     return rows.withColumn("category", refined_category(F.col("_base"), F.col("_hint"))).drop("_title", "_base", "_hint")
+
+
+def enrich(listings):
+    """Both steps. Where listings are deduplicated, describe() is better applied to the rows that stay."""
+    return describe(identify(listings))

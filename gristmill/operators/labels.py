@@ -28,7 +28,7 @@ def apply(listings: DataFrame, labels: DataFrame, key: str = "listing_key", cuts
 def tallies(listings: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Occurrences of attribute values with listings' cuts (repeats count) and of categories with their parents, for `learn`."""
     known = F.map_filter("attributes", lambda k, v: k.isin(*keys))
-    of_cuts = listings.select(F.explode("cuts").alias("id"), known.alias("known")).select(F.lit("cuts").alias("kind"), F.col("id").cast("string").alias("id"), F.explode("known").alias("attr", "value"))
+    of_cuts = listings.select(F.explode("cuts").alias("id"), known.alias("known")).select(F.lit("cuts").alias("kind"), F.col("id").cast("string").alias("id"), F.explode_outer("known").alias("attr", "value"))
     of_parents = listings.where("parent is not null").select(F.lit("parents").alias("kind"), F.col("parent").alias("id"), F.lit("category").alias("attr"), F.col("category").alias("value"))
     return of_cuts.unionByName(of_parents)
 

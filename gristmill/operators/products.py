@@ -54,7 +54,8 @@ def offers(rows: DataFrame) -> DataFrame:
 
 def attribute_votes(rows: DataFrame) -> DataFrame:
     """product_id, key, norm, votes, first place and raw form of each value of the listings' attributes maps."""
-    each = rows.select("product_id", *PLACE, F.explode("attributes").alias("key", "raw")).where("raw is not null and raw <> ''")
+    # Outer, or the plan would infer a filter on the map and work the attributes out twice.
+    each = rows.select("product_id", *PLACE, F.explode_outer("attributes").alias("key", "raw")).where("raw is not null and raw <> ''")
     norm = F.lower(F.trim("raw"))
     return each.groupBy("product_id", "key", norm.alias("norm")).agg(F.count("*").alias("votes"), F.min(F.struct(*PLACE)).alias("seen"), F.min_by("raw", F.struct(*PLACE)).alias("raw"))
 

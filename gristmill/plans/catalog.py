@@ -25,7 +25,7 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe(enriched(spark, sf_dir), TIE)
+    return identity.describe(dedupe(identity.identify(listings(spark, sf_dir)), TIE))
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def build_catalog(raw: DataFrame, ledger: DataFrame | None = None, blocked: Data
     raw: listings with last_seen and stale; ledger: listing_key, manual_id; blocked: key_1, key_2; learnt: labels of
     an earlier build (see learn_labels), which need vendor_meta; tie: columns that tell equal rows apart.
     """
-    rows = attributes.with_attributes(assign(dedupe(identity.enrich(raw), tie or ["scraped_at"]), ledger))
+    rows = attributes.with_attributes(assign(identity.describe(dedupe(identity.identify(raw), tie or ["scraped_at"])), ledger))
     if learnt is not None and "vendor_meta" in raw.columns:
         rows = labels.with_labels(rows, learnt)
     pairs = fuzzy.candidate_pairs(rows, blocked)
@@ -242,7 +242,7 @@ def _tallies(spark, sf_dir) -> DataFrame:
     rows = attributes.with_attributes(deduped(spark, sf_dir))
     cut = F.explode(F.array((F.col("l_partkey") % 96).cast("string"), (1000 + F.col("l_partkey") % 7).cast("string")))
     known = F.map_filter("attributes", lambda k, v: k.isin(*_label_keys()))
-    cuts = rows.select(cut.alias("id"), known.alias("m")).select(F.lit("cuts").alias("kind"), "id", F.explode("m").alias("attr", "value"))
+    cuts = rows.select(cut.alias("id"), known.alias("m")).select(F.lit("cuts").alias("kind"), "id", F.explode_outer("m").alias("attr", "value"))
     parents = rows.select(F.lit("parents").alias("kind"), (F.col("l_partkey") % 24).cast("string").alias("id"), F.lit("category").alias("attr"), F.col("category").alias("value"))
     return cuts.union(parents)
 
