@@ -6,7 +6,13 @@ line's vector. Any line may be a notice, so all lines of the whole text are look
 length of that part of the template's vector whose words occur: texts and lines in which too little of every
 template occurs need no vector, and what is shuffled is a few words of likely notices.
 
-A file most of whose words stand in notices is a licence file and holds for its directory and what lies below,
+Files are also compared with the standard headers and full texts of `license_texts`: windows of a text's length over
+the file's words, across line ends, and the file as a whole. A cosine needs some least number of the text's words;
+files with fewer need no vector. Notices wrapped over lines or inside a paragraph, and SPDX identifiers, are found as
+the same words in the same order; a notice that is a line of its own counts as that line.
+
+A file most of whose words stand in notices, that as a whole is a header or full text, or that begins with the title
+of a long licence, is a licence file and holds for its directory and what lies below,
 down to the next licence file. Directories, not files, are joined with their ancestors; the files then join
 their directory, an equi-join that AQE splits if one directory holds a third of them.
 
@@ -19,10 +25,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import HEADERS, SPDX, TITLES
 from .shared import Workspace
 
 #: Notices by which works commonly state their licence.
@@ -76,26 +84,47 @@ def may_reach(weights: dict[str, dict[str, float]], cosine: float, occurs) -> Co
     return F.greatest(*parts, F.lit(0.0)) >= cosine * cosine - 1e-9
 
 
+def enough_words(vector: dict[str, float], common: set[str], cosine: float, found: Column) -> Column:
+    """Whether enough of a unit vector occurs for the cosine. First, how many words must occur besides the common ones."""
+    need, total, least = cosine * cosine - 1e-9, sum(v * v for w, v in vector.items() if w in common), 0
+    for v in sorted((v for w, v in vector.items() if w not in common), reverse=True):
+        if total >= need:
+            break
+        total, least = total + v * v, least + 1
+    rare = F.array(*map(F.lit, sorted(vector.keys() - common)))
+    parts = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(v * v).alias("v")) for w, v in sorted(vector.items())))
+    occurring = F.filter(parts, lambda x: F.array_contains(found, x["w"]))
+    return (F.size(F.array_intersect(rare, found)) >= least) & (F.aggregate(occurring, F.lit(0.0), lambda a, x: a + x["v"]) >= need)
+
+
 def scan_licenses(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: Column | None = None, templates: dict[str, str] = TEMPLATES, cosine: float = COSINE, file_share: float = FILE_SHARE) -> DataFrame:
     """doc_id, path, own_license, own_cosine, is_license_file, license, origin (header, inherited or none), from_path."""
     spark, work = files.sparkSession, Workspace(files.sparkSession, "license")
     at = F.coalesce(path if path is not None else F.col("path"), F.lit(""))
     rows = files.select(F.col(id_col).alias("doc_id"), at.alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     vocabulary = sorted({w for t in templates.values() for w in _words(t)})
-    listed = F.array(*map(F.lit, vocabulary))
 
-    seen = rows.select(F.explode(F.array_intersect(listed, F.split(F.lower("text"), SPLIT))).alias("term"))
+    texts = [(name, text, _words(text)) for name, each in HEADERS.items() for text in each]
+    wide = sorted({*vocabulary, "spdx", *(w for _, _, own in texts for w in own), *(w for t in TITLES.values() for w in _words(t))})
+    there = F.array_intersect(F.array(*map(F.lit, wide)), F.split(F.lower("text"), SPLIT))
+    seen = rows.select(F.explode(there).alias("term"))
     df = {r.term: r["count"] for r in seen.groupBy("term").count().collect()}  # a row a template word
     n = rows.count()
-    idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
+    idf_all = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in wide}
+    idf = {w: idf_all[w] for w in vocabulary}
     outside = math.log(1 + n) + 1
     weights = template_weights(templates, idf)
+    text_weights = [template_weights({name: text}, idf_all)[name] for name, text, _ in texts]
 
     # Lines that may be notices.
     reaches = lambda found: may_reach(weights, cosine, lambda w: F.array_contains(found, w))
-    there = F.array_intersect(listed, F.split(F.lower("text"), SPLIT))
-    likely = rows.where(F.get(F.transform(F.array(there), reaches), F.lit(0)))  # the text is split once, not once a word
-    likely = likely.withColumns({"row": F.monotonically_increasing_id(), "words": F.size(terms(F.col("text")))})
+    common = {w for w in wide if df.get(w, 0) > n / 10}
+    enough = lambda found: [enough_words(v, common, cosine, found) for v in text_weights]
+    titled = lambda found: [F.size(F.array_intersect(F.array(*map(F.lit, sorted(set(_words(t))))), found)) == len(set(_words(t))) for t in TITLES.values()]
+    any_of = lambda found: reduce(lambda a, b: a | b, [reaches(found), F.array_contains(found, "spdx"), *titled(found), *enough(found)])
+    likely = rows.where(F.get(F.transform(F.array(there), any_of), F.lit(0)))  # the text is split once, not once a word
+    likely = likely.withColumns({"row": F.monotonically_increasing_id(), "words": F.size(terms(F.col("text"))), "found": there})
+    likely = work.write(likely, "likely")
     each = F.transform(F.split("text", "\n"), lambda body, k: F.struct(k.alias("line"), terms(body).alias("terms")))
     lines = likely.select("row", "doc_id", "path", "words", F.explode(F.filter(each, lambda x: reaches(x["terms"]))).alias("x"))
     lines = lines.select("row", "doc_id", "path", "words", "x.line", "x.terms")
@@ -111,10 +140,40 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sums = vectors.groupBy("row", "line").agg(*kept, F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), *(F.sum(F.col("v") * F.coalesce(f"w{k}", F.lit(0.0))).alias(f"dot{k}") for k in range(len(names))))
     scores = F.array(*(F.struct((-F.round(F.col(f"dot{k}") / F.col("norm"), 6)).alias("worse"), F.lit(name).alias("license")) for k, name in enumerate(names)))
     notices = sums.select("row", "line", "doc_id", "path", "words", "here", F.array_min(scores).alias("best")).where(F.col("best.worse") <= -cosine)
-    found = notices.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("path").alias("path"), F.min("best").alias("best"),
-        (F.sum("here") >= file_share * F.first("words")).alias("is_file"),
+    by_line = notices.groupBy("row").agg(F.min("best").alias("best"), (F.sum("here") >= file_share * F.first("words")).alias("is_file"))
+
+    # The notices' words in a row anywhere, SPDX identifiers, and titles that a file begins with.
+    plain = F.concat(F.lit(" "), F.array_join(terms(F.col("text")), " "), F.lit(" "))
+    phrases = [(name, " ".join(_words(t)), False) for name, t in templates.items()]
+    phrases += [(name, " ".join(_words("SPDX-License-Identifier " + x)), False) for name, each in SPDX.items() for x in each]
+    phrases += [(name, " ".join(_words(t)), True) for name, t in TITLES.items()]
+    hits = [F.when(F.col("plain").startswith(f" {x} ") if title else F.col("plain").contains(f" {x} "), F.struct(F.lit(-1.0).alias("worse"), F.lit(name).alias("license"), F.lit(len(x.split())).alias("here"), F.lit(title).alias("title"))) for name, x, title in phrases]
+    said = likely.select("row", "words", plain.alias("plain")).select("row", "words", F.explode(F.array_compact(F.array(*hits))).alias("x"))
+    by_phrase = said.groupBy("row").agg(F.min(F.struct("x.worse", "x.license")).alias("best"), (F.max("x.title") | (F.sum("x.here") >= file_share * F.first("words"))).alias("is_file"))
+
+    # Windows of each text's length, an eighth of it apart, and the whole file.
+    sizes = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(len(own)).alias("m")) for k, (_, _, own) in enumerate(texts)))
+    may = F.array(*enough(F.col("found")))
+    pairs = likely.select("row", "words", terms(F.col("text")).alias("terms"), F.explode(F.filter(sizes, lambda x: F.get(may, x["k"]))).alias("x")).select("row", "words", "terms", "x.k", "x.m")
+    last = F.greatest(F.col("words") - F.col("m"), F.lit(0))
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.greatest(F.floor(F.col("m") / 8), F.lit(1)).cast("int")), F.array(last)))
+    spans = F.concat(F.transform(starts, lambda x: F.struct(x.alias("start"), F.col("m").alias("size"))), F.array(F.struct(F.lit(-1).alias("start"), F.col("words").alias("size"))))
+    spans = pairs.select("row", "k", "terms", F.explode(spans).alias("x"))
+    spans = spans.select("row", "k", "x.start", F.explode(F.slice("terms", F.greatest(F.col("x.start"), F.lit(0)) + 1, F.col("x.size"))).alias("term"))
+    table = [(w, idf_all[w], [float(v.get(w, 0.0)) for v in text_weights]) for w in wide]
+    table = spark.createDataFrame(table, "term string, idf double, ws array<double>")
+    vectors = spans.groupBy("row", "k", "start", "term").agg(F.count("*").alias("c")).join(F.broadcast(table), "term", "left").withColumn("v", value)
+    sums = vectors.groupBy("row", "k", "start").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.sum(F.col("v") * F.coalesce(F.get("ws", F.col("k")), F.lit(0.0))).alias("dot"))
+    names = F.array(*(F.lit(name) for name, _, _ in texts))
+    near = sums.select("row", "start", F.struct((-F.round(F.col("dot") / F.col("norm"), 6)).alias("worse"), F.get(names, F.col("k")).alias("license")).alias("best")).where(F.col("best.worse") <= -cosine)
+    by_text = near.groupBy("row").agg(F.min("best").alias("best"), F.max(F.col("start") < 0).alias("is_file"))
+
+    one = lambda df, k: df.select("row", F.lit(k).alias("kind"), "best", "is_file")
+    every = one(by_line, 0).union(one(by_phrase, 1)).union(one(by_text, 2)).groupBy("row").agg(
+        F.min(F.when(F.col("kind") == 0, F.col("best"))).alias("line"), F.min(F.when(F.col("kind") == 1, F.col("best"))).alias("phrase"),
+        F.min(F.when(F.col("kind") == 2, F.col("best"))).alias("text"), F.max("is_file").alias("is_file"),
     )
+    found = every.join(likely.select("row", "doc_id", "path"), "row").withColumn("best", F.least(F.coalesce("line", "phrase"), F.col("text")))
     found = work.write(found.select("doc_id", "path", F.col("best.license").alias("own_license"), (-F.col("best.worse")).alias("own_cosine"), "is_file"), "found")
 
     # Directories of files, and the nearest ancestor (itself included) with a licence file.

@@ -129,6 +129,28 @@ def test_licenses_short_cut_loses_nothing(spark):
         assert got[k] == (best[1] if -best[0] >= licenses.COSINE else None)
 
 
+def test_licenses_headers_and_full_texts(spark):
+    """Full texts, standard headers, wrapped and inline notices, SPDX lines, and long licences by their title."""
+    import textwrap
+
+    from gristmill.llm.license_texts import HEADERS
+
+    wrapped = lambda name, width, mark="": "\n".join(mark + x for x in textwrap.wrap(HEADERS[name][0], width))
+    files = [
+        (1, "m/LICENSE", "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + wrapped("MIT", 70), "MIT", True),
+        (2, "g/a.py", wrapped("GPL-3.0", 60, "# ") + "\n" + "code here = other\n" * 300, "GPL-3.0", False),
+        (3, "a/b.py", "Licensed under the Apache License,\nVersion 2.0.\n" + "code line\n" * 40, "Apache-2.0", False),
+        (4, "a/c.py", "x y z " * 30 + "Licensed under the Apache License, Version 2.0. " + "x y z " * 30, "Apache-2.0", False),
+        (5, "s/d.py", "# SPDX-License-Identifier: BSD-3-Clause\n" + "code line\n" * 40, "BSD-3-Clause", False),
+        (6, "b/LICENSE", wrapped("BSD-3-Clause", 70), "BSD-3-Clause", True),
+        (7, "h/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n" + "any terms " * 400, "GPL-2.0", True),
+        (8, "n/e.py", "nothing of the kind\n" * 40, None, False),
+        (9, "k/f.py", wrapped("Apache-2.0", 70, " * ") + "\n" + "more = code\n" * 300, "Apache-2.0", False),
+    ]
+    got = {r.doc_id: (r.own_license, r.is_license_file) for r in licenses.scan_licenses(spark.createDataFrame([f[:3] for f in files], "doc_id long, path string, text string")).collect()}
+    assert got == {f[0]: f[3:] for f in files}
+
+
 def test_licenses_odd(odd):
     assert licenses.scan_licenses(odd, path=licenses.document_path()).count() == odd.count()
 
