@@ -9,8 +9,8 @@ byte, symbols strewn between words would even out); per language, a histogram of
 than REACH interquartile ranges from them on either side is rejected: too predictable, or unlike its language.
 
 Defined results: a null text has no words and fails; a null language is a language of its own; a language with
-fewer than LEAST_DOCS documents that pass the base rules takes the bands of all documents together; repeated
-rows are scored alike; an empty table gives no rows; other columns pass through.
+fewer than LEAST_DOCS documents that pass the base rules takes score and band alike from a model of all
+documents together; repeated rows are scored alike; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -31,12 +31,14 @@ MAX_TYPES = 4_000_000
 #: Interquartile ranges from the quartiles, the least range, and bins a unit of log perplexity.
 REACH, LEAST_RANGE, BINS = 3.0, 0.2, 128
 LEAST_DOCS = 50
+#: Stands among the languages for all of them together.
+ALL = ("all",)
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 #: Letters, digits and all beyond ASCII.
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-METRICS = "_n_words long, _word_chars long, _n_symbols long, _n_dup_lines long, _n_repeat_words long, _base_failed boolean, _log_ppl double"
+METRICS = "_n_words long, _word_chars long, _n_symbols long, _n_dup_lines long, _n_repeat_words long, _base_failed boolean, _log_ppl double, _log_ppl_all double"
 
 
 # ---------------------------------------------------------------- n-gram keys
@@ -177,6 +179,9 @@ def train_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         own = langs == lang
         by = np.argsort(grams[own])
         model.add(lang, grams[own][by].astype(np.uint64), n[own][by])
+    if len(grams):
+        pooled, at = np.unique(grams, return_inverse=True)
+        model.add(ALL, pooled.astype(np.uint64), np.bincount(at, n).astype(np.int64))
     work.drop()
     return model.close()
 
@@ -230,10 +235,11 @@ def _score(model, payload: int):
             for first, last, buf, offs in text_slices(batch.column(payload)):
                 got = text_measures(buf, offs)
                 sizes = np.diff(offs)
-                coded = gram_keys(buf, offs, m.order) | np.repeat(codes_of[first:last] << np.uint64(48), sizes)
-                distinct, at = np.unique(coded, return_inverse=True)  # each is looked up once a slice
-                lp = m.log_probabilities(distinct & np.uint64((1 << 48) - 1), distinct >> np.uint64(48))[at]
-                got["log_ppl"] = -sums_by(lp, sizes) / np.maximum(got["real_words"], 1)
+                keys = gram_keys(buf, offs, m.order)
+                for name, codes in (("log_ppl", codes_of[first:last]), ("log_ppl_all", np.full(last - first, m.langs.get(ALL, 255), np.uint64))):
+                    distinct, at = np.unique(keys | np.repeat(codes << np.uint64(48), sizes), return_inverse=True)  # each is looked up once a slice
+                    lp = m.log_probabilities(distinct & np.uint64((1 << 48) - 1), distinct >> np.uint64(48))[at]
+                    got[name] = -sums_by(lp, sizes) / np.maximum(got["real_words"], 1)
                 for k, v in got.items():
                     out.setdefault(k, []).append(v)
             out = {k: np.concatenate(v) for k, v in out.items()}
@@ -241,23 +247,22 @@ def _score(model, payload: int):
                 continue
             failed = (out["n_words"] < 50) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
             named = [pa.array(out[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-            named += [pa.array(failed), pa.array(out["log_ppl"], mask=out["n_words"] == 0)]
-            names = batch.schema.names[:payload] + [f"_{x}" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ppl")]
+            named += [pa.array(failed), *(pa.array(out[k], mask=out["n_words"] == 0) for k in ("log_ppl", "log_ppl_all"))]
+            names = batch.schema.names[:payload] + [f"_{x}" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ppl", "log_ppl_all")]
             yield pa.RecordBatch.from_arrays([*batch.columns[:payload], *named], names=names)
 
     return run
 
 
 def _bands(scored: DataFrame) -> list[tuple]:
-    """(language, lower, upper) from a histogram; the last entry is for all languages together."""
-    bins = scored.where("not _base_failed and _log_ppl is not null").groupBy("_lang", F.floor(F.col("_log_ppl") * BINS).alias("bin")).count()
+    """(language, lower, upper, whether they are those of all languages together) from histograms."""
+    passed = scored.where("not _base_failed and _log_ppl is not null")
+    in_bins = lambda c: F.floor(F.col(c) * BINS).alias("bin")
     by: dict = {}
-    for lang, b, c in bins.collect():  # as many as a language's scores span
+    for lang, b, c in passed.groupBy("_lang", in_bins("_log_ppl")).count().collect():  # as many as a language's scores span
         by.setdefault(lang, {})[b] = c
-    everything: dict = {}
-    for own in by.values():
-        for b, c in own.items():
-            everything[b] = everything.get(b, 0) + c
+    rare = [lang for lang, own in by.items() if sum(own.values()) < LEAST_DOCS]
+    everything = {b: c for b, c in passed.groupBy(in_bins("_log_ppl_all")).count().collect()} if rare else {}
 
     def band(own: dict) -> tuple[float, float]:
         total, seen, marks = sum(own.values()), 0, []
@@ -269,7 +274,7 @@ def _bands(scored: DataFrame) -> list[tuple]:
         return marks[0] - wide, marks[1] + wide
 
     common = band(everything) if everything else (-math.inf, math.inf)
-    return [(lang, *(band(own) if sum(own.values()) >= LEAST_DOCS else common)) for lang, own in by.items()]
+    return [(lang, *(common if lang in rare else band(own)), lang in rare) for lang, own in by.items()]
 
 
 def quality_scores(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> DataFrame:
@@ -281,10 +286,11 @@ def quality_scores(docs: DataFrame, keep: list[str], text_col: str = "text", lan
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
     scored = work.write(rows.mapInArrow(batchwise(_score(model, len(keep) + 1)), f"{fields}, {METRICS}"), "scored")
     bands = _bands(scored)
-    limits = spark.createDataFrame(bands, "_band string, _low double, _high double")
+    limits = spark.createDataFrame(bands, "_band string, _low double, _high double, _rare boolean")
     limits = F.broadcast(limits) if len(bands) <= 10_000 else limits
     fits = F.col("_log_ppl").between(F.col("_low"), F.col("_high"))
-    return scored.join(limits, F.col("_lang").eqNullSafe(F.col("_band")), "left").withColumn("_kept", ~F.col("_base_failed") & F.coalesce(fits, F.lit(False))).drop("_band", "_lang")
+    both = scored.join(limits, F.col("_lang").eqNullSafe(F.col("_band")), "left").withColumn("_log_ppl", F.when(F.col("_rare"), F.col("_log_ppl_all")).otherwise(F.col("_log_ppl")))
+    return both.withColumn("_kept", ~F.col("_base_failed") & F.coalesce(fits, F.lit(False))).drop("_band", "_lang", "_rare", "_log_ppl_all")
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

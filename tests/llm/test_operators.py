@@ -84,6 +84,19 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert all(got[r[0]] for r in rows) and not any(got[r[0]] for r in junk)
 
 
+def test_quality_keeps_clean_documents_of_rare_languages(spark):
+    import random
+
+    from conftest import sentence
+
+    rng = random.Random(3)
+    langs = ["en"] * 300 + ["a"] + ["b"] * 5 + ["c"] * 20 + ["d"] * 49 + [None] * 3
+    rows = [(k, sentence(rng, 120), lang) for k, lang in enumerate(langs)]
+    got = {r.doc_id: r.kept for r in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    lost = Counter(lang for k, _, lang in rows if not got[k])
+    assert not lost, lost
+
+
 def test_quality_odd(odd, empty):
     assert quality.quality_report(empty).count() == 0
     got = quality.quality_report(odd).collect()
