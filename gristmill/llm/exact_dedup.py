@@ -169,10 +169,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index = work.write(dealt.mapInArrow(batchwise(_chains(directory.slots, depth)), INDEX), "index")
 
     found = entries.where("kind = 0").select("h", "sha", "doc_id", "doc_row", "n_cp").join(index, ["h", "sha"])
-    return found.select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_row") == F.col("keep_row")).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"), "n_cp", "bucket", "chain",
-    )
+    kept, sha = F.col("doc_row") == F.col("keep_row"), F.lower(F.hex("sha"))
+    return work.keep(found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), sha.alias("text_sha256"), "n_cp", "bucket", "chain"))
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

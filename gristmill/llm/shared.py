@@ -10,6 +10,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,12 +36,23 @@ def shared_root(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """One run's folder below the shared root."""
+    """One run's folder below the shared root; what still stands there goes when the application ends."""
+
+    #: Those that nobody has dropped yet, oldest first.
+    open: ClassVar[list[Workspace]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         ship_package(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        at, store = self._store()
+        store.mkdirs(at)
+        store.deleteOnExit(at)
+        Workspace.open.append(self)
+
+    def _store(self, name: str = ""):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.path}/{name}"
@@ -49,9 +61,19 @@ class Workspace:
 
     def drop(self, name: str = "") -> None:
         """Delete a table that nothing reads any more, or the whole folder."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        at.getFileSystem(conf).delete(at, True)
+        at, store = self._store(name)
+        store.delete(at, True)
+        if not name and self in Workspace.open:
+            Workspace.open.remove(self)
+
+    def keep(self, df: DataFrame, name: str = "result") -> DataFrame:
+        """Write a result and drop all else that stands here."""
+        df = self.write(df, name)
+        at, store = self._store()
+        for status in store.listStatus(at):
+            if status.getPath().getName() != name:
+                store.delete(status.getPath(), True)
+        return df
 
 
 def partitions(spark: SparkSession) -> int:
