@@ -15,11 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace, named, numbered, place
+from .shared import Workspace, few, named, numbered, place
 
 BITS, LEVELS = 12, 5
-#: Up to so many sources the plan (a row a source) is broadcast.
-MANY_SOURCES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -80,11 +78,6 @@ def _boundary(sizes: DataFrame, budgets: dict) -> dict:
     return done
 
 
-def _small(table: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table of a row a source, if the sources are as few as is usual."""
-    return F.broadcast(table) if rows <= MANY_SOURCES else table
-
-
 def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame]:
     """The documents' sizes and hashes, and a row a source: source_size, target, whole copies, threshold."""
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "mix")
@@ -93,11 +86,11 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
     targets = target_sizes(sums, weights, most)
     names = {s: k for k, s in enumerate(sorted(sums, key=lambda s: (s is None, s or "")))}
     whole = {s: int(targets[s] // sums[s]) if sums[s] else 0 for s in sums}
-    index = _small(spark.createDataFrame(list(names.items()), "source string, s int"), len(names))
+    index = few(spark.createDataFrame(list(names.items()), "source string, s int"), len(names))
     named = rows.join(index, rows.source.eqNullSafe(index.source)).drop(index.source)
     found = _boundary(named.where("size > 0").select("s", "size", "u"), {names[s]: targets[s] - whole[s] * sums[s] for s in sums})
     plan = [(s, sums[s], targets[s], whole[s], found[names[s]][0]) for s in sums]
-    return rows, _small(spark.createDataFrame(plan, "_source string, source_size long, target double, whole int, threshold long"), len(plan))
+    return rows, few(spark.createDataFrame(plan, "_source string, source_size long, target double, whole int, threshold long"), len(plan))
 
 
 def _hash(id_col: str, text_col: str):

@@ -22,13 +22,12 @@ from contextlib import closing
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import batchwise
-from .shared import Workspace, partitions
+from .shared import Workspace, open_store, partitions
 from .tokens import Encoder
 
 MAGIC, BLOCK = b"GMBP0001", 1 << 16
@@ -54,13 +53,6 @@ def unpack(raw, count: int, bits: int, first: int = 0) -> np.ndarray:
     return np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(-1)
 
 
-def open_store(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system and path behind a URI of the shared folder."""
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-
-
 class ShardWriter:
     def __init__(self, out, bits: int):
         self.out, self.bits, self.at = out, bits, len(MAGIC)

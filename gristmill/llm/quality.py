@@ -1,44 +1,47 @@
 """Quality rules: counts of words, lines and symbols, and perplexity bands of a byte n-gram model per language.
 
-Spark counts the n-grams of every whole text (each task sends one row a distinct n-gram). The counts become an
-interpolated modified Kneser-Ney model: for each order a sorted array of 64-bit hashes beside one of log
-probabilities or of back-off weights, looked up with vectorised binary search. Byte n-grams keep the model's
-size bound by the alphabet rather than by the corpus; its order falls if there are more than MAX_TYPES.
-A second scan scores every text by the perplexity of a word that has a letter or digit (per
-byte, symbols strewn between words would even out); per language, a histogram of the scores gives quartiles, and what lies further
-than REACH interquartile ranges from them on either side is rejected: too predictable, or unlike its language.
-
-Defined results: a null text has no words and fails; a null language is a language of its own; a language with
-fewer than LEAST_DOCS documents that pass the base rules takes score and band alike from a model of all
-documents together; repeated rows are scored alike; an empty table gives no rows; other columns pass through.
+Spark counts the n-grams of every whole text (each task sends one row a distinct n-gram) and works out the
+interpolated modified Kneser-Ney probabilities of the highest order, level by level, with joins and windows of at
+most 256 rows. They are stored as arrays sorted by 64-bit hashes in the shared folder: those of the most frequent
+n-grams, RESIDENT at most, in one that each worker holds; the rest in ranges of the hash. A scan scores every text with
+vectorised binary search in the first; n-grams that it lacks go, once a document, to the task of their range, which
+searches that. As the model counts the texts that it scores, no look-up has to back off. Log probabilities are fixed-point
+numbers, so sums and verdicts are the same wherever an n-gram is found, and nothing of the model is on the driver.
+
+A text's score is the perplexity of a word that has a letter or digit (per byte, symbols strewn between words would
+even out); per language, a histogram of the scores gives quartiles, and what lies further than REACH interquartile
+ranges from them on either side is rejected: too predictable, or unlike its language.
+
+Defined results: a null text has no words and fails; a null language is a language of its own; model and band of a
+language come from its own documents, however few; repeated rows are scored alike; an empty table gives no rows;
+other columns pass through, whatever they are called; a very long text is scored whole, by the task that reads it.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import SPACE, batchwise, mix, span_hashes, sums_by, text_slices, window_hashes, word_bounds
-from .shared import Workspace, named, numbered, place
+from .shared import Workspace, few, named, numbered, open_store, partitions, place
 
 ORDER = 5
-#: Most n-gram types of the highest order that go into a model; the driver and each worker hold them.
-MAX_TYPES = 4_000_000
+#: N-grams that a task gathers before it sends them, those that each worker holds, those of a range of the others.
+HELD, RESIDENT, RANGE = 4_000_000, 2_000_000, 1 << 20
+#: Log probabilities are multiples of 1 / UNIT.
+UNIT = 1 << 20
 #: Interquartile ranges from the quartiles, the least range, and bins a unit of log perplexity.
 REACH, LEAST_RANGE, BINS = 3.0, 0.2, 128
-LEAST_DOCS = 50
-#: Stands among the languages for all of them together.
-ALL = ("all",)
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 #: Letters, digits and all beyond ASCII.
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-METRICS = "_n_words long, _word_chars long, _n_symbols long, _n_dup_lines long, _n_repeat_words long, _base_failed boolean, _log_ppl double, _log_ppl_all double"
+METRICS = "_n_words long, _word_chars long, _n_symbols long, _n_dup_lines long, _n_repeat_words long, _base_failed boolean, _real long, _cost long, _row long, _rest array<long>, _times array<int>"
 
 
 # ---------------------------------------------------------------- n-gram keys
@@ -54,28 +57,34 @@ def gram_keys(buf: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
+def _distinct(keys: np.ndarray, sizes: np.ndarray, langs: np.ndarray):
+    """(language, distinct keys, how often each occurs, where each byte's key stands, its bytes) of a slice's languages."""
+    for lang in np.unique(langs):
+        mine = np.flatnonzero(np.repeat(langs == lang, sizes))
+        u, at, n = np.unique(keys[mine], return_inverse=True, return_counts=True)
+        yield int(lang), u, n, at, mine
+
+
 def _count(order: int):
-    schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("l", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def rows(held):
         for lang, (keys, n) in held.items():
             for k in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys[k : k + 100_000]), pa.string()), pa.array(keys[k : k + 100_000].astype(np.int64)), pa.array(n[k : k + 100_000])], schema=schema)
+                part = keys[k : k + 100_000].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), lang)), pa.array(part), pa.array(n[k : k + 100_000])], schema=schema)
 
     def run(batches):
         held: dict = {}
         for batch in batches:
-            langs = np.array(batch.column(1).to_pylist(), object)
+            langs = batch.column(1).to_numpy()
             for first, last, buf, offs in text_slices(batch.column(0)):
-                keys, sizes = gram_keys(buf, offs, order), np.diff(offs)
-                own = langs[first:last]
-                for lang in dict.fromkeys(own.tolist()):
-                    new, n = np.unique(keys[np.repeat(own == lang, sizes)], return_counts=True)
+                for lang, new, n, _, _ in _distinct(gram_keys(buf, offs, order), np.diff(offs), langs[first:last]):
                     if lang in held:
                         new, at = np.unique(np.concatenate([held[lang][0], new]), return_inverse=True)
                         n = np.bincount(at, np.concatenate([held[lang][1], n]), len(new)).astype(np.int64)
                     held[lang] = new, n
-            if sum(len(k) for k, _ in held.values()) > MAX_TYPES:
+            if sum(len(k) for k, _ in held.values()) > HELD:
                 yield from rows(held)
                 held = {}
         yield from rows(held)
@@ -84,106 +93,102 @@ def _count(order: int):
 
 
 # ---------------------------------------------------------------- the model
-class KneserNey:
-    """Interpolated modified Kneser-Ney over byte n-grams of one or more languages, in sorted hash arrays."""
-
-    def __init__(self, order: int):
-        self.order = order
-        self.langs: dict = {}
-        self.grams: list = [([], []) for _ in range(order + 1)]
-        self.contexts: list = [([], []) for _ in range(order + 1)]
-
-    def _hash(self, code, order: int, gram: np.ndarray) -> np.ndarray:
-        return mix(gram ^ mix(np.asarray(code, np.uint64) * np.uint64(64) + np.uint64(order + 1)))
-
-    @staticmethod
-    def discounts(n: np.ndarray) -> np.ndarray:
-        """D1, D2, D3+ from the counts of counts; where those are too few, the absolute discounts 0.5, 1, 1.5."""
-        n1, n2, n3, n4 = (float((n == k).sum()) for k in (1, 2, 3, 4))
-        if not (n1 and n2 and n3 and n4):
-            return np.array([0, 0.5, 1.0, 1.5])
-        y = n1 / (n1 + 2 * n2)
-        d = np.array([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-        return np.clip(d, [0, 0.05, 0.05, 0.05], [0, 1, 2, 3])
-
-    def add(self, lang, grams: np.ndarray, n: np.ndarray) -> None:
-        """grams: distinct keys of the highest order, n: how often each occurs."""
-        code = self.langs.setdefault(lang, len(self.langs))
-        levels = {self.order: (grams, n)}
-        for k in range(self.order - 1, 0, -1):  # how many different bytes precede each
-            levels[k] = np.unique(levels[k + 1][0] & np.uint64((1 << 8 * k) - 1), return_counts=True)
-        lower_keys, lower = np.arange(256, dtype=np.uint64), np.full(256, 1 / 256)
-        for k in range(1, self.order + 1):
-            keys, count = levels[k]
-            d = self.discounts(count)[np.minimum(count, 3)]
-            context, at = np.unique(keys >> np.uint64(8), return_inverse=True)
-            total = np.bincount(at, count)
-            gamma = np.bincount(at, d) / total
-            if k == 1:  # every byte has a probability
-                p = gamma[0] / 256 * np.ones(256)
-                p[keys.astype(int)] += (count - d) / total[at]
-                keys = lower_keys
-            else:
-                suffix = np.searchsorted(lower_keys, keys & np.uint64((1 << 8 * (k - 1)) - 1))
-                p = (count - d) / total[at] + gamma[at] * lower[suffix]
-                self.contexts[k][0].append(self._hash(code, k, context))
-                self.contexts[k][1].append(np.log(gamma))
-            self.grams[k][0].append(self._hash(code, k, keys))
-            self.grams[k][1].append(np.log(p))
-            lower_keys, lower = keys, p
-
-    def close(self) -> KneserNey:
-        for kind in (self.grams, self.contexts):
-            for k, (hashes, values) in enumerate(kind):
-                h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-                order = np.argsort(h)
-                kind[k] = h[order], (np.concatenate(values) if values else np.zeros(0))[order].astype(np.float32)
-        return self
+def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
+    """(l, gram, n, log_p) of the n-grams of the highest order, from (l, gram, n): interpolated modified Kneser-Ney."""
+    levels = [counts.withColumnRenamed("n", "c")]
+    for k in range(order - 1, 0, -1):  # how many different bytes precede each
+        levels.append(levels[-1].groupBy("l", F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.count("*").alias("c")))
+    many = counts.select("l").distinct().count()
+    context, lower = Window.partitionBy("l", F.shiftright("gram", 8)), None
+    for k, level in enumerate(reversed(levels), 1):
+        full = level.join(few(_discounts(level), many), "l")
+        full = full.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+        full = full.withColumns({"total": F.sum("c").over(context), "left": F.sum("d").over(context)})
+        base = F.lit(1 / 256)
+        if k > 1:
+            full = full.withColumn("suffix", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(lower, ["l", "suffix"])
+            base = F.col("base")
+        p = (F.col("c") - F.col("d")) / F.col("total") + F.col("left") / F.col("total") * base
+        lower = full.select("l", F.col("gram").alias("suffix"), "c", p.alias("base"))
+        if k < order:
+            lower = lower.drop("c")
+    return lower.select("l", F.col("suffix").alias("gram"), F.col("c").alias("n"), F.log("base").alias("log_p"))
+
+
+def _discounts(level: DataFrame) -> DataFrame:
+    """(l, d1, d2, d3) from the counts of counts; where those are too few, the absolute discounts 0.5, 1, 1.5."""
+    counts = [F.sum((F.col("c") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
+    n1, n2, n3, n4 = (F.col(f"n{k}") for k in (1, 2, 3, 4))
+    y, some = n1 / (n1 + 2 * n2), (n1 > 0) & (n2 > 0) & (n3 > 0) & (n4 > 0)
+    raw = ((1.0, 0.5, 1 - 2 * y * n2 / n1), (2.0, 1.0, 2 - 3 * y * n3 / n2), (3.0, 1.5, 3 - 4 * y * n4 / n3))
+    d = [F.when(some, F.least(F.greatest(x, F.lit(0.05)), F.lit(most))).otherwise(plain).alias(f"d{k}") for k, (most, plain, x) in enumerate(raw, 1)]
+    return level.groupBy("l").agg(*counts).select("l", *d)
+
+
+def gram_hashes(lang, grams: np.ndarray) -> np.ndarray:
+    return mix(grams ^ mix(np.array([lang], np.int64).view(np.uint64))).view(np.int64)
+
+
+def _hashed(batches):
+    """(l, gram, n, log_p) to (h, n, cost)."""
+    for batch in batches:
+        langs, grams = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint64)
+        h = np.empty(len(grams), np.int64)
+        for lang in np.unique(langs):
+            h[langs == lang] = gram_hashes(lang, grams[langs == lang])
+        cost = np.rint(-UNIT * batch.column(3).to_numpy()).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(2), pa.array(cost)], names=["h", "n", "cost"])
+
+
+class Model:
+    """Sorted hash arrays in the shared folder: `resident`, and `ranges` of the others by the upper `bits` of the hash."""
+
+    _loaded: dict = {}  # noqa: RUF012  the last arrays that this worker has read
+
+    def __init__(self, path: str, order: int, bits: int, rest: bool):
+        self.path, self.order, self.bits, self.rest = path, order, bits, rest
+
+    def arrays(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and costs of `resident` or of a range."""
+        key, large = f"{self.path}/{name}", name == "resident"
+        if self._loaded.get(large, ("",))[0] != key:
+            store, path = open_store(key)
+            table = pq.read_table(path, columns=["h", "cost"], filesystem=store, partitioning=None)
+            h, cost = (table.column(c).to_numpy() for c in ("h", "cost"))
+            by = np.argsort(h)
+            self._loaded[large] = key, (h[by], cost[by])
+        return self._loaded[large][1]
 
     @staticmethod
-    def _find(array: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(array, h)
-        np.minimum(at, max(len(array) - 1, 0), out=at)
-        return at, (array[at] == h) if len(array) else np.zeros(len(h), bool)
-
-    def log_probabilities(self, keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the probability of each key's last byte after the others."""
-        out = np.zeros(len(keys))
-        left = np.arange(len(keys))
-        for k in range(self.order, 0, -1):
-            grams = keys[left] & np.uint64((1 << 8 * k) - 1)
-            at, hit = self._find(self.grams[k][0], self._hash(codes[left], k, grams))
-            out[left[hit]] += self.grams[k][1][at[hit]]
-            left, grams = left[~hit], grams[~hit]
-            if not len(left):
-                break
-            if k > 1:
-                at, hit = self._find(self.contexts[k][0], self._hash(codes[left], k, grams >> np.uint64(8)))
-                out[left[hit]] += self.contexts[k][1][at[hit]]
-        return out
-
-
-def train_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> KneserNey:
-    """Counts over all documents; at most MAX_TYPES rows come to the driver."""
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    work = Workspace(docs.sparkSession, "grams")
-    counted = rows.mapInArrow(batchwise(_count(order)), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    def find(arrays: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Costs, and which are there."""
+        known, cost = arrays
+        if not len(known):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        hit = known[at] == h
+        return np.where(hit, cost[at], 0), hit
+
+
+def train_model(work: Workspace, docs: DataFrame, order: int = ORDER, resident: int = RESIDENT) -> Model:
+    """docs: text, l. No n-gram comes to the driver."""
+    counted = docs.mapInArrow(batchwise(_count(order)), "l long, gram long, n long").groupBy("l", "gram").agg(F.sum("n").alias("n"))
     counts = work.write(counted, "counts")
-    while counts.count() > MAX_TYPES and order > 1:
-        order -= 1
-        counts = counts.groupBy("lang", F.col("gram").bitwiseAND((1 << 8 * order) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-    table, model = counts.toArrow(), KneserNey(order)
-    langs = np.array(table.column("lang").to_pylist(), object)
-    grams, n = (table.column(c).to_numpy() for c in ("gram", "n"))
-    for lang in sorted(set(langs.tolist()), key=lambda x: (x is None, x or "")):
-        own = langs == lang
-        by = np.argsort(grams[own])
-        model.add(lang, grams[own][by].astype(np.uint64), n[own][by])
-    if len(grams):
-        pooled, at = np.unique(grams, return_inverse=True)
-        model.add(ALL, pooled.astype(np.uint64), np.bincount(at, n).astype(np.int64))
-    work.drop()
-    return model.close()
+    entries = work.write(kneser_ney(counts, order).mapInArrow(batchwise(_hashed), "h long, n long, cost long"), "entries")
+    work.drop("counts")
+    by_size = {r.b: r["count"] for r in entries.groupBy(F.floor(F.log2("n")).alias("b")).count().collect()}  # 64 rows at most
+    total, least = sum(by_size.values()), 0
+    while sum(c for b, c in by_size.items() if b >= least) > resident:
+        least += 1
+    n = partitions(work.spark)
+    often = F.col("n") >= (1 << least)
+    work.write(entries.where(often).select("h", "cost").repartitionByRange(8, "h").sortWithinPartitions("h"), "resident")
+    bits, rest = max(n, total // RANGE).bit_length(), any(b < least for b in by_size)
+    if rest:
+        ranged = entries.where(~often).select("h", "cost", F.shiftrightunsigned("h", 64 - bits).alias("slot"))
+        ranged.repartition(n, "slot").sortWithinPartitions("slot", "h").write.partitionBy("slot").parquet(f"{work.path}/ranges")
+    work.drop("entries")
+    return Model(work.path, order, bits, rest)
 
 
 # ---------------------------------------------------------------- one text's measures
@@ -224,83 +229,100 @@ def text_measures(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     return {"real_words": real, "n_words": words, "word_chars": chars, "n_symbols": per_doc(SYMBOLS[buf]), "n_dup_lines": dup_lines, "n_repeat_words": repeat_words}
 
 
-def _score(model, payload: int):
-    """Append the measures and the mean log perplexity a word to the payload columns; text and language are last."""
+def _score(model: Model, payload: int):
+    """Append to the payload columns the measures, the cost of the n-grams that the worker holds, and the others; text and language are last."""
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches):
-        m = model.value
+        part, row = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            langs, out = batch.column(payload + 1).to_pylist(), {}
-            codes_of = np.array([m.langs.get(x, 255) for x in langs], np.uint64)
+            langs = batch.column(payload + 1).to_numpy()
+            known = model.arrays("resident")
             for first, last, buf, offs in text_slices(batch.column(payload)):
-                got = text_measures(buf, offs)
-                sizes = np.diff(offs)
-                keys = gram_keys(buf, offs, m.order)
-                for name, codes in (("log_ppl", codes_of[first:last]), ("log_ppl_all", np.full(last - first, m.langs.get(ALL, 255), np.uint64))):
-                    distinct, at = np.unique(keys | np.repeat(codes << np.uint64(48), sizes), return_inverse=True)  # each is looked up once a slice
-                    lp = m.log_probabilities(distinct & np.uint64((1 << 48) - 1), distinct >> np.uint64(48))[at]
-                    got[name] = -sums_by(lp, sizes) / np.maximum(got["real_words"], 1)
-                for k, v in got.items():
-                    out.setdefault(k, []).append(v)
-            out = {k: np.concatenate(v) for k, v in out.items()}
-            if not out:
-                continue
-            failed = (out["n_words"] < 50) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
-            named = [pa.array(out[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-            named += [pa.array(failed), *(pa.array(out[k], mask=out["n_words"] == 0) for k in ("log_ppl", "log_ppl_all"))]
-            names = batch.schema.names[:payload] + [f"_{x}" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ppl", "log_ppl_all")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:payload], *named], names=names)
+                out, n = text_measures(buf, offs), last - first
+                sizes, cost, doc, rest = np.diff(offs), np.zeros(len(buf), np.int64), [], []
+                keys, of = gram_keys(buf, offs, model.order), np.repeat(np.arange(n), np.diff(offs))
+                for lang, grams, _, at, mine in _distinct(keys, sizes, langs[first:last]):
+                    h = gram_hashes(lang, grams)
+                    value, hit = model.find(known, h)  # each is looked up once a slice
+                    cost[mine] = value[at]
+                    lacking = ~hit[at]
+                    doc.append(of[mine[lacking]])
+                    rest.append(h[at[lacking]])
+                doc, rest = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, rest))
+                by = np.lexsort((rest, doc))
+                doc, rest = doc[by], rest[by]
+                new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (rest[1:] != rest[:-1]))) if len(doc) else doc
+                times = np.diff(np.append(new, len(doc))).astype(np.int32)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=n))]).astype(np.int32)
+                failed = (out["n_words"] < 50) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
+                made = [pa.array(out[k], pa.int64()) for k in counts]
+                made += [pa.array(failed), pa.array(out["real_words"], pa.int64()), pa.array(sums_by(cost, sizes)), pa.array(part + row + np.arange(n))]
+                made += [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (rest[new], times)]
+                row += n
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[first:last] for c in range(payload)), *made], names=[*batch.schema.names[:payload], *(x.split()[0] for x in METRICS.split(", "))])
 
     return run
 
 
-def _bands(scored: DataFrame) -> list[tuple]:
-    """(language, lower, upper, whether they are those of all languages together) from histograms."""
-    passed = scored.where("not _base_failed and _log_ppl is not null")
-    in_bins = lambda c: F.floor(F.col(c) * BINS).alias("bin")
-    by: dict = {}
-    for lang, b, c in passed.groupBy("_lang", in_bins("_log_ppl")).count().collect():  # as many as a language's scores span
-        by.setdefault(lang, {})[b] = c
-    rare = [lang for lang, own in by.items() if sum(own.values()) < LEAST_DOCS]
-    everything = {b: c for b, c in passed.groupBy(in_bins("_log_ppl_all")).count().collect()} if rare else {}
+def _search(model: Model):
+    """(row, cost) of n-grams that come range by range: slot, h, row, times."""
 
-    def band(own: dict) -> tuple[float, float]:
-        total, seen, marks = sum(own.values()), 0, []
-        for b in sorted(own):
-            seen += own[b]
-            while len(marks) < 2 and 4 * seen >= (1, 3)[len(marks)] * total:
-                marks.append((b + 0.5) / BINS)
-        wide = REACH * max(marks[1] - marks[0], LEAST_RANGE)
-        return marks[0] - wide, marks[1] + wide
+    def run(batches):
+        for batch in batches:
+            slots, h, row, times = (batch.column(k).to_numpy() for k in range(4))
+            cost = np.zeros(len(h), np.int64)
+            for slot in np.unique(slots):
+                own = slots == slot
+                cost[own] = model.find(model.arrays(f"ranges/slot={slot}"), h[own])[0]
+            rows, at = np.unique(row, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(at, cost * times, len(rows)).astype(np.int64))], names=["_row", "_more"])
+
+    return run
 
-    common = band(everything) if everything else (-math.inf, math.inf)
-    return [(lang, *(common if lang in rare else band(own)), lang in rare) for lang, own in by.items()]
 
+def _bands(scored: DataFrame) -> DataFrame:
+    """(_band, _low, _high) of each language, from the histogram of its scores."""
+    bins = scored.where("not _base_failed").groupBy(F.col("_l").alias("_band"), F.floor(F.col("_log_ppl") * BINS).alias("bin")).agg(F.count("*").alias("c"))
+    own = Window.partitionBy("_band")
+    seen = bins.withColumns({"total": F.sum("c").over(own), "seen": F.sum("c").over(own.orderBy("bin"))})
+    mark = lambda quarter: (F.min(F.when(4 * F.col("seen") >= quarter * F.col("total"), F.col("bin"))) + 0.5) / BINS
+    marks = seen.groupBy("_band").agg(mark(1).alias("q1"), mark(3).alias("q3"))
+    wide = REACH * F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_RANGE))
+    return marks.select("_band", (F.col("q1") - wide).alias("_low"), (F.col("q3") + wide).alias("_high"))
 
-def quality_scores(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> DataFrame:
+
+def quality_scores(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", order: int = ORDER, resident: int = RESIDENT) -> DataFrame:
     """The columns of `keep`, then _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _base_failed, _log_ppl, _low, _high, _kept."""
-    spark, work = docs.sparkSession, Workspace(docs.sparkSession, "quality")
-    model = spark.sparkContext.broadcast(train_model(docs, text_col, lang_col, order))  # MAX_TYPES bounds it
-    lang = F.col(lang_col).cast("string")
-    rows = docs.select(*keep, lang.alias("_lang"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), lang.alias("_lang2"))
+    work = Workspace(docs.sparkSession, "quality")
+    lang, text = F.xxhash64(F.col(lang_col).cast("string")), F.coalesce(F.col(text_col), F.lit(""))
+    model = train_model(work, docs.select(text.alias("text"), lang.alias("l")), order, resident)
+    rows = docs.select(*keep, lang.alias("_l"), text.alias("_text"), lang.alias("_lang"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
     scored = work.write(rows.mapInArrow(batchwise(_score(model, len(keep) + 1)), f"{fields}, {METRICS}"), "scored")
-    bands = _bands(scored)
-    limits = spark.createDataFrame(bands, "_band string, _low double, _high double, _rare boolean")
-    limits = F.broadcast(limits) if len(bands) <= 10_000 else limits
+    cost = F.col("_cost")
+    if model.rest:
+        lacking = scored.select("_row", F.explode(F.arrays_zip("_rest", "_times")).alias("x")).select(F.shiftrightunsigned("x._rest", 64 - model.bits).alias("slot"), F.col("x._rest").alias("h"), "_row", F.col("x._times").alias("times"))
+        lacking = lacking.repartition(partitions(work.spark), "slot").sortWithinPartitions("slot")
+        more = lacking.mapInArrow(batchwise(_search(model)), "_row long, _more long").groupBy("_row").agg(F.sum("_more").alias("_more"))
+        scored, cost = scored.join(more, "_row", "left"), cost + F.coalesce("_more", F.lit(0))
+    scored = scored.withColumn("_log_ppl", F.when(F.col("_n_words") > 0, cost / UNIT / F.greatest("_real", F.lit(1))))
+    limits = work.write(_bands(scored), "bands")
     fits = F.col("_log_ppl").between(F.col("_low"), F.col("_high"))
-    both = scored.join(limits, F.col("_lang").eqNullSafe(F.col("_band")), "left").withColumn("_log_ppl", F.when(F.col("_rare"), F.col("_log_ppl_all")).otherwise(F.col("_log_ppl")))
-    return both.withColumn("_kept", ~F.col("_base_failed") & F.coalesce(fits, F.lit(False))).drop("_band", "_lang", "_rare", "_log_ppl_all")
+    both = scored.join(few(limits, limits.count()), F.col("_l") == F.col("_band"), "left")
+    return both.select(*keep, *(f"_{c}" for c in BASE), "_log_ppl", "_low", "_high", (~F.col("_base_failed") & F.coalesce(fits, F.lit(False))).alias("_kept"))
+
+
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
     """doc_id, the measures, the verdict, and the perplexity a word with its band."""
-    s = quality_scores(docs, [id_col], text_col, lang_col)
-    base = [F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
-    return s.select(F.col(id_col).alias("doc_id"), *base, F.col("_kept").alias("kept"), F.exp("_log_ppl").alias("perplexity"), F.exp("_low").alias("lower"), F.exp("_high").alias("upper"))
+    s = quality_scores(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), ["doc_id"], **how)
+    return s.select("doc_id", *(F.col(f"_{c}").alias(c) for c in BASE), F.col("_kept").alias("kept"), F.exp("_log_ppl").alias("perplexity"), F.exp("_low").alias("lower"), F.exp("_high").alias("upper"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents that pass, with all their columns. The texts are written once, beside their scores, and not shuffled."""
+    """The documents that pass, with all their columns; nulls, repeats and empty tables as above. The texts are written once, beside their scores, and not shuffled."""
     own = numbered(docs)
     return named(quality_scores(own, own.columns, place(docs, text_col), place(docs, lang_col)).where("_kept"), docs)

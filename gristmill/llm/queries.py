@@ -1,4 +1,4 @@
-"""The thin queries opN_<name> over the driver's tables, and their SQL where SQL can express them."""
+"""The thin queries opN_<name> over the driver's tables."""
 
 from __future__ import annotations
 
@@ -10,12 +10,12 @@ from .chat import format_dialogues
 from .exact_dedup import exact_dedup
 from .jaccard import similar_components
 from .licenses import document_path, scan_licenses
-from .licenses import oracle_sql as licenses_sql
 from .mixing import mix_sources
 from .neural_lm import score_documents
 from .packed_ids import read_packed_ids, write_packed_ids
 from .packing import pack_sequences
-from .quality import quality_report
+from .oracles import oracle_sql as oracle_sql
+from .quality import BASE, quality_report
 from .repeats import remove_repeats
 
 
@@ -34,7 +34,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_report(documents(spark, sf_dir))
+    return quality_report(documents(spark, sf_dir)).select("doc_id", *BASE, "kept")
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,22 +72,3 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_licenses, op4_jaccard, op5_repeats, op6_chat_turns, op7_source_mix, op8_packed_ids, op9_pack_sequences, op10_lm_scores)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {**ORACLES, "op3_licenses": licenses_sql()}
-
-
-ORACLES = {
-    "op1_exact_dedup": """
-        WITH t AS (
-            SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm, length(coalesce(text, '')) AS n FROM documents
-        ), g AS (
-            SELECT *, row_number() OVER (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST) AS rn,
-                   first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST) AS keep_id,
-                   count(*) OVER (PARTITION BY norm) AS group_size
-            FROM t
-        )
-        SELECT doc_id, keep_id, group_size, rn = 1 AS kept, sha256(norm) AS text_sha256 FROM g
-    """,
-}

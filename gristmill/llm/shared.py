@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from typing import ClassVar
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,18 @@ class Workspace:
         return df
 
 
+def few(table: DataFrame, rows: int, most: int = 10_000) -> DataFrame:
+    """Broadcast a table whose rows have been counted, if there are `most` at most; else leave the join to Spark."""
+    return F.broadcast(table) if rows <= most else table
+
+
+def open_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path behind a URI of the shared folder."""
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,5 +1,7 @@
 import random
 
+import duckdb
+import pyarrow as pa
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -44,6 +46,19 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, SCHEMA).repartition(5)
 
 
+@pytest.fixture(scope="session")
+def db_of():
+    """DuckDB with given rows as its table of documents."""
+
+    def made(rows):
+        con, columns = duckdb.connect(), list(zip(*rows, strict=True))
+        con.register("raw", pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["doc_id", "text", "lang", "source", "n_chars"]))
+        con.execute("CREATE TABLE documents AS SELECT * FROM raw")
+        return con
+
+    return made
+
+
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)

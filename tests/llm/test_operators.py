@@ -1,13 +1,16 @@
 import hashlib
 import json
+import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import brute
 import numpy as np
 import pytest
+from conftest import sentence
 
-from gristmill.llm import chat, exact_dedup, jaccard, licenses, mixing, neural_lm, packed_ids, packing, quality, queries, repeats, suffix_sort, tokens
+from gristmill.llm import chat, exact_dedup, jaccard, licenses, mixing, neural_lm, oracles, packed_ids, packing, quality, queries, repeats, suffix_sort, tokens
 from gristmill.llm.signature_tree import SignatureTree
 
 
@@ -55,28 +58,33 @@ def test_quality_base(docs, rows):
     assert got == {r[0]: brute.quality(r[1]) for r in rows}
 
 
-def test_kneser_ney_matches_plain():
+def test_kneser_ney_matches_plain(spark):
     texts = ["the cat sat on the mat", "the cat ran", "a dog sat on the log", "ééà the"]
-    plain, model = brute.kneser_ney(texts, 3), quality.KneserNey(3)
-    grams = Counter()
+    plain, grams = brute.kneser_ney(texts, 3), Counter()
     for t in texts:
         b = bytes(2) + t.encode()
         grams.update(int.from_bytes(b[k : k + 3], "big") for k in range(len(b) - 2))
-    keys = np.array(sorted(grams), np.uint64)
-    model.add("x", keys, np.array([grams[int(k)] for k in keys]))
-    model.close()
-    ask = [b"\0\0t", b"the", b"cat", b"xyz", b"thz", b"\0za", b"on ", "é".encode() + b"q"]
-    got = model.log_probabilities(np.array([int.from_bytes(g, "big") for g in ask], np.uint64), np.zeros(len(ask), np.uint64))
-    assert np.allclose(np.exp(got), [plain(g[:2], g[2]) for g in ask], rtol=1e-5)
-    every = (np.uint64(ord("t")) << np.uint64(16)) | (np.uint64(ord("h")) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-    assert abs(np.exp(model.log_probabilities(every, np.zeros(256, np.uint64))).sum() - 1) < 1e-5
+    counts = spark.createDataFrame([(7, g, n) for g, n in grams.items()] + [(8, g, 1) for g in list(grams)[:5]], "l long, gram long, n long")
+    got = {r.gram: (r.n, math.exp(r.log_p)) for r in quality.kneser_ney(counts, 3).where("l = 7").collect()}
+    assert {g: n for g, (n, _) in got.items()} == grams
+    for g, (_, p) in got.items():
+        raw = g.to_bytes(3, "big")
+        assert math.isclose(p, plain(raw[:2], raw[2]), rel_tol=1e-9)
+
+
+def test_quality_equals_sql_wherever_ngrams_are_found(spark, docs, rows, db_of):
+    """Verdicts, with all of the model in each worker or next to nothing of it, are those of the SQL."""
+    rng = random.Random(2)
+    more = [(100 + k, sentence(rng, 120), ["en", "fr", None][k % 3], "a", 0) for k in range(60)] + [(200, "$ok# " * 40 + sentence(rng, 60).upper(), "en", "a", 0)]
+    frame = spark.createDataFrame(rows + more, docs.schema).repartition(3)
+    want = sorted(db_of(rows + more).execute(oracles.quality_sql()).fetchall())
+    assert {r[-1] for r in want if not r[6]} == {True, False}
+    for resident in (quality.RESIDENT, 50, 0):
+        got = quality.quality_report(frame, resident=resident).select("doc_id", *quality.BASE, "kept")
+        assert sorted(map(tuple, got.collect())) == want
 
 
 def test_quality_rejects_junk_and_keeps_clean(spark):
-    import random
-
-    from conftest import sentence
-
     rng = random.Random(1)
     rows = [(k, sentence(rng, 120), "en") for k in range(200)]
     junk = [(1000 + k, " ".join(w + rng.choice(["$$$", "%%%", "###"]) for w in sentence(rng, 120).split()), "en") for k in range(6)]
@@ -85,10 +93,6 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
 
 
 def test_quality_keeps_clean_documents_of_rare_languages(spark):
-    import random
-
-    from conftest import sentence
-
     rng = random.Random(3)
     langs = ["en"] * 300 + ["a"] + ["b"] * 5 + ["c"] * 20 + ["d"] * 49 + [None] * 3
     rows = [(k, sentence(rng, 120), lang) for k, lang in enumerate(langs)]
