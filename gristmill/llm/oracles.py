@@ -49,7 +49,8 @@ def quality_sql(order: int = 5) -> str:
         FROM t LEFT JOIN n_repeats USING (r) LEFT JOIN n_lines USING (r)
     ), tested AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
     raw AS (SELECT r, l, '{"00" * (order - 1)}' || hex(encode(text)) AS h FROM t),
-    grams AS (SELECT r, l, substr(h, 2 * i + 1, {2 * order}) AS g FROM (SELECT r, l, h, unnest(range(length(h) // 2 - {order - 1})) AS i FROM raw)),
+    pieces AS (SELECT r, l, substr(h, 512 * j + 1, {512 + 2 * order - 2}) AS h FROM (SELECT r, l, h, unnest(range(length(h) // 512 + 1)) AS j FROM raw)),
+    grams AS (SELECT r, l, substr(h, 2 * i + 1, {2 * order}) AS g FROM (SELECT r, l, h, unnest(range(length(h) // 2 - {order - 1})) AS i FROM pieces)),
     level{order} AS (SELECT l, g, count(*) AS c FROM grams GROUP BY ALL),
     {", ".join(levels)},
     scores AS (SELECT r, sum(round(-1048576 * ln(p))::BIGINT)::BIGINT AS cost FROM grams JOIN p{order} USING (l, g) GROUP BY r),
