@@ -94,8 +94,9 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
 
 
 def _hash(id_col: str, text_col: str):
-    """60 bits of the row's content."""
-    return F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))), 4)
+    """The first 60 bits of an MD5 of the row's content, which SQL engines have too."""
+    content = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))
+    return F.conv(F.substring(F.md5(content), 1, 15), 16, 10).cast("long")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:

@@ -64,5 +64,57 @@ def quality_sql(order: int = 5) -> str:
     """
 
 
+JACCARD = f"""
+    WITH RECURSIVE t AS (
+        SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{SPACE}]+') AS ws FROM documents
+    ), words AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
+    windows AS (SELECT r, concat_ws(' ', w, lead(w) OVER x, lead(w, 2) OVER x, lead(w, 3) OVER x, lead(w, 4) OVER x) AS s, i = 1 OR lead(w, 4) OVER x IS NOT NULL AS whole FROM words WINDOW x AS (PARTITION BY r ORDER BY i)),
+    shingles AS MATERIALIZED (SELECT DISTINCT r, s FROM windows WHERE whole),
+    sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+    common AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM shingles AS a JOIN shingles AS b ON a.s = b.s AND a.r <> b.r GROUP BY ALL),
+    links AS MATERIALIZED (SELECT a, b FROM common JOIN sizes AS x ON x.r = a JOIN sizes AS y ON y.r = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+    reached(r, c) AS (SELECT r, r FROM t UNION SELECT links.b, reached.c FROM reached JOIN links ON links.a = reached.r)
+    SELECT x.doc_id, coalesce(n, 0) AS n_shingles, component_id
+    FROM t AS x LEFT JOIN sizes USING (r) JOIN (SELECT reached.r, min(doc_id) AS component_id FROM reached JOIN t ON t.r = reached.c GROUP BY reached.r) USING (r)
+"""
+
+REPEATS = """
+    WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS o, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    pieces AS (SELECT r, o, 256 * j AS low, substr(h, 512 * j + 1, 610) AS h FROM (SELECT r, o, h, unnest(range(length(h) // 512 + 1)) AS j FROM t)),
+    strings AS (SELECT r, o, low + i AS i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT r, o, low, h, unnest(range(length(h) // 2 - 49)) AS i FROM pieces)),
+    marked AS (SELECT r, i FROM (SELECT r, i, o, min(o) OVER (PARTITION BY s) AS least FROM strings) WHERE least < o),
+    runs AS (SELECT r, i, i > coalesce(lag(i) OVER x, -100) + 50 AS new FROM marked WINDOW x AS (PARTITION BY r ORDER BY i)),
+    spans AS (SELECT r, min(i) AS low, max(i) + 50 AS high FROM (SELECT r, i, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS k FROM runs) GROUP BY r, k),
+    cuts AS (SELECT r, low, high, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS before FROM (FROM spans UNION ALL SELECT r, length(h) // 2, NULL FROM t)),
+    kept AS (SELECT r, count(high) AS n_spans, coalesce(sum(high - low), 0)::BIGINT AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low, high NULLS LAST) AS kept FROM cuts JOIN t USING (r) GROUP BY r)
+    SELECT doc_id, length(h) // 2 AS n_bytes, n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM t JOIN kept USING (r)
+"""
+
+MIX = f"""
+    WITH RECURSIVE t AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^{SPACE}]+')) AS size,
+               ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS u
+        FROM documents
+    ), sources AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS s FROM t GROUP BY source),
+    rounds AS (
+        SELECT 0 AS k, s, 1 + (s - 1) % 3 AS w, source_size, (sum(source_size) OVER ())::DOUBLE AS rest FROM sources
+        UNION ALL
+        SELECT k + 1, s, w, source_size, rest - gone
+        FROM (SELECT *, bool_or(over) OVER () AS any_over, sum(3 * source_size) FILTER (over) OVER () AS gone
+              FROM (SELECT *, rest * w / sum(w) OVER () > 3 * source_size AS over FROM rounds))
+        WHERE any_over AND NOT over
+    ), shares AS (SELECT *, rest * w / sum(w) OVER (PARTITION BY k) AS share FROM rounds),
+    plan AS (
+        SELECT s, target, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size)::INT END AS whole, source_size
+        FROM (SELECT s, source_size, CASE WHEN share > 3 * source_size THEN (3 * source_size)::DOUBLE ELSE share END AS target FROM shares QUALIFY row_number() OVER (PARTITION BY s ORDER BY k DESC) = 1)
+    ), named AS (SELECT t.*, s FROM t JOIN sources ON t.source IS NOT DISTINCT FROM sources.source),
+    draws AS (SELECT s, u, sum(size) AS z FROM named WHERE size > 0 GROUP BY ALL),
+    below AS (SELECT s, u, z, sum(z) OVER (PARTITION BY s ORDER BY u) - z AS before, target - whole * source_size AS budget FROM draws JOIN plan USING (s)),
+    edges AS (SELECT s, u + (2 * (budget - before) > z)::INT AS threshold FROM below WHERE before + z > budget QUALIFY row_number() OVER (PARTITION BY s ORDER BY u) = 1),
+    taken AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE whole + (u < coalesce(threshold, 1 << 60))::INT END AS copies FROM named JOIN plan USING (s) LEFT JOIN edges USING (s))
+    SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM taken
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": EXACT, "op2_quality": quality_sql(), "op3_licenses": licenses_sql()}
+    return {"op1_exact_dedup": EXACT, "op2_quality": quality_sql(), "op3_licenses": licenses_sql(), "op4_jaccard": JACCARD, "op5_repeats": REPEATS, "op7_source_mix": MIX}
