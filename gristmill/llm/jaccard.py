@@ -41,6 +41,8 @@ HELD = 1_000_000
 #: A class's key: 96 bits of its shingles' hashes.
 KEY = np.dtype([("a", "<u8"), ("b", "<u4")])
 LOW48 = np.uint64((1 << 48) - 1)
+#: Classes of one blob from which a shingle counts as common, and a token's upper bits then.
+COMMON, EVERY = 16, np.uint64(65535 << 48)
 
 
 def _sets(column, width):
@@ -124,10 +126,18 @@ def _send(width: int, n_buckets: int):
         _, first, of = np.unique(_fold(key), return_index=True, return_inverse=True)
         mine = (first[of] == np.arange(len(of)))[doc]  # one document of each class
         h, doc = h[mine], doc[mine]
+        # What many classes have here is shared for certain: it goes straight to their groups, and a mark to the bucket.
+        common, at, have = np.unique(h & LOW48, return_inverse=True, return_counts=True)
+        far = have[at] >= COMMON
+        grp = (key["a"][doc] % np.uint64(n_buckets)).astype(np.int64)
+        by = np.flatnonzero(far)[np.lexsort((doc[far], grp[far]))]
+        rows = [(*r, b"") for r in _blobs(n_buckets + grp[by], doc[by], key, EVERY | (h[by] & LOW48))]
+        key, marked = np.append(key, np.zeros(1, KEY)), np.unique(h[far])
+        h, doc = np.append(h[~far], marked), np.append(doc[~far], np.full(len(marked), len(counts)))
         bucket = (((h >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
-        by = np.argsort(bucket * len(counts) + doc, kind="stable")
+        by = np.argsort(bucket * len(key) + doc, kind="stable")
         h, doc, bucket = h[by], doc[by], bucket[by]
-        rows = _blobs(bucket, doc, key, h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint16))
+        rows += _blobs(bucket, doc, key, h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint16))
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t.type) for c, t in enumerate(schema)], schema=schema)
 
     def run(batches):
@@ -148,16 +158,23 @@ def _shared(n_groups: int):
     schema = pa.schema([("grp", pa.int32()), *((c, pa.binary()) for c in ("classes", "counts", "tokens", "sizes"))])
 
     def run(table: pa.Table) -> pa.Table:
+        grp = table.column("bucket")[0].as_py() - n_groups
+        if grp >= 0:  # on their way to their groups
+            return pa.Table.from_arrays([pa.array([grp] * len(table), pa.int32()), *(table.column(c) for c in ("classes", "counts", "low", "high"))], schema=schema)
         key, here, low, high = _columns(table, ("classes", "counts", "low", "high"), (KEY, np.uint16, np.uint32, np.uint16))
         h = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
         _, first, of = np.unique(_fold(key), return_index=True, return_inverse=True)
         of = np.repeat(of, here)
-        by = np.lexsort((of, h))
+        mark = (key["a"][first] == 0) & (key["b"][first] == 0)
+        common = np.unique(h[mark[of]])
+        by = np.flatnonzero(~mark[of])
+        by = by[np.lexsort((of[by], h[by]))]
         h, of = h[by], of[by]
         keep = _starts(h, of)
         h, of = h[keep], of[keep]
         have = np.diff(np.append(_starts(h), len(h)))
         have = np.repeat(have, have)
+        have[np.isin(h, common)] = 65535
         some = have > 1
         h, of, have = h[some], first[of[some]], have[some]
         tokens = (np.minimum(have, 65535).astype(np.uint64) << np.uint64(48)) | h
@@ -190,6 +207,10 @@ def _gather(share):
         of, tokens = of[some], tokens[some]
         by = np.lexsort((tokens, of))
         of, tokens = of[by], tokens[by]
+        keep = _starts(of, tokens)  # a class may have sent the same twice
+        of, tokens = of[keep], tokens[keep]
+        some = (q * np.bincount(of, minlength=len(first)) >= p * n)[of]
+        of, tokens = of[some], tokens[some]
         edge = np.append(_starts(of), len(of))
         out = []
         for i, j in zip(edge, edge[1:], strict=False):

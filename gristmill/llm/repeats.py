@@ -4,9 +4,11 @@ Any string of `length` bytes has a minimizer: of its runs of GRAM bytes the one
 equals. Equal strings have equal minimizers, so strings can only repeat where a minimizer does:
 
 1. Each task sends the 32-bit remainders of its texts' minimizers, as blobs, to the bucket that the upper bits
-   name; a bucket returns, per text, those that another text has too.
+   name; a bucket returns, per text, those that another text has too. Of a minimizer that many texts of a task's
+   blob share, two go to the bucket and the others' way back begins at once.
 2. A text's strings with such a minimizer form runs of starts. Each distinct run with its context (the bytes that
-   its strings cover) goes once a task and bucket to its minimizer's bucket, with the documents that hold it.
+   its strings cover) goes once a blob to its minimizer's bucket, with the least document of the blob that holds it;
+   the others that hold it lose all its strings, whatever the bucket finds.
 3. There the contexts of a minimizer are joined and suffix-sorted in two stages (see suffix_sort); adjacent common
    prefixes of `length` bytes or more form the groups of equal strings, whose least id decides.
 4. Each document gets a bit a start back, and cuts what the marked strings cover.
@@ -104,16 +106,36 @@ def _send_minimizers(n_buckets: int, length: int):
         keep = np.ones(len(b), bool)
         keep[1:] = (b[1:] != b[:-1]) | (doc[1:] != doc[:-1]) | (rest[1:] != rest[:-1])
         b, doc, rest = b[keep], doc[keep], rest[keep]
-        edge = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (doc[1:] != doc[:-1])]))
-        sizes, texts, of = np.diff(np.append(edge, len(b))).astype(np.uint32), key[doc[edge]], b[edge]
-        cut = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
-        spot = np.append(edge, len(b))[cut]
-        rows = [(int(of[i]), texts[i:j].tobytes(), sizes[i:j].tobytes(), rest[x:y].tobytes()) for i, j, x, y in zip(cut, cut[1:], spot, spot[1:], strict=False)]
+        text = key[doc]
+        few = _least_two(text, (b.astype(np.uint64) << np.uint64(32)) | rest)
+        far = np.flatnonzero(~few)  # of these it is known here that another text has them
+        far = far[np.lexsort((text[far], _group_of(text[far], n_buckets)))]
+        grp = _group_of(text[far], n_buckets)
+        codes = (b[far].astype(np.uint64) << np.uint64(32)) | rest[far]
+        rows = _group_rows(n_buckets + grp, [text[far]], [codes])
+        b, text, rest = b[few], text[few], rest[few]
+        by = np.lexsort((rest, text, b))
+        rows += _group_rows(b[by], [text[by]], [rest[by]])
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
+def _least_two(text: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Which entries are among the first two distinct texts of their code."""
+    by = np.lexsort((text, code))
+    t, c = text[by], code[by]
+    new_code = np.ones(len(by), bool)
+    new_code[1:] = c[1:] != c[:-1]
+    new_text = new_code.copy()
+    new_text[1:] |= t[1:] != t[:-1]
+    rank = np.cumsum(new_text)
+    rank -= np.repeat(rank[new_code], np.diff(np.append(np.flatnonzero(new_code), len(by))))
+    out = np.empty(len(by), bool)
+    out[by] = rank < 2
+    return out
+
+
 def _group_rows(grp: np.ndarray, keys: list[np.ndarray], values: list[np.ndarray]) -> list[tuple]:
     """Rows (group; its keys and their counts; the values) of entries sorted by group and key."""
     if not len(grp):
@@ -141,6 +163,9 @@ def _repeated(n_groups: int):
     schema = pa.schema([("grp", pa.int32()), ("texts", pa.binary()), ("counts", pa.binary()), ("codes", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
+        grp = table.column("bucket")[0].as_py() - n_groups
+        if grp >= 0:  # known already, on their way to their texts
+            return pa.Table.from_arrays([pa.array([grp] * len(table), pa.int32()), *(table.column(c) for c in ("texts", "counts", "rest"))], schema=schema)
         texts, counts, rest = _columns(table, ("texts", "counts", "rest"), (np.int64, np.uint32, np.uint32))
         texts = np.repeat(texts, counts)
         by = np.lexsort((texts, rest))
@@ -221,7 +246,18 @@ def _send_contexts(n_buckets: int, n_contexts: int, length: int):
         place, doc = np.concatenate([x[4] + d for x, d in zip(held, lead, strict=False)]), np.concatenate([x[5] for x in held])
         bucket, size = bucket_of(h, n_contexts), count.astype(np.int64) + length - 1
         begin = _runs_by_size(size)
-        rows = []
+        # All strings of a context go from those documents that aren't its first here; only the first one asks.
+        _, same = np.unique(c, return_inverse=True)
+        same, own = same[place], order[doc]
+        least = np.full(len(c), LAST)
+        np.minimum.at(least, same, own)
+        far = own > least[same]
+        text, own, of = key[doc[far]], own[far], place[far]
+        grp = _group_of(text, n_buckets)
+        by = np.lexsort((own, text, grp))
+        every = ((np.uint64(1) << count[of[by]].astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+        rows = [(n_contexts + g, marks, hashes, counts, b"", b"", orders, texts) for g, texts, orders, counts, hashes, marks in _group_rows(grp[by], [text[by], own[by]], [c[of[by]], every])]
+        place, doc = place[~far], doc[~far]
         by = np.argsort(bucket, kind="stable")
         new_place = np.empty(len(by), np.int64)
         edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[by][1:] != bucket[by][:-1]])), len(by))
@@ -273,11 +309,14 @@ def least_orders(h, count, body, begin, order, length: int) -> np.ndarray:
     return out
 
 
-def _resolve(n_groups: int, length: int):
+def _resolve(n_groups: int, n_contexts: int, length: int):
     """One bucket: to each document's group, its contexts that have strings to remove, with a bit a start."""
     schema = pa.schema([("grp", pa.int32()), *((c, pa.binary()) for c in ("texts", "orders", "counts", "hashes", "marks"))])
 
     def run(table: pa.Table) -> pa.Table:
+        grp = table.column("bucket")[0].as_py() - n_contexts
+        if grp >= 0:  # known already, on their way to their texts
+            return pa.Table.from_arrays([pa.array([grp] * len(table), pa.int32()), *(table.column(k) for k in ("texts", "orders", "counts", "hashes", "minimizers"))], schema=schema)
         rows = list(zip(*(table.column(k).to_pylist() for k in ("minimizers", "hashes", "counts", "bytes", "places", "orders", "texts")), strict=True))
         kinds = (np.uint64, np.uint64, np.uint8, np.uint8, np.uint32, np.int64, np.int64)
         got = [[np.frombuffer(x, k) for x, k in zip(r, kinds, strict=True)] for r in rows]
@@ -365,7 +404,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text_size = found.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_contexts = max(n, int(text_size) // CONTEXT_BUCKET)
     contexts = found.mapInArrow(batchwise(_send_contexts(n_buckets, n_contexts, length)), "bucket int, minimizers binary, hashes binary, counts binary, bytes binary, places binary, orders binary, texts binary")
-    marks = contexts.groupBy("bucket").applyInArrow(groupwise(_resolve(n_buckets, length)), "grp int, texts binary, orders binary, counts binary, hashes binary, marks binary")
+    marks = contexts.groupBy("bucket").applyInArrow(groupwise(_resolve(n_buckets, n_contexts, length)), "grp int, texts binary, orders binary, counts binary, hashes binary, marks binary")
     one = _gather(("texts", "orders", "counts", "hashes", "marks"), (np.int64, np.int64), (np.uint64, np.uint32), pa.schema([("text_key", pa.int64()), ("ord", pa.int64()), ("hashes", pa.binary()), ("marks", pa.binary())]))
     per_doc = work.write(marks.groupBy("grp").applyInArrow(groupwise(one), "text_key long, ord long, hashes binary, marks binary"), "marks")
     cut = found.select("text_key", "ord", "text").join(per_doc, ["text_key", "ord"]).select("text_key", "ord", "text", "hashes", "marks")

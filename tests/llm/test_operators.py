@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import sentence
 
@@ -179,6 +180,43 @@ def test_jaccard(docs, rows, cluster):
     assert got == sorted(brute.components([r[:2] for r in rows]), key=str)
 
 
+def common_passage(n=150):
+    """Distinct texts, a third of which hold one passage, some with near copies, over several slices and tasks."""
+    rng, passage, rows = random.Random(8), sentence(random.Random(7), 40), []
+    for k in range(n):
+        text = sentence(rng, rng.choice([5, 30, 120]))
+        if k % 3 == 0:
+            text = f"{text} {passage} {sentence(rng, 4)}"
+        elif k % 10 == 1:
+            text = rows[rng.randrange(len(rows))][1] + " and more"
+        rows.append((k, text, "en", "a", 0))
+    return rows
+
+
+def test_jaccard_and_repeats_with_a_common_passage(spark, db_of):
+    rows = common_passage()
+    frame, con = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3), db_of(rows)
+    assert sorted(map(tuple, jaccard.similar_components(frame).collect())) == sorted(con.execute(oracles.JACCARD).fetchall())
+    assert sorted(map(tuple, repeats.remove_repeats(frame).collect())) == sorted(con.execute(oracles.REPEATS).fetchall())
+
+
+def test_a_common_key_reaches_its_bucket_once_a_blob():
+    texts = pa.array([t for _, t, *_ in common_passage(600)])
+    sent = pa.Table.from_batches(jaccard._send(5, 8)([pa.RecordBatch.from_arrays([pa.nulls(len(texts)), texts], names=["id", "text"])]))
+    seen = Counter()
+    for bucket, low in zip(sent.column("bucket").to_pylist(), sent.column("low").to_pylist(), strict=True):
+        if bucket < 8:
+            seen.update(np.frombuffer(low, np.uint32).tolist())
+    assert max(seen.values()) < jaccard.COMMON
+    keys = pa.array(np.arange(len(texts)))
+    sent = pa.Table.from_batches(repeats._send_minimizers(8, 50)([pa.RecordBatch.from_arrays([keys, texts], names=["key", "text"])]))
+    seen = Counter()
+    for bucket, rest in zip(sent.column("bucket").to_pylist(), sent.column("rest").to_pylist(), strict=True):
+        if bucket < 8:
+            seen.update((bucket, x) for x in np.frombuffer(rest, np.uint32).tolist())
+    assert max(seen.values()) == 2
+
+
 def test_jaccard_chain_over_blocks(spark):
     """A chain of near copies whose ends don't link, in a cluster that is dealt over blocks."""
     w = [f"w{k}" for k in range(400)]
