@@ -306,22 +306,61 @@ def test_chat_recovers_marked_turns(spark, empty):
     assert got[0].rendered == "<|system|>\nbe kind\n<|end|>\n"
 
 
-def test_dialogues_held_out_accuracy(spark):
-    c = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
-    truth = {(r.conv_id, r.part): [t.role for t in r.turns for _ in t.text.split("\n")] for r in chat.dialogue_transcripts(c).collect()}
+def plain_dialogues(conversations):
+    """{conv_id: [(role, text, lines)]} of the query, by plain counts over whole transcripts."""
+    dialogues, counts = defaultdict(list), Counter()
+    for r in sorted(chat.marked(conversations).collect(), key=lambda r: (r.conv_id, r.turn)):
+        dialogues[r.conv_id].append((r.role, r.text))
+    for conv, turns in dialogues.items():
+        if zlib.crc32(str(conv).encode()) % 10:
+            lines = [(line, 2 * chat.ROLES.index(role) + (k > 0)) for role, text in turns for k, line in enumerate(text.split("\n"))]
+            states = [s for _, s in lines]
+            counts[0, states[0], 0] += 1
+            counts.update((1, a, b) for a, b in zip(states, states[1:], strict=False))
+            for row, s in zip(chat.line_features([x for x, _ in lines]), states, strict=True):
+                counts.update((2 + k, s, int(v)) for k, v in enumerate(row))
+    model = chat.RoleModel(counts)
+    return {conv: chat.parse_lines("\n".join(t for _, t in turns), model) for conv, turns in dialogues.items()}, dialogues
+
+
+def by_dialogue(turns):
     got = defaultdict(list)
-    for r in sorted(chat.format_dialogues(c).collect(), key=lambda r: (r.conv_id, r.part, r.turn_no)):
-        got[r.conv_id, r.part] += [r.role] * r.n_lines
-    held = [k for k in truth if zlib.crc32(str(k[0]).encode()) % 10 == 0]
-    same = [a == b for k in held for a, b in zip(truth[k], got[k], strict=True)]
-    assert len(same) > 100 and sum(same) / len(same) > 0.8
+    for r in sorted(turns.collect(), key=lambda r: (r.conv_id, r.turn_no)):
+        assert r.turn_no == len(got[r.conv_id]) and r.rendered == chat.render(r.role, r.text)
+        got[r.conv_id].append((r.role, r.text, r.n_lines))
+    return got
+
+
+@pytest.mark.parametrize("rows", [chat.PART_ROWS, 2])
+def test_dialogues_equal_plain_and_recover_roles(spark, rows):
+    """Whole dialogues, or parts of two rows, give what one run of the algorithm over each transcript gives."""
+    c = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    want, truth = plain_dialogues(c)
+    got = by_dialogue(chat.format_dialogues(c, rows))
+    assert got == want
+    held = [k for k in truth if zlib.crc32(str(k).encode()) % 10 == 0]
+    pairs = [(a, b) for k in held for a, b in zip([r for r, t in truth[k] for _ in t.split("\n")], [r for r, _, n in got[k] for _ in range(n)], strict=True)]
+    assert len(pairs) > 100 and sum(a == b for a, b in pairs) / len(pairs) > 0.8
+
+
+def test_a_long_dialogue_is_one(spark):
+    """600 turns, more than a part holds, keep their numbers, and a turn may cross a cut."""
+    rows = [(k, t, ("user", "assistant")[t % 2], f"{('why', 'because')[t % 2]} {t}?\n\nline {t}") for k, n in ((1, 600), (2, 4)) for t in range(n)]
+    rows += [(3, 0, "user", "again\n?")] * 700
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want, _ = plain_dialogues(c)
+    got = by_dialogue(chat.format_dialogues(c, chars=1000))
+    assert got == want and len(got[1]) == 600
 
 
 def test_dialogues_odd(spark):
-    schema = "conv_id long, turn long, role string, text string"
+    schema = "conv_id long, turn long, role string, text string, part int, alone string, rendered int"
     assert chat.format_dialogues(spark.createDataFrame([], schema)).count() == 0
-    rows = [(None, None, None, None), (1, 0, "user", "a?"), (1, 0, "user", "a?"), (1, 900, "assistant", "b."), (2, None, "user", "c"), (3, 1, None, "d\n\ne")]
-    assert {r.conv_id for r in chat.format_dialogues(spark.createDataFrame(rows, schema)).collect()} == {1, 2, 3}
+    rows = [(None, None, None, None), (None, None, "user", "x?"), (1, 0, "user", "a?"), (1, 0, "user", "a?"), (1, 900, "assistant", "b."), (2, None, "user", "c"), (3, 1, None, "d\n\ne"), (4, 1, "user", "long\n" * 50_000)]
+    got = chat.format_dialogues(spark.createDataFrame([(*r, 1, "z", 2) for r in rows], schema)).collect()
+    assert {r.conv_id for r in got} == {None, 1, 2, 3, 4} and sum(r.n_lines for r in got if r.conv_id == 4) >= 50_001
+    turns = chat.format_transcripts(spark.createDataFrame([(1, "r", "User: a")], "turn_no long, role string, transcript string"), chat.RoleModel({}), ["turn_no", "role"])
+    assert turns.columns == ["key_turn_no", "key_role", "turn_no", "role", "text", "n_lines", "rendered"] and turns.count() == 1
 
 
 # ------------------------------------------------------------------ mixing
