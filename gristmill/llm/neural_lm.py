@@ -1,20 +1,27 @@
 """Language-model scores from a log-bilinear neural model trained with noise-contrastive estimation.
 
-Spark counts every training token (by 64-bit hash) and every pair of neighbouring classes. The CLASSES most
-frequent tokens but one for each suffix class are classes of their own; all other words share a class with words
-of the same ending. The log-bilinear model predicts a class from the class before it: score = (r[previous] C) . q[next]
-+ b[next]. Training minimises the noise-contrastive loss over all pair counts; the expectation over noise is
-taken exactly, so it is a hundred-odd products of small matrices in numpy, whatever the corpus holds. A batched
-matrix product then gives the normalised table of log probabilities, CLASSES squared, that scoring looks up.
-Inside a class a word has its share of the class's smoothed counts. The sum over all known words and one unknown
-word a suffix class is 1 after any context.
-
-The FREQUENT most frequent tokens' counts are broadcast. All other tokens go to their counts by a plain
-equi-join on the hash, of a row per document and distinct rare word, so no key is hot.
+Spark counts every training token (by 64-bit hash), every pair of neighbouring classes, and after which classes each
+word stands. The most frequent tokens are classes of their own, CLASSES with one for each suffix class; all other
+words share a class with words of the same ending. Two log-bilinear levels:
+
+1. Class after class: score = (r[previous] C) . q[next] + b[next].
+2. Word in its class: every word that occurs LEAST times or more, so a vocabulary that grows with the corpus, has a
+   vector of its own: p(word | class, previous) is its smoothed share times exp((r[previous] C) . q[word] + b[word]),
+   normalised. Rarer words have their share.
+
+Both minimise the noise-contrastive loss over all counts; its expectation over the noise is taken exactly instead of
+sampled. The first is some products of matrices of CLASSES squared in numpy; in the second each word's vector is a
+problem of its own, solved by the tasks, a block of words at a time, whose batched products also give the words' part of
+the normaliser of their class after each class. The sum over all known words and one unknown word a suffix class is 1
+after any context.
+
+Counts and vectors of the FREQUENT most frequent tokens are broadcast. All other tokens go to their counts by a plain
+equi-join on the hash, of a row per document and distinct rare word, and to their vectors by one of a row an occurrence
+(a bitmap of fixed size keeps most words without a vector away), so no key is hot.
 
 Defined results: a null text is empty and has its end token alone; a null id is held out; rows repeated with the
 same id are scored each; without training documents N and V are 0 and the model is uniform; an empty table
-gives no rows.
+gives no rows; columns besides the two named are not read; a very long text is scored whole, by the task that reads it.
 """
 
 from __future__ import annotations
@@ -25,12 +32,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BYTE_LOWER, LOWER, batchwise, mix, span_hashes, sums_by, text_slices, word_bounds
+from .blocks import BYTE_LOWER, LOWER, batchwise, groupwise, mix, span_hashes, sums_by, text_slices, word_bounds
 from .shared import Workspace
 
 #: Classes of the model, those of suffixes among them; the tokens whose counts are broadcast.
 CLASSES, SUFFIXES, FREQUENT = 1024, 224, 1 << 16
-DIMENSION, NOISE, STEPS, RATE = 48, 20, 120, 0.05
+DIMENSION, NOISE, STEPS, RATE = 48, 20, 250, 0.05
+#: Occurrences from which a word has a vector, words solved at once, their steps, and the weight of their prior.
+LEAST, BLOCK, SOLVES, PRIOR = 32, 1024, 12, 4.0
+#: Bits of the bitmap of words with vectors.
+BITMAP = 1 << 24
 END_TOKEN = int(mix(np.array([0x454E44], np.uint64)).astype(np.int64)[0])
 #: Class numbers: the end token, then suffixes, then frequent words.
 END, FIRST_SUFFIX, FIRST_WORD = 0, 1, 1 + SUFFIXES
@@ -101,6 +112,24 @@ class Vocabulary:
         own[h == END_TOKEN] = END
         by = np.argsort(h)
         self.h, self.n, self.own = h[by], n[by], own[by]
+        self.may = (self.own < 0) & (self.n >= LEAST)
+        self.bits = np.zeros(0, np.uint8)  # of the other words that may have a vector
+        self.vectors, self.vector_of = np.zeros((0, DIMENSION + 1), np.float32), np.full(len(h), -1)
+
+    def add_vectors(self, h: np.ndarray, vectors: np.ndarray) -> None:
+        self.vectors, at = vectors, np.searchsorted(self.h, h)
+        self.vector_of[at] = np.arange(len(h))
+
+    def far(self, h: np.ndarray) -> np.ndarray:
+        """Which of the tokens that are not here may have a vector."""
+        if not len(self.bits):
+            return np.zeros(len(h), bool)
+        at = h & (BITMAP - 1)
+        return (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+    def able(self, h: np.ndarray, at: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """Which tokens may have a vector."""
+        return np.where(hit, self.may[at] if len(self.h) else hit, self.far(h))
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.h):
@@ -116,33 +145,113 @@ class Vocabulary:
 
 
 def _count_pairs(vocabulary):
-    """(previous * CLASSES + next, count) of each task; a document begins after an end."""
-    schema = pa.schema([("pair", pa.int32()), ("n", pa.int64())])
+    """Counts of each task: class after class (word null), and word after class of the words that may have a vector; a document begins after an end."""
+    schema = pa.schema([("h", pa.int64()), ("previous", pa.int16()), ("next", pa.int16()), ("n", pa.int64())])
+
+    def rows(held):
+        h, c, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        by = np.lexsort((c, h))
+        h, c, n = h[by], c[by], n[by]
+        new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
+        return h[new], c[new], np.add.reduceat(n, new)
+
+    def emit(h, c, n):
+        for k in range(0, len(h), 100_000):
+            part = h[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(c[k : k + 100_000]), pa.nulls(len(part), pa.int16()), pa.array(n[k : k + 100_000])], schema=schema)
 
     def run(batches):
-        v, table = vocabulary.value, np.zeros(CLASSES * CLASSES, np.int64)
+        v, table, held, size = vocabulary.value, np.zeros(CLASSES * CLASSES, np.int64), [], 0
         for batch in batches:
             for first, last, buf, offs in text_slices(batch.column(0)):
-                h, suffix, doc = words_of(buf, offs)
+                words, suffix, doc = words_of(buf, offs)
+                h, _ = with_ends(words, doc, last - first, np.int64(END_TOKEN))
+                suffix, _ = with_ends(suffix, doc, last - first, np.int16(END))
                 at, hit = v.find(h)
-                c, _ = with_ends(v.classes(at, hit, suffix), doc, last - first, END)
-                previous = np.concatenate([[END], c[:-1]]).astype(np.int64)
-                table += np.bincount(previous * CLASSES + c, minlength=len(table))
+                c = v.classes(at, hit, suffix)
+                previous = np.concatenate([[END], c[:-1]])
+                table += np.bincount(previous.astype(np.int64) * CLASSES + c, minlength=len(table))
+                able = np.flatnonzero(v.able(h, at, hit))
+                if len(able):
+                    held.append(rows([(h[able], previous[able].astype(np.int16), np.ones(len(able), np.int64))]))
+                    size += len(held[-1][0])
+            if size > HELD:
+                held = [rows(held)]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield from emit(*held[0])
+                    held, size = [], 0
+        if held:
+            yield from emit(*rows(held))
         some = np.flatnonzero(table)
         for k in range(0, len(some), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(some[k : k + 100_000].astype(np.int32)), pa.array(table[some[k : k + 100_000]])], schema=schema)
+            part = some[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array((part // CLASSES).astype(np.int16)), pa.array((part % CLASSES).astype(np.int16)), pa.array(table[part])], schema=schema)
+
+    return run
+
+
+def _bitmap(batches):
+    """The words of a task, as bits."""
+    bits = np.zeros(BITMAP, bool)
+    for batch in batches:
+        bits[batch.column(0).to_numpy() & (BITMAP - 1)] = True
+    if bits.any():
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+
+def _solve_words(state):
+    """One block of words of a class, with rows h, n, suffix, previous, m: each word's vector, and in a row without word the sums over them by previous class."""
+    schema = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("suffix", pa.int16()), ("salt", pa.int32()), ("vector", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        contexts, pairs, mass = state.value
+        suffix, salt = table.column("suffix")[0].as_py(), table.column("salt")[0].as_py()
+        h, first, at = np.unique(table.column("h").to_numpy(), return_index=True, return_inverse=True)
+        n = table.column("n").to_numpy()[first]
+        data = np.zeros((len(h), CLASSES), np.float32)
+        data[at, table.column("previous").to_numpy()] = table.column("m").to_numpy()
+        vectors, sums = np.empty((len(h), contexts.shape[1]), np.float32), np.zeros(CLASSES)
+        for k in range(0, len(h), BLOCK):
+            own = slice(k, k + BLOCK)
+            vectors[own] = train_words(data[own], (n[own] + 0.1) / mass[suffix], pairs[:, suffix], contexts)
+            sums += (n[own] + 0.1) @ np.expm1(vectors[own].astype(np.float64) @ contexts.T.astype(np.float64))
+        made = [x.tobytes() for x in vectors] + [sums.tobytes()]
+        columns = [pa.array([*h.tolist(), None], pa.int64()), pa.array([*n.tolist(), 0]), pa.array([suffix] * len(made), pa.int16()), pa.array([salt] * len(made), pa.int32()), pa.array(made, pa.binary())]
+        return pa.Table.from_arrays(columns, schema=schema)
+
+    return run
+
+
+def _total(table: pa.Table) -> pa.Table:
+    """The sums of all blocks of a class."""
+    table = table.sort_by("salt")
+    total = np.sum([np.frombuffer(x) for x in table.column("vector").to_pylist()], 0)
+    return pa.table({"suffix": table.column("suffix")[:1], "total": pa.array([total.tobytes()], pa.binary())})
+
+
+def _far_words(state):
+    """(doc_row, extra) from rows doc_row, previous, vector."""
+
+    def run(batches):
+        contexts = state.value
+        for batch in batches:
+            rows, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            vectors = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, contexts.shape[1])
+            dots = np.einsum("ij,ij->i", vectors.astype(np.float64), contexts[batch.column(1).to_numpy()].astype(np.float64))
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(at, dots, len(rows)) / np.log(10))], names=["doc_row", "extra"])
 
     return run
 
 
-def train_log_bilinear(pairs: np.ndarray, dimension: int = DIMENSION, noise: int = NOISE, steps: int = STEPS, rate: float = RATE, seed: int = 7) -> np.ndarray:
-    """Normalised natural-log probabilities [previous, next] from a matrix of pair counts.
+def train_log_bilinear(pairs: np.ndarray, dimension: int = DIMENSION, noise: int = NOISE, steps: int = STEPS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised natural-log probabilities [previous, next] from a matrix of pair counts, and the context vectors.
 
     Noise-contrastive estimation with `noise` samples a pair from the smoothed unigram, in expectation; Adam.
     """
     k, rng = len(pairs), np.random.default_rng(seed)
     if not pairs.sum():
-        return np.full((k, k), -np.log(k), np.float32)
+        return np.full((k, k), -np.log(k), np.float32), np.zeros((k, dimension), np.float32)
     row = pairs.sum(1, keepdims=True).astype(np.float32)
     unigram = (pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * k)
     data, total = pairs.astype(np.float32), float(pairs.sum())
@@ -169,15 +278,37 @@ def train_log_bilinear(pairs: np.ndarray, dimension: int = DIMENSION, noise: int
     r, c, q, b = w
     scores = (r @ c) @ q.T + b
     scores -= scores.max(1, keepdims=True)
-    return (scores - np.log(np.exp(scores).sum(1, keepdims=True))).astype(np.float32)
+    return (scores - np.log(np.exp(scores).sum(1, keepdims=True))).astype(np.float32), r @ c
+
+
+def train_words(data: np.ndarray, share: np.ndarray, after: np.ndarray, contexts: np.ndarray, noise: int = NOISE, steps: int = SOLVES, prior: float = PRIOR) -> np.ndarray:
+    """Vectors (the last number of each its bias) of words of one class: a row each.
+
+    data[word, previous]: counts; share: the words' shares of the class, which the noise draws by; after[previous]: how
+    often the class stands after each; contexts: a row for each previous class, ending in 1. Each is a step of
+    Newton's method with the curvature's diagonal, in the basis in which the contexts are uncorrelated.
+    """
+    spread = (contexts * after[:, None]).T @ contexts / max(after.sum(), 1)
+    basis = np.linalg.eigh(spread.astype(np.float64))[1].astype(np.float32)
+    x, q = contexts @ basis, np.zeros((len(data), contexts.shape[1]), np.float32)
+    drawn, squares = (noise * share[:, None] * after[None]).astype(np.float32), x * x
+    scores = np.zeros_like(data)
+    for _ in range(steps):
+        sure = 1 / (1 + np.exp(np.log(noise) - scores))  # that a cell is data
+        curve = ((data + drawn) * sure * (1 - sure)) @ squares + prior
+        step = ((data * (1 - sure) - drawn * sure) @ x - prior * q) / curve
+        change = step @ x.T
+        scale = 0.7 / np.maximum(np.abs(change).max(1, keepdims=True), 1)  # no score moves by more than that
+        q, scores = q + scale * step, scores + scale * change
+    return q @ basis.T
 
 
 def _score(state):
     """Per document what needs no join, and its rare words with how often each occurs."""
-    schema = pa.schema([("doc_row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("far", pa.list_(pa.int64())), ("previous", pa.list_(pa.int16()))])
 
     def run(batches):
-        v, table, in_class = state.value
+        v, table, in_class, contexts = state.value
         table, row = table.astype(np.float64), TaskContext.get().partitionId() << 40
         logs = np.log10(v.n + 0.1)
         for batch in batches:
@@ -193,7 +324,12 @@ def _score(state):
                 previous = np.concatenate([[END], c[:-1]])
                 log_count = np.where(hit, logs[at] if len(logs) else 0.0, 0.0)
                 own = hit & (v.own[at] >= 0) if len(logs) else hit
-                score = table[previous, c] / np.log(10) + np.where(own, 0.0, log_count - in_class[c])
+                score = table[previous, c] / np.log(10)
+                other = np.flatnonzero(~own)  # these share their class
+                score[other] += log_count[other] - in_class[previous[other], c[other]]
+                if len(v.vectors):
+                    mine = np.flatnonzero(hit & (v.vector_of[at] >= 0))
+                    score[mine] += np.einsum("ij,ij->i", v.vectors[v.vector_of[at[mine]]], contexts[previous[mine]]) / np.log(10)
                 rare = np.flatnonzero(~hit)
                 by = rare[np.lexsort((h[rare], doc[rare]))]
                 new = np.ones(len(by), bool)
@@ -203,12 +339,59 @@ def _score(state):
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc[by][start], minlength=n))]).astype(np.int32)
                 arrays = [np.arange(row, row + n), ids[first:last], counts, sums_by(hit.astype(np.int64), counts), sums_by(log_count, counts), sums_by(score, counts)]
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (h[by][start], times)]
+                far = rare[v.far(h[rare])]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc[far], minlength=n))]).astype(np.int32)
+                lists += [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (h[far], previous[far].astype(np.int16))]
                 row += n
                 yield pa.RecordBatch.from_arrays([*(x if isinstance(x, pa.Array) else pa.array(x) for x in arrays), *lists], schema=schema)
 
     return run
 
 
+def train_model(work: Workspace, train: DataFrame, counts: DataFrame, total: int) -> tuple[tuple, DataFrame]:
+    """What scoring broadcasts: vocabulary, class table, log10 normalisers [previous, class], contexts; and the table of the other words' vectors."""
+    spark = work.spark
+    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()  # FREQUENT rows
+    v = Vocabulary(top.column("h").to_numpy(), top.column("n").to_numpy())
+    lowest = (top.column("n")[-1].as_py(), top.column("h")[-1].as_py()) if len(top) else (0, 0)
+    near = (F.col("n") > lowest[0]) | (F.col("n") == lowest[0]) & (F.col("h") <= lowest[1])
+    maps = counts.where((F.col("n") >= LEAST) & ~near).select("h").coalesce(8).mapInArrow(_bitmap, "bits binary").collect()  # 8 rows at most
+    if maps:
+        v.bits = np.bitwise_or.reduce([np.frombuffer(r.bits, np.uint8) for r in maps])
+
+    pairs = np.zeros((CLASSES, CLASSES), np.int64)
+    fields = "h long, previous short, next short, n long"
+    counted = work.write(train.mapInArrow(batchwise(_count_pairs(spark.sparkContext.broadcast(v))), fields), "pairs")
+    table = counted.where("h is null").groupBy("previous", "next").agg(F.sum("n").alias("n")).toArrow()  # CLASSES ** 2 rows at most
+    pairs[table.column("previous").to_numpy(), table.column("next").to_numpy()] = table.column("n").to_numpy()
+    log_p, contexts = train_log_bilinear(pairs)
+    contexts = np.append(contexts, np.ones((CLASSES, 1)), 1).astype(np.float32)
+
+    # Each suffix class's smoothed mass: its words that have no class of their own, and one unknown word.
+    mass = np.full(CLASSES, 0.1)
+    for r in counts.groupBy("suffix").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():  # a row a suffix class
+        mass[r.suffix] += r.n + 0.1 * r.words
+    owned = v.own >= FIRST_WORD
+    classes = dict(zip(top.column("h").to_pylist(), top.column("suffix").to_pylist(), strict=True))
+    for h, n in zip(v.h[owned].tolist(), v.n[owned].tolist(), strict=True):
+        mass[classes[h]] -= n + 0.1
+
+    able = counts.where(F.col("n") >= LEAST)
+    salts = able.count() // SUFFIXES // BLOCK + 1
+    rows = counted.where("h is not null").groupBy("h", "previous").agg(F.sum("n").alias("m")).join(able, "h")
+    rows = rows.select("h", "n", "suffix", "previous", "m", F.pmod("h", F.lit(salts)).cast("int").alias("salt"))
+    solve = _solve_words(spark.sparkContext.broadcast((contexts, pairs.astype(np.float32), mass)))
+    solved = work.write(rows.groupBy("suffix", "salt").applyInArrow(groupwise(solve), "h long, n long, suffix short, salt int, vector binary"), "vectors")
+    work.drop("pairs")
+    normal = np.tile(mass, (CLASSES, 1))
+    for r in solved.where("h is null").select("suffix", "salt", "vector").groupBy("suffix").applyInArrow(_total, "suffix short, total binary").collect():  # a row a suffix class
+        normal[:, r.suffix] += np.frombuffer(r.total)
+    held = solved.where(F.col("h").isNotNull() & near).select("h", "vector").toArrow()  # FREQUENT rows at most
+    if len(held):
+        v.add_vectors(held.column("h").to_numpy(), np.frombuffer(b"".join(held.column("vector").to_pylist()), np.float32).reshape(len(held), -1))
+    return (v, log_p, np.log10(normal), contexts), solved.where(F.col("h").isNotNull() & ~near).select("h", "vector")
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document.
 
@@ -222,37 +405,25 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counted = train.mapInArrow(batchwise(_count_words), "h long, suffix short, n long").groupBy("h", "suffix").agg(F.sum("n").alias("n"))
     counts = work.write(counted, "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()  # FREQUENT rows
-    v = Vocabulary(top.column("h").to_numpy(), top.column("n").to_numpy())
-    vocabulary = spark.sparkContext.broadcast(v)
-
-    pairs = np.zeros(CLASSES * CLASSES, np.int64)
-    table = train.mapInArrow(batchwise(_count_pairs(vocabulary)), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # CLASSES ** 2 rows at most
-    pairs[table.column("pair").to_numpy()] = table.column("n").to_numpy()
-    log_p = train_log_bilinear(pairs.reshape(CLASSES, CLASSES))
-
-    # Each suffix class's smoothed mass: its words that have no class of their own, and one unknown word.
-    mass = np.full(CLASSES, 0.1)
-    for r in counts.groupBy("suffix").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():  # a row a suffix class
-        mass[r.suffix] += r.n + 0.1 * r.words
-    owned = v.own >= FIRST_WORD
-    gone = {int(h): int(n) for h, n in zip(v.h[owned], v.n[owned], strict=True)}
-    classes = dict(zip(top.column("h").to_pylist(), top.column("suffix").to_pylist(), strict=True))
-    for h, n in gone.items():
-        mass[classes[h]] -= n + 0.1
-    in_class = np.log10(mass)
-    state = spark.sparkContext.broadcast((v, log_p, in_class))
+    model, vectors = train_model(work, train, counts, int(total))
+    state = spark.sparkContext.broadcast(model)
 
-    partial = work.write(rows.mapInArrow(batchwise(_score(state)), "doc_row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>"), "partial")
+    fields = "doc_row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>, far array<long>, previous array<short>"
+    partial = work.write(rows.mapInArrow(batchwise(_score(state)), fields), "partial")
     rare = partial.select("doc_row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("doc_row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     found = rare.join(counts.select("h", "n"), "h", "left")
     log_count = F.col("times") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.1)
     zero = F.lit(0).cast("long")
-    lines = found.select("doc_row", zero.cast("long").alias("doc_id"), F.lit(False).alias("own"), zero.alias("n_tokens"), F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).cast("long").alias("n_known"), log_count.alias("base"), log_count.alias("score"))
+    lines = found.select("doc_row", zero.alias("doc_id"), F.lit(False).alias("own"), zero.alias("n_tokens"), F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).cast("long").alias("n_known"), log_count.alias("base"), log_count.alias("score"))
     lines = lines.union(partial.select("doc_row", "doc_id", F.lit(True), "n_tokens", "n_known", "base", "score"))
+    if len(model[0].bits):
+        far = partial.select("doc_row", F.explode(F.arrays_zip("far", "previous")).alias("x")).select("doc_row", F.col("x.far").alias("h"), F.col("x.previous").alias("previous"))
+        far = far.join(vectors, "h").select("doc_row", "previous", "vector").mapInArrow(batchwise(_far_words(spark.sparkContext.broadcast(model[3]))), "doc_row long, extra double")
+        lines = lines.union(far.select("doc_row", zero, F.lit(False), zero, zero, F.lit(0.0), "extra"))
     # Sums of fixed point: the order in which parts arrive changes nothing.
     exact = lambda c: (F.sum(F.round(F.col(c) * 1e9).cast("long")) / 1e9).alias(c)
     sums = lines.groupBy("doc_row").agg(F.max(F.when(F.col("own"), F.col("doc_id"))).alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), exact("base"), exact("score"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(True))
     base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(total) + 0.1 * (distinct + 1)))
-    return sums.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), F.col("score"))
+    scores = sums.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), F.col("score"))
+    return work.keep(scores)

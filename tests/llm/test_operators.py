@@ -490,17 +490,73 @@ def test_lm_beats_the_base_on_held_out_documents(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
-def test_lm_is_normalised():
-    table = neural_lm.train_log_bilinear(np.random.default_rng(0).integers(0, 9, (40, 40)), dimension=8, steps=60)
+def test_lm_classes_are_normalised():
+    table, _ = neural_lm.train_log_bilinear(np.random.default_rng(0).integers(0, 9, (40, 40)), dimension=8, steps=60)
     assert np.allclose(np.exp(table).sum(1), 1, atol=1e-4)
 
 
 def test_lm_learns_pairs():
     pairs = np.eye(30, dtype=np.int64)[np.roll(np.arange(30), 1)] * 500 + 1
-    table = neural_lm.train_log_bilinear(pairs, dimension=16)
+    table, _ = neural_lm.train_log_bilinear(pairs, dimension=16)
     assert (table.argmax(1) == pairs.argmax(1)).mean() > 0.9
 
 
+def test_lm_words_learn_their_contexts():
+    """Held-out likelihood of words drawn by hidden vectors: better than their shares, and not far from the truth."""
+    rng = np.random.default_rng(1)
+    contexts = np.append(rng.normal(0, 1, (60, 6)), np.ones((60, 1)), 1).astype(np.float32)
+    logits = rng.normal(0, 0.7, (40, 7)).astype(np.float32) @ contexts.T
+    truth = np.exp(logits) / np.exp(logits).sum(0)
+    counts = np.stack([rng.multinomial(2000, truth[:, k]) for k in range(60)], 1).astype(np.float32)
+    share = counts.sum(1) / counts.sum()
+    scores = share[:, None] * np.exp(neural_lm.train_words(counts, share, counts.sum(0), contexts) @ contexts.T)
+    learnt, plain, best = ((truth * np.log(p / p.sum(0))).sum() / 60 for p in (scores, share[:, None] + 0 * scores, truth))
+    assert plain < learnt <= best and best - learnt < 0.1 * (best - plain)
+
+
+@pytest.mark.parametrize(("frequent", "least"), [(neural_lm.FREQUENT, 3), (5, 32)])
+def test_lm_scores_equal_plain(spark, monkeypatch, frequent, least):
+    """Words' probabilities sum to 1 after any class, and scores are those of a plain loop, whether vectors are broadcast or joined."""
+    monkeypatch.setattr(neural_lm, "FREQUENT", frequent)
+    monkeypatch.setattr(neural_lm, "LEAST", least)
+    rng, found = random.Random(4), {}
+    common, others = [f"w{k}" for k in range(20)], [f"{s}{k}" for k in range(600) for s in ("über", "on")]
+    rows = [(k, " ".join(rng.choice(rng.choice((common, others))) for _ in range(rng.choice([0, 3, 60, 200])))) for k in range(150)] + [(200, None), (201, "unknown ones " * 30)]
+    train = neural_lm.train_model
+
+    def kept(*args):
+        found["model"] = model, vectors = train(*args)
+        found["vectors"] = {r.h: np.frombuffer(r.vector, np.float32).astype(float) for r in vectors.collect()}
+        found["counts"] = {r.h: (r.suffix, r.n) for r in args[2].collect()}
+        return model, vectors
+
+    monkeypatch.setattr(neural_lm, "train_model", kept)
+    got = {r.doc_id: r.score for r in neural_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    (v, log_p, normal, contexts), vectors, counts = found["model"][0], found["vectors"], found["counts"]
+    own = {int(h): int(c) for h, c in zip(v.h, v.own, strict=True) if c >= 0}
+    vectors |= {int(h): v.vectors[k].astype(float) for h, k in zip(v.h, v.vector_of, strict=True) if k >= 0}
+    assert len(vectors) > 5 and bool(len(v.bits)) == (frequent == 5)
+    plain = lambda h, previous: math.exp(vectors[h] @ contexts[previous].astype(float)) if h in vectors else 1.0
+    for previous in (0, 7, 300):
+        sums = Counter({k: 0.1 for k in range(neural_lm.END_TOKEN in own, neural_lm.FIRST_WORD)})
+        for h, (suffix, n) in counts.items():
+            if h not in own:
+                sums[suffix] += (n + 0.1) * plain(h, previous)
+        assert all(math.isclose(math.log10(x), normal[previous, k], abs_tol=1e-6) for k, x in sums.items())
+        assert abs(np.exp(log_p[previous].astype(float)).sum() - 1) < 1e-4
+    for doc_id, text in rows:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        hashes, suffixes, _ = neural_lm.words_of(raw, np.array([0, len(raw)]))
+        score, previous = 0.0, 0
+        for h, suffix in [*zip(hashes.tolist(), suffixes.tolist(), strict=True), (neural_lm.END_TOKEN, 0)]:
+            c = own.get(h, suffix)
+            score += log_p[previous, c] / math.log(10)
+            if h not in own:
+                score += math.log10((counts.get(h, (0, 0))[1] + 0.1) * plain(h, previous)) - normal[previous, c]
+            previous = c
+        assert math.isclose(score, got[doc_id], rel_tol=1e-4, abs_tol=1e-4), doc_id
+
+
 def test_lm_odd(odd, empty):
     assert neural_lm.score_documents(empty).count() == 0
     got = neural_lm.score_documents(odd).collect()
