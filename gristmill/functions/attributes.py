@@ -206,7 +206,7 @@ def parent(meta: Column) -> Column:
 def with_attributes(enriched):
     """enriched listings with attr_<name> columns, the map `attributes`, and of those with vendor_meta (JSON text) cuts and parent.
 
-    In the map the vendor's own data comes first, then the category's parser, the title's fragments (which count for
+    In the map the builder's ids (ivory_cuts as a JSON list, ivory_parent) and the vendor's own data come first, then the category's parser, the title's fragments (which count for
     every category) and facts from a Hebrew description. Each parser is a column of its own, so that the plan
     compares a text once and compiles in small pieces.
     """
@@ -230,4 +230,7 @@ def with_attributes(enriched):
     wide = wide.withColumns({"_meta": meta_map(F.col("vendor_meta")), "_parsed": parsed, "_facts": facts, "cuts": cuts(F.col("vendor_meta")), "parent": parent(F.col("vendor_meta"))})
     spoken = as_map({k: F.col(f"_facts.{k}") for k in ("cores", "threads", "base_clock_ghz", "boost_clock_ghz", "cooler_included")})
     wide = wide.withColumns({"_spoken": spoken, "_known": first_wins(F.col("_meta"), F.col("_parsed"))})
+    given = F.get_json_object("vendor_meta", "$.cuts").rlike(r"^\[.*\S.*\]$")  # a list that isn't empty
+    own = as_map({"ivory_cuts": F.when(given, F.to_json("cuts")), "ivory_parent": F.col("parent")})
+    wide = wide.withColumn("_known", first_wins(own, F.col("_known")))
     return wide.withColumn("attributes", first_wins(F.col("_known"), F.col("_spoken"))).drop("_meta", "_parsed", "_facts", "_spoken", "_known")

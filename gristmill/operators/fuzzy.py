@@ -44,11 +44,12 @@ def candidate_pairs(listings: DataFrame, blocked: DataFrame | None = None) -> Da
     """
     several = listings.groupBy("product_id").agg((F.count("*") > 1).alias("multi"))
     rows = with_critical(listings).where("category not in ('other', '') and brand is not null and match_text <> ''").join(several, "product_id")
-    rows = rows.select("category", "brand", "vendor", "listing_key", "product_id", "match_text", "mpn", "multi", *[f"c_{k}" for k in ("ddr", "total_gb", "speed_mhz", "wattage", "pack_size", "revs")])
+    rows = rows.select("category", "brand", "vendor", "listing_key", "product_id", "title_raw", "match_text", "mpn", "multi", *[f"c_{k}" for k in ("ddr", "total_gb", "speed_mhz", "wattage", "pack_size", "revs")])
     a, b = rows.alias("a"), rows.alias("b")
     order = F.struct("a.vendor", "a.listing_key") < F.struct("b.vendor", "b.listing_key")
     on = (F.col("a.category") == F.col("b.category")) & (F.col("a.brand") == F.col("b.brand")) & order & (F.col("a.product_id") != F.col("b.product_id")) & ~(F.col("a.multi") & F.col("b.multi")) & pair_allowed()
-    pairs = a.join(b, on).select("a.category", "a.brand", *(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("listing_key", "match_text")))
+    pairs = a.join(b, on).select("a.category", "a.brand", *(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("listing_key", "title_raw", "match_text")))
+    pairs = pairs.withColumnsRenamed({"title_raw_a": "title_a", "title_raw_b": "title_b"})
     if blocked is not None:
         low, high = F.least("key_1", "key_2").alias("low"), F.greatest("key_1", "key_2").alias("high")
         bars = blocked.select(low, high)

@@ -36,15 +36,19 @@ def matched_with_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attributes.with_attributes(matched(spark, sf_dir))
 
 
-def build_catalog(raw: DataFrame, ledger: DataFrame | None = None, blocked: DataFrame | None = None, learnt: DataFrame | None = None, tie: list[str] | None = None, score: bool = True) -> dict[str, DataFrame]:
+def build_catalog(raw: DataFrame, ledger: DataFrame | None = None, blocked: DataFrame | None = None, learnt: DataFrame | None = None, tie: list[str] | None = None, score: bool = True, work: str | None = None) -> dict[str, DataFrame]:
     """The whole build: listings, products, offers, attributes, conflicts and the review queue, as tables.
 
     raw: listings with last_seen and stale; ledger: listing_key, manual_id; blocked: key_1, key_2; learnt: labels of
-    an earlier build (see learn_labels), which need vendor_meta; tie: columns that tell equal rows apart.
+    an earlier build (see learn_labels), which need vendor_meta; tie: columns that tell equal rows apart; work: a shared
+    folder in which the finished listings are kept, so that the other tables read them instead of working them out again.
     """
     rows = attributes.with_attributes(assign(identity.describe(dedupe(identity.identify(raw), tie or ["scraped_at"])), ledger))
     if learnt is not None and "vendor_meta" in raw.columns:
         rows = labels.with_labels(rows, learnt)
+    if work:
+        rows.write.mode("overwrite").parquet(f"{work}/rows")
+        rows = raw.sparkSession.read.schema(rows.schema).parquet(f"{work}/rows")
     pairs = fuzzy.candidate_pairs(rows, blocked)
     summary = products.summarize(rows).join(best_product_rule(rows), "product_id")
     best = products.best_offer(rows).select("product_id", *(F.col(c).alias(f"best_{c}") for c in ("listing_key", "vendor", "price", "in_stock", "stale", "url")))

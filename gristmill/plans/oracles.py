@@ -256,7 +256,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT listing_key, attr, arg_min(value, cut) AS value FROM X JOIN LB ON kind = 'cuts' AND CAST(id AS BIGINT) = cut GROUP BY 1, 2""",
         "q_critical": f"{WITH_D}, {WITH_C('D')} SELECT listing_key, c_ddr, c_total_gb, c_speed_mhz, c_wattage, c_pack_size, array_to_string(c_revs, '|') AS c_revs FROM C",
         "q_fuzzy_pairs": f"""{WITH_M}, {WITH_C('M')}, K AS (SELECT *, count(*) OVER (PARTITION BY product_id) > 1 AS multi FROM C)
-            SELECT a.category, a.brand, a.listing_key AS listing_key_a, a.match_text AS match_text_a, b.listing_key AS listing_key_b, b.match_text AS match_text_b
+            SELECT a.category, a.brand, a.listing_key AS listing_key_a, a.title_raw AS title_a, a.match_text AS match_text_a, b.listing_key AS listing_key_b, b.title_raw AS title_b, b.match_text AS match_text_b
             FROM K a JOIN K b ON a.category = b.category AND a.brand = b.brand AND (a.vendor, a.listing_key) < (b.vendor, b.listing_key)
             WHERE a.category NOT IN ('other', '') AND a.product_id <> b.product_id AND NOT (a.multi AND b.multi) AND {PAIR}
                 AND (len(a.c_revs) = 0 OR len(b.c_revs) = 0 OR list_has_any(a.c_revs, b.c_revs))""",

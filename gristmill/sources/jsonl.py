@@ -18,7 +18,7 @@ LOOKBACK_DAYS = 14
 def recover_objects(line: Column) -> Column:
     """The JSON objects of a line, as texts: all of it, else one after the other from each next opening bracket up to what can't be read.
 
-    Values that are no objects are left out.
+    Values that are no objects are left out. Lines that are one whole object, as nearly all are, stay in the JVM.
     """
     @F.pandas_udf("array<string>")
     def recover(lines: pd.Series) -> pd.Series:
@@ -47,7 +47,8 @@ def recover_objects(line: Column) -> Column:
 
         return lines.map(one)
 
-    return recover(line)
+    whole = line.rlike(r"^[ \t\r\n]*\{(?s:.*)\}[ \t\r\n]*$") & ~line.rlike(r"\}\s*[{\[]") & F.json_object_keys(line).isNotNull()
+    return F.when(whole, F.array(line)).otherwise(recover(F.when(~F.coalesce(whole, F.lit(False)), line)))
 
 
 def read_json_lines(spark: SparkSession, paths: list[str], schema: str = RAW_LISTING) -> DataFrame:

@@ -2,14 +2,45 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pandas as pd
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..functions import fixed
 from ..functions.text import quote
 from ..operators.dedupe import first_seen
-from ..operators.stock import is_deal, tile_category, tile_price
+from ..operators.stock import is_deal, tile_category, tile_price, with_stock
+from .schemas import RAW_LISTING
+
+
+def category_seeds(spark: SparkSession) -> DataFrame:
+    """What each vendor's payloads are asked for, in order: vendor_id, ord, seed (a page, or an id), category_guess, platform. Small."""
+    rows = [("tms", k, str(k), c, None) for k, c in enumerate(fixed.TILE_CATEGORIES)]
+    rows += [("1pc", k, str(i), c, None) for k, (i, c) in enumerate(fixed.FRAGMENT_CATEGORIES.items())]
+    rows += [("ivory", k, str(i), c, platform) for k, (c, platform, i) in enumerate(fixed.BUILDER_CATEGORIES)]
+    return spark.createDataFrame(rows, "vendor_id string, ord int, seed string, category_guess string, platform string")
+
+
+def guessed(payloads: DataFrame, vendor_id: str, seed_col: str = "seed") -> DataFrame:
+    """payloads with the category_guess of the seed that they answer; those of no seed have none."""
+    seeds = category_seeds(payloads.sparkSession).where(F.col("vendor_id") == vendor_id).select(F.col("seed").alias(seed_col), "category_guess")
+    return payloads.withColumn(seed_col, F.col(seed_col).cast("string")).join(F.broadcast(seeds), seed_col, "left")  # some 40 rows
+
+
+def as_snapshot(listings: DataFrame, day: dt.date, today: dt.date | None = None) -> DataFrame:
+    """Listings of a payload as those of a day's snapshot: the columns of raw listings (null where the payload has none), last_seen and stale."""
+    columns = [c.split() for c in RAW_LISTING.split(", ")]
+    raw = [(F.col(c) if c in listings.columns else F.lit(None)).cast(kind).alias(c) for c, kind in columns]
+    return listings.select(*raw, F.lit(day).alias("last_seen"), F.lit(today is not None and day != today).alias("stale"))
+
+
+def availability_rows(responses: DataFrame, order: str = "request") -> DataFrame:
+    """responses: request, json of availabilities. (request, nth, code, status, color) of each product's row; what is no JSON, or has none, gives nothing."""
+    body = F.from_json("json", "productsData array<struct<Code:string,AvailabilityStatus:string,Color:string>>")
+    each = responses.select(order, F.posexplode(body["productsData"]).alias("nth", "r")).where("r is not null")
+    return each.select(order, "nth", F.col("r.Code").alias("code"), F.col("r.AvailabilityStatus").alias("status"), F.col("r.Color").alias("color"))
 
 
 def select_nodes(html: Column, wanted: dict[str, str], outer: str) -> Column:
@@ -94,8 +125,11 @@ def select_nodes(html: Column, wanted: dict[str, str], outer: str) -> Column:
     return parse(html)
 
 
-def tile_listings(pages: DataFrame, order: str = "page") -> DataFrame:
-    """pages: page, url, category_guess, html of product tiles. Listings, the first of each SKU and address in the whole run."""
+def tile_listings(pages: DataFrame, order: str = "page", availability: DataFrame | None = None) -> DataFrame:
+    """pages: page, url, category_guess, html of product tiles. Listings, the first of each SKU and address in the whole run.
+
+    availability: see availability_rows; without it, and for codes that it lacks, in_stock is unknown.
+    """
     parts = {"sku": ".product-card__model", "title": ".product-card__name", "href": "a@href", "normal": ".product-card__price-normal", "block": ".product-card__price", "sticker": ".stickers-product-wrapper", "code": ".info-storage-button@data-claris-code", "all": "*"}
     each = pages.select(order, "url", "category_guess", F.posexplode(select_nodes(F.col("html"), parts, "div.product-card")).alias("nth", "t"))
     t = lambda k: F.try_element_at("t", F.lit(k))
@@ -106,7 +140,10 @@ def tile_listings(pages: DataFrame, order: str = "page") -> DataFrame:
         order, "nth", F.trim(t("sku")).alias("vendor_sku"), F.trim(t("title")).alias("title_raw"), address.alias("link"), tile_price(t("normal"), t("block")).alias("price_ils"),
         tile_category(F.col("category_guess"), t("all"), deal).alias("category_guess"), t("code").alias("code"),
     )
-    return first_seen(rows, ["vendor_sku", "link"], [order, "nth"]).withColumnRenamed("link", "url")
+    first = first_seen(rows, ["vendor_sku", "link"], [order, "nth"]).withColumnRenamed("link", "url").withColumn("vendor_id", F.lit("tms"))
+    if availability is None:
+        return first.withColumn("in_stock", F.lit(None).cast("boolean"))
+    return with_stock(first, availability, [c for c in availability.columns if c not in ("code", "status", "color")])
 
 
 def fragment_listings(pages: DataFrame) -> DataFrame:
@@ -141,4 +178,5 @@ def build_listings(responses: DataFrame, order: str = "request") -> DataFrame:
     each = cats.select(order, "category_guess", "c", F.posexplode(F.map_values("cat.products")).alias("p", "x")).where("x.id is not null")
     rows = each.select(order, "c", "p", "category_guess", F.col("x.id").alias("id"), F.col("x.barcode").alias("vendor_sku"), F.col("x.title").alias("title_raw"), F.col("x.price").alias("price_ils"), F.col("x.parent").alias("parent"), F.col("x.cuts").alias("cuts"))
     first = first_seen(rows, ["id"], [order, "c", "p"])
-    return first.select(F.lit("ivory").alias("vendor_id"), "vendor_sku", "title_raw", F.concat(F.lit("https://www.ivory.co.il/catalog.php?id="), "id").alias("url"), "price_ils", F.lit(True).alias("in_stock"), "category_guess", "parent", "cuts")
+    meta = F.to_json(F.struct("cuts", "parent"))
+    return first.select(F.lit("ivory").alias("vendor_id"), "vendor_sku", "title_raw", F.concat(F.lit("https://www.ivory.co.il/catalog.php?id="), "id").alias("url"), "price_ils", F.lit(True).alias("in_stock"), "category_guess", meta.alias("vendor_meta"))

@@ -18,7 +18,8 @@ def listing_stream(spark: SparkSession, path: str) -> DataFrame:
 def keep_best(stream: DataFrame, table: str, checkpoint: str):
     """Start a query that keeps `table` (a folder of versions) at the best row of each listing seen so far.
 
-    A batch writes a new version from the last and its own rows; running a batch again writes the same version.
+    A batch writes a new version from the last and its own rows; running a batch again writes the same version. Two
+    versions stay: the newest, and the one that a batch which runs again needs.
     """
 
     def update(batch: DataFrame, number: int) -> None:
@@ -27,6 +28,8 @@ def keep_best(stream: DataFrame, table: str, checkpoint: str):
         if number:
             rows = rows.unionByName(spark.read.parquet(f"{table}/v={number - 1}"))
         dedupe(rows, ["scraped_at"]).write.mode("overwrite").parquet(f"{table}/v={number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v={number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

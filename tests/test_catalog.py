@@ -303,7 +303,61 @@ def test_publish_guards(spark, tmp_path):
     sinks.publish({"listings": spark.range(2), "products": spark.range(1)}, root)
     with pytest.raises(sinks.EmptyResult):
         sinks.publish({"listings": spark.range(0), "products": spark.range(1)}, root)
-    assert spark.read.parquet(f"{root}/listings").count() == 2
+    assert sinks.read_published(spark, root, "listings").count() == 2
+    for n in (3, 4, 5):
+        sinks.publish({"listings": spark.range(n), "products": spark.range(1)}, root)
+    assert sinks.read_published(spark, root, "listings").count() == 5 and len(list((tmp_path / "out").glob("v-*"))) == 2
+
+
+def test_raw_snapshots_round_trip(spark, tmp_path):
+    root, day = str(tmp_path / "raw"), dt.date(2024, 1, 2)
+    rows = [("2024-01-02", v, "s", t) for v, t in (("tms", "a"), ("tms", "b"), ("1pc", "c"))]
+    schema = "date string, vendor string, vendor_sku string, title_raw string"
+    sinks.write_raw(spark.createDataFrame(rows, schema), root)
+    sinks.write_raw(spark.createDataFrame([("2024-01-02", "tms", "s", "new")], schema), root)
+    sinks.write_raw(spark.createDataFrame([], schema), root)
+    got, skipped = jsonl.read_snapshots(spark, root, day)
+    assert {(r.vendor_id, r.title_raw, r.stale) for r in got.collect()} == {("tms", "new", False), ("1pc", "c", False)}
+    assert skipped == ["plonter", "ivory"]
+
+
+def test_label_file(spark, tmp_path):
+    at, given = str(tmp_path / "labels.json"), [("cuts", "3", "socket", "AM5"), ("cuts", "3", "wattage_w", "65"), ("parents", "12", "category", "cpu")]
+    sinks.write_labels(spark.createDataFrame(given, "kind string, id string, attr string, value string"), at)
+    assert json.loads((tmp_path / "labels.json").read_text()) == {"cuts": {"3": {"socket": "AM5", "wattage_w": "65"}}, "parents": {"12": {"category": "cpu"}}}
+    assert sorted(map(tuple, sinks.read_labels(spark, at).collect())) == given
+    (tmp_path / "broken.json").write_text("{nonsense")
+    assert sinks.read_labels(spark, str(tmp_path / "broken.json")).count() == 0 and sinks.read_labels(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_payloads_to_published_tables(spark, tmp_path):
+    """All four vendors' payloads, through the build, to tables, documents and the review queue in their order."""
+    title, day = "MSI RTX 4070 Ventus 12GB", dt.date(2024, 1, 2)
+    tiles = spark.createDataFrame([(1, "https://t.example/x", "gpu", TILE.format(sku="A", href="/a", sticker="", price='<span class="product-card__price-normal">₪ 2,000</span>', more="").replace("T &amp; co", title))], "page int, url string, category_guess string, html string")
+    answers = payloads.availability_rows(spark.createDataFrame([(1, '{"productsData":[{"Code":"a","AvailabilityStatus":"in_stock"}]}'), (2, "<html>"), (3, None)], "request int, json string"))
+    html = f'<div class="pc-product-item" data-productid="9"><a class="product-link" href="/product-9"></a><span class="product-title" data-price="1900.4"> {title} OC </span></div>'
+    items = spark.createDataFrame([("192", "https://o.example/v", html)], "seed string, url string, html string")
+    feed = spark.createDataFrame([(bytearray(f"<pre>h</pre><pre>s1\t{title} X\td\tc\tx\ts\t1800\tt\ti\t1\tDisplay Adapters</pre>".encode("cp1255")),)], "content binary")
+    build = spark.createDataFrame([(1, "gpu", json.dumps({"Build": {"categories": [{"products": {"a": {"id": 5, "title": title, "price": 1700, "parent": 12, "cuts": [7, 3]}}}]}}))], "request int, category_guess string, json string")
+    sources = [payloads.tile_listings(tiles, availability=answers), payloads.fragment_listings(payloads.guessed(items, "1pc")), payloads.feed_listings(feed), payloads.build_listings(build)]
+    raw = payloads.as_snapshot(sources[0], day)
+    for s in sources[1:]:
+        raw = raw.unionByName(payloads.as_snapshot(s, day))
+    built = build_catalog(raw, work=str(tmp_path / "work"))
+    sinks.publish(built, str(tmp_path / "out"))
+    listings = {r.listing_key: r for r in sinks.read_published(spark, str(tmp_path / "out"), "listings").collect()}
+    assert {k: (r.price, r.in_stock, r.category) for k, r in listings.items()} == {"tms:A": (2000, True, "gpu"), "1pc:9": (1900, True, "gpu"), "plonter:s1": (1800, True, "gpu"), "ivory:5": (1700, True, "gpu")}
+    assert listings["ivory:5"].attributes["ivory_cuts"] == "[3,7]" and listings["ivory:5"].attributes["ivory_parent"] == "12"
+    sinks.export_document(built, ["none"], str(tmp_path / "catalog.json"))
+    document = json.loads((tmp_path / "catalog.json").read_text())
+    assert list(document) == ["generated_at", "listings", "products", "review_queue_count", "skipped_vendors"] and document["skipped_vendors"] == ["none"]
+    assert [x["listing_key"] for x in document["listings"]] == ["1pc:9", "ivory:5", "plonter:s1", "tms:A"] and [x["product_id"] for x in document["products"]] == sorted(listings[k].product_id for k in listings)
+    sinks.export_review(built["review"], str(tmp_path / "review.json"))
+    review = json.loads((tmp_path / "review.json").read_text())
+    assert len(review) == document["review_queue_count"] > 1 and [x["score"] for x in review] == sorted((x["score"] for x in review), reverse=True)
+    assert all(title in x["title_a"] and title in x["title_b"] for x in review)
+    sinks.export_review(built["review"].where("score > 1000"), str(tmp_path / "review.json"))
+    assert json.loads((tmp_path / "review.json").read_text()) == []
 
 
 def test_build_catalog(spark):
@@ -343,13 +397,15 @@ def test_vendor_data_and_two_passes(spark):
     rows = [listing(vendor_id="ivory", vendor_sku=f"s{k}", category_guess="cpu", title_raw="cpu") | {"vendor_meta": json.dumps(m)} for k, m in enumerate(meta)]
     raw = spark.createDataFrame(rows, LISTING + ", vendor_meta string")
     got = {r.vendor_sku: r for r in build_catalog(raw, score=False)["listings"].collect()}
-    assert got["s0"].attributes == {"socket": "AM4", "packaging": "Tray", "brand": "AMD", "model": "Ryzen 5 5600X", "cores": "8"}
+    builder = {k: dict(r.attributes) for k, r in got.items()}
+    assert (builder["s0"].pop("ivory_cuts"), builder["s0"].pop("ivory_parent"), builder["s1"]) == ("[3,7,7]", "12", {"ivory_cuts": "[3]"})
+    assert builder["s0"] == {"socket": "AM4", "packaging": "Tray", "brand": "AMD", "model": "Ryzen 5 5600X", "cores": "8"}
     assert (got["s0"].cuts, got["s0"].parent, got["s1"].parent) == ([3, 7, 7], "12", None)
     learnt = labels.learn(labels.tallies(build_catalog(raw, score=False)["listings"], ("socket", "packaging")))
     assert {(r.kind, r.id, r.attr, r.value) for r in learnt.collect()} == {("cuts", "7", "socket", "AM4"), ("cuts", "7", "packaging", "Tray")}
     given = spark.createDataFrame([("cuts", "3", "socket", "AM5"), ("parents", "12", "category", "cpu")], "kind string, id string, attr string, value string")
     again = {r.vendor_sku: dict(r.attributes) for r in build_catalog(raw, learnt=given, score=False)["listings"].collect()}
-    assert again["s1"] == {"socket": "AM5"} and again["s0"]["socket"] == "AM4" and again["s0"]["ivory_category"] == "cpu"
+    assert again["s1"] == {"socket": "AM5", "ivory_cuts": "[3]"} and again["s0"]["socket"] == "AM4" and again["s0"]["ivory_category"] == "cpu"
 
 
 def test_ledger_overrides(spark):
