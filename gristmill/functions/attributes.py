@@ -128,13 +128,16 @@ def fragment_texts(title: Column) -> Column:
 
 
 def fragments(texts: Column) -> Column:
-    """Attributes of such parts, the first part winning each: a struct."""
-    first = lambda f: F.get(F.filter(F.transform(texts, f), lambda x: x.isNotNull()), F.lit(0))
-    radio = F.get(F.filter(texts, lambda p: wifi(p).isNotNull()), F.lit(0))
-    return F.struct(
-        first(socket).alias("socket"), first(chipset).alias("chipset"), first(memory_type).alias("memory_type"), first(form_factor).alias("form_factor"),
-        wifi(radio).alias("wifi"), wifi_standard(radio).alias("wifi_standard"), first(lan).alias("lan"),
-    )
+    """Attributes of such parts, the first part winning each: a struct. Each part is looked at once."""
+    found = {"socket": socket, "chipset": chipset, "memory_type": memory_type, "form_factor": form_factor, "wifi": wifi, "wifi_standard": wifi_standard, "lan": lan}
+    each = F.transform(texts, lambda p: F.struct(*(f(p).alias(k) for k, f in found.items())))
+
+    def first_of(best: Column, part: Column) -> Column:
+        radio = lambda k: F.when(best["wifi"].isNull(), part[k]).otherwise(best[k])  # noqa: E731  the first part with wireless says which
+        return F.struct(*((radio(k) if k.startswith("wifi") else F.coalesce(best[k], part[k])).alias(k) for k in found))
+
+    none = F.struct(*(F.lit(None).cast(KINDS[k]).alias(k) for k in found))
+    return F.aggregate(each, none, first_of)
 
 
 def hebrew_facts(text: Column) -> Column:

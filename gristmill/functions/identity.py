@@ -56,20 +56,27 @@ def brand_order() -> list[tuple[str, str]]:
 
 
 def brand(text: Column) -> Column:
-    """Brand of the longest alias that stands between spaces; of equally long ones the first listed."""
-    padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    out = F.lit(None).cast("string")
-    for alias, name in reversed(brand_order()):
-        out = F.when(F.contains(padded, F.lit(f" {alias} ")), name).otherwise(out)
-    return out
+    """Brand of the longest alias that stands between spaces; of equally long ones the first listed.
+
+    The words are looked up at once among the aliases, which keep their order; only those of several words are searched for.
+    """
+    order, low = brand_order(), F.lower(text)
+    padded = F.concat(F.lit(" "), low, F.lit(" "))
+    several = [F.when(F.contains(padded, F.lit(f" {alias} ")), alias) for alias, _ in order if " " in alias]
+    found = F.get(F.array_intersect(F.array(*(F.lit(alias) for alias, _ in order)), F.concat(F.split(low, " "), F.array(*several))), F.lit(0))
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in order for x in pair)), found)
 
 
 def part_number(text: Column) -> Column:
-    """Longest find of any pattern; ties go to the earlier pattern, then position. Letters and digits only."""
+    """Longest find of any pattern; ties go to the earlier pattern, then position. Letters and digits only.
+
+    A text is searched for each pattern only if it has a find of any.
+    """
     upper = F.upper(text)
     finds = F.flatten(F.array(*(F.regexp_extract_all(upper, F.lit(p), F.lit(0)) for p in fixed.PART_NUMBERS)))
     ranked = F.transform(finds, lambda x, i: F.struct(-F.length(x), i, x.alias("x")))
-    return F.regexp_replace(F.get(F.array_sort(ranked), F.lit(0))["x"], "[^A-Z0-9]", "")
+    longest = F.regexp_replace(F.get(F.array_sort(ranked), F.lit(0))["x"], "[^A-Z0-9]", "")
+    return F.when(upper.rlike("|".join(fixed.PART_NUMBERS)), longest)
 
 
 def listing_key(vendor_id, sku, url, payload: Column | None = None) -> Column:

@@ -46,6 +46,12 @@ def best_offer(rows: DataFrame) -> DataFrame:
     return rows.where("price is not null").groupBy("product_id").agg(F.min_by(offer, offer_rank()).alias("o")).select("product_id", "o.*")
 
 
+def best_price(rows: DataFrame) -> DataFrame:
+    """product_id, category and the best offer's price in one pass; products without a price have none."""
+    rank = F.when(F.col("price").isNotNull(), offer_rank())
+    return rows.groupBy("product_id").agg(F.min_by("category", _place()).alias("category"), F.min_by("price", rank).alias("price"))
+
+
 def offers(rows: DataFrame) -> DataFrame:
     """Offers with their place in the product: by vendor, unpriced last, cheap first."""
     order = W.partitionBy("product_id").orderBy("vendor", F.col("price").isNull(), "price", "listing_key")

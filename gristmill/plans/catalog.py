@@ -79,8 +79,7 @@ KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 # ------------------------------------------------------------------ queries
 def best_price_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: listings, enriched and deduplicated, then priced products by category."""
-    rows = matched(spark, sf_dir)
-    best = products.best_offer(rows).join(products.summarize(rows).select("product_id", "category"), "product_id")
+    best = products.best_price(matched(spark, sf_dir)).where("price is not null")
     return best.groupBy("category").agg(F.count("*").alias("products"), F.min("price").alias("lowest"), F.max("price").alias("highest"), F.sum("price").alias("total"))
 
 
