@@ -1,54 +1,5 @@
-"""The corpus pipeline (part of gristmill.llm): stages from raw documents to packed sequences."""
+"""The corpus pipeline, which is part of gristmill.llm."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from gristmill.llm.exact_dedup import keep_first_copies
-from gristmill.llm.jaccard import keep_one_of_each
-from gristmill.llm.mixing import mixed_rows
-from gristmill.llm.packing import pack_sequences
-from gristmill.llm.quality import keep_good
-from gristmill.llm.queries import documents, tokenizer_file
-from gristmill.llm.shared import Workspace
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and whose perplexity lies within their language's band."""
-    return keep_good(docs)
-
-
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of documents that are equal but for white space."""
-    return keep_first_copies(docs)
-
-
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar word shingles."""
-    return keep_one_of_each(docs)
-
-
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix of sources takes it."""
-    return mixed_rows(docs)
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the mixed corpus in sequences of 2048."""
-    return pack_sequences(docs, tokenizer_file("word_bpe_49k.json"), end_id=1, vocabulary=49_408)
-
-
-STAGES = [("quality rules", quality), ("exact dedup", exact), ("n-gram jaccard", near), ("mixing", mixing), ("packing", packing)]
-
-#: SQL can express neither the language model behind the quality stage nor the tokenizers.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs, work = documents(spark, sf_dir), Workspace(spark, "pipeline")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = work.write(stage(spark, docs, sf_dir), f"stage-{k}")
-        if k:
-            work.drop(f"stage-{k - 1}")
-    return docs
+from gristmill.llm.pipeline import ORACLE_SQL as ORACLE_SQL
+from gristmill.llm.pipeline import STAGES as STAGES
+from gristmill.llm.pipeline import run as run

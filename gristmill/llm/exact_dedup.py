@@ -8,7 +8,8 @@ owner once a task, not once a document. The last join is a plain equi-join that
 
 Defined results: a null text counts as empty; a null id loses ties against any id; rows repeated with the
 same id and text are copies, of which exactly one is kept; an empty table gives no rows; other columns of
-the input are not read.
+the input are not read, whatever they are called; a very long text is hashed and compared whole, by one task. Inside a
+scanning task an equal SHA-256 stands for equal bytes; between tasks the bytes are compared.
 """
 
 from __future__ import annotations
@@ -174,10 +175,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
+    """The rows that stay, with all their columns. Of rows that agree in id, in text but for white space, and in length, any one stays."""
     own = numbered(docs)
     own_id, own_text = place(docs, id_col), place(docs, text_col)
-    text, lost = F.coalesce(F.col(own_text), F.lit("")), F.lit(-(1 << 62))
-    kept = exact_dedup(own, own_id, own_text).where("kept").select(F.coalesce("doc_id", lost).alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_cp").alias("_n"))
-    rows = own.withColumns({"_id": F.coalesce(F.col(own_id).cast("long"), lost), "_sha": F.sha2(F.translate(text, WHITE.decode(), ""), 256), "_n": F.char_length(text).cast("long")})
-    return named(rows.join(kept, ["_id", "_sha", "_n"], "left_semi").dropDuplicates(["_id", "_sha", "_n"]), docs)
+    text, keys = F.coalesce(F.col(own_text), F.lit("")), ["_id", "_none", "_sha", "_n"]
+    named_by = lambda c: {"_id": F.coalesce(c, F.lit(0)), "_none": c.isNull()}  # noqa: E731  null ids are equal to each other only
+    kept = exact_dedup(own, own_id, own_text).where("kept").select(*(v.alias(k) for k, v in named_by(F.col("doc_id")).items()), F.col("text_sha256").alias("_sha"), F.col("n_cp").alias("_n"))
+    rows = own.withColumns(named_by(F.col(own_id).cast("long")) | {"_sha": F.sha2(F.translate(text, WHITE.decode(), ""), 256), "_n": F.char_length(text).cast("long")})
+    return named(rows.join(kept, keys, "left_semi").dropDuplicates(keys), docs)

@@ -17,7 +17,8 @@ texts or all sets of a hot group, no candidate pair is written out, and no link
 
 Defined results: a null text, and one without words, has an empty set and links with nothing; a null id takes
 part, but names a component only if all its ids are null, as null; rows repeated with the same id are one
-class; an empty table gives no rows.
+class; an empty table gives no rows; columns besides the two named are not read, whatever they are called; a very long
+text's set is held whole by the task that reads it.
 """
 
 from __future__ import annotations
@@ -381,7 +382,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id names their component, with all their columns."""
+    """The documents whose id names their component, with all their columns; of rows with that id, all."""
     own, own_id = numbered(docs), place(docs, id_col)
     kept = similar_components(own, own_id, place(docs, text_col)).where("doc_id <=> component_id").select("doc_id").distinct()
     return named(own.join(kept, F.col(own_id).cast("long").eqNullSafe(F.col("doc_id")), "left_semi"), docs)

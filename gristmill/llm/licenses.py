@@ -18,7 +18,8 @@ their directory, an equi-join that AQE splits if one directory holds a third of
 
 Defined results: a null text has no lines; a null path lies in the root directory; equal cosines go to the
 template, then the line, that comes first; of several licence files in one directory the best, then the first
-by path, then by id, holds; repeated rows are scanned each; an empty table gives no rows.
+by path, then by id, holds; repeated rows are scanned each; an empty table gives no rows; columns besides those named
+are not read, whatever they are called; a very long text is split into its lines by the task that reads it.
 """
 
 from __future__ import annotations

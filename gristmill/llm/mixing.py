@@ -7,7 +7,8 @@ What reaches the driver is a few numbers a source.
 
 Defined results: a null text has size 0, and a document of size 0 takes nothing; a null source is a source
 of its own, ordered last; rows repeated with the same id and text share a hash, so they are taken or left
-together; an empty table gives no rows; the choice depends on the rows' content alone, so reruns agree.
+together; an empty table gives no rows; extra columns pass through mixed_rows whatever they are called, and are not read
+by mix_sources; a very long text is one document, counted whole; the choice depends on the rows' content alone, so reruns agree.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ the shared folder under a temporary name, then renamed: a task that runs again r
 equal bytes. Only a row a shard reaches the driver, for the prefix sums of the shards' totals.
 
 Defined results: a null text is empty and has the end id alone; null ids come first; rows repeated with the same
-id are ordered by a hash of the text; an empty table gives no rows.
+id are ordered by a hash of the text; an empty table gives no rows; columns besides the two named are not read, whatever
+they are called; a very long text is encoded whole, by one task.
 """
 
 from __future__ import annotations

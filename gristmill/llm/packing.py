@@ -5,7 +5,8 @@ partition) give each partition's global offset. Second pass: each document is cu
 document that crosses a boundary gives one piece on either side; no row needs any other row.
 
 Defined results: a null text is empty and has the end id alone; null ids are kept; repeated rows are documents of
-their own; an empty table gives no pieces. Every sequence but the last is full.
+their own; an empty table gives no pieces; columns besides the two named are not read, whatever they are called; a very
+long text is encoded whole, by one task. Every sequence but the last is full.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ Equal whole texts are represented by the one with the least id; the others go en
 documents share travels once a task, not once a document.
 
 Defined results: a null text is empty; null ids count as larger than all others and as equal to each other;
-rows repeated with the same id never remove each other; an empty table gives no rows.
+rows repeated with the same id never remove each other; an empty table gives no rows; columns besides the two named
+are not read, whatever they are called; a very long text is cut whole, by one task, its minimizers found in stretches.
 """
 
 from __future__ import annotations
