@@ -128,16 +128,18 @@ def fragment_texts(title: Column) -> Column:
 
 
 def fragments(texts: Column) -> Column:
-    """Attributes of such parts, the first part winning each: a struct. Each part is looked at once."""
-    found = {"socket": socket, "chipset": chipset, "memory_type": memory_type, "form_factor": form_factor, "wifi": wifi, "wifi_standard": wifi_standard, "lan": lan}
-    each = F.transform(texts, lambda p: F.struct(*(f(p).alias(k) for k, f in found.items())))
+    """Attributes of such parts, the first part winning each: a struct. Parts are looked at one by one only if all together hold a pattern."""
+    whole = F.array_join(texts, "|")
+    wireless = (fixed.WIFI_STANDARD, fixed.WIFI)
 
-    def first_of(best: Column, part: Column) -> Column:
-        radio = lambda k: F.when(best["wifi"].isNull(), part[k]).otherwise(best[k])  # noqa: E731  the first part with wireless says which
-        return F.struct(*((radio(k) if k.startswith("wifi") else F.coalesce(best[k], part[k])).alias(k) for k in found))
+    def first(found, *patterns: str) -> Column:
+        return F.when(whole.rlike("|".join(patterns)), F.get(F.filter(F.transform(texts, found), lambda x: x.isNotNull()), F.lit(0)))
 
-    none = F.struct(*(F.lit(None).cast(KINDS[k]).alias(k) for k in found))
-    return F.aggregate(each, none, first_of)
+    radio = F.when(whole.rlike("|".join(wireless)), F.get(F.filter(texts, lambda p: wifi(p).isNotNull()), F.lit(0)))
+    return F.struct(
+        first(socket, fixed.SOCKET, fixed.SOCKET_NUMBER).alias("socket"), first(chipset, fixed.CHIPSET).alias("chipset"), first(memory_type, fixed.DDR).alias("memory_type"),
+        first(form_factor, *(p for p, _ in fixed.FORM_FACTORS)).alias("form_factor"), wifi(radio).alias("wifi"), wifi_standard(radio).alias("wifi_standard"), first(lan, fixed.LAN).alias("lan"),
+    )
 
 
 def hebrew_facts(text: Column) -> Column:

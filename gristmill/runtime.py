@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -21,5 +22,6 @@ def ship_package(spark: SparkSession) -> None:
         copy = Path(tmp, "src", root.name)
         shutil.copytree(root, copy, ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
         target = tempfile.mkdtemp(prefix="gristmill-src-")
+        atexit.register(shutil.rmtree, target, ignore_errors=True)
         sc.addPyFile(shutil.make_archive(f"{target}/gristmill", "zip", Path(tmp, "src")))
     _SHIPPED.add(sc.applicationId)
