@@ -163,7 +163,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     slot = F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
     table = spark.createDataFrame([(k, int(o), int(directory.slots[k]), directory.local[directory.slots[k]]) for k, o in enumerate(owners)], "slot long, owner int, bucket int, local_depth int")
-    work.write(table.coalesce(1), "directory")
+    table = work.write(table.coalesce(1), "directory")
     owned = F.broadcast(table.select("slot", "owner"))  # 2**MAX_DEPTH rows at most
     dealt = entries.where("kind > 0").select("h", "sha", "doc_row", "doc_id", "n_cp", "size", "body", slot.alias("slot"))
     dealt = dealt.join(owned, "slot").repartition(n, "owner").sortWithinPartitions("owner", "h").drop("slot", "owner")
