@@ -9,8 +9,8 @@
    clusters, larger than the components sought but never smaller.
 3. A cluster's classes go into one signature tree (see signature_tree), many clusters a task. A cluster above
    CLUSTER classes is dealt over blocks, each with the cluster's pivots; the blocks' own components become super
-   nodes (OR of bitmaps, size range), and only pairs of super nodes that are in different components, and whose
-   bound allows a link, are compared set by set.
+   nodes (OR of bitmaps, size range). These are drawn into lots, each lot meets each other in a task of its own, and
+   only pairs of super nodes that are in different components, and whose bound allows a link, are compared set by set.
 
 A group of copies is one class, and reaches each bucket once a batch. No bucket, cluster or task gathers the
 texts or all sets of a hot group, no candidate pair is written out, and no link is lost.
@@ -35,8 +35,8 @@ from .signature_tree import SignatureTree, bitmap_bits
 WIDTH = 5
 #: Similarity of a link, as a fraction.
 SHARE = (75, 100)
-#: Shingles a bucket holds; classes a tree holds; pivots of a cluster that is dealt over blocks.
-BUCKET, CLUSTER, PIVOTS = 3_000_000, 2048, 32
+#: Shingles a bucket holds; classes a tree holds; pivots of a cluster that is dealt over blocks; super nodes of it that one task compares with as many others.
+BUCKET, CLUSTER, PIVOTS, NODES = 3_000_000, 2048, 32, 4096
 #: Shingles that a task gathers before it sends them.
 HELD = 1_000_000
 #: A class's key: 96 bits of its shingles' hashes.
@@ -277,21 +277,21 @@ def _trees(share):
 
 
 def _open_pairs(share):
-    """A dealt cluster's super nodes: pairs in different components that the bound can't rule out."""
+    """Super nodes of a dealt cluster, of one draw or of two: pairs in different components, of different draws if there are two, that the bound can't rule out."""
     p, q = share
     schema = pa.schema([("cluster", pa.int64()), ("pair", pa.int64()), ("side", pa.int32()), ("salt", pa.int32()), ("root", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
         comp = np.asarray(table.column("comp").combine_chunks().dictionary_encode().indices)
-        least, most, over, salt = (table.column(c).to_numpy() for c in ("least", "most", "over", "salt"))
-        roots, cluster, out = table.column("root").to_pylist(), table.column("cluster")[0].as_py(), []
+        least, most, over, salt, draw = (table.column(c).to_numpy() for c in ("least", "most", "over", "salt", "draw"))
+        roots, (cluster, one, two), out = table.column("root").to_pylist(), (table.column(c)[0].as_py() for c in ("cluster", "one", "two")), []
         maps = np.stack([_tokens(x) for x in table.column("map").to_pylist()])
         for k in range(len(roots)):
-            other = k + 1 + np.flatnonzero((comp[k + 1 :] != comp[k]) & (q * most[k + 1 :] >= p * least[k]) & (q * most[k] >= p * least[k + 1 :]))
+            other = k + 1 + np.flatnonzero((comp[k + 1 :] != comp[k]) & (q * most[k + 1 :] >= p * least[k]) & (q * most[k] >= p * least[k + 1 :]) & ((draw[k + 1 :] != draw[k]) | (one == two)))
             if len(other):
                 common = np.bitwise_count(maps[other] & maps[k]).sum(1, dtype=np.int64) + np.minimum(over[other], over[k])
                 for o in other[(p + q) * common >= p * (least[other] + least[k])]:
-                    pair = k * len(roots) + int(o)
+                    pair = ((one << 16 | two) << 32) + k * len(roots) + int(o)
                     out += [(cluster, pair, 0, int(salt[k]), roots[k]), (cluster, pair, 1, int(salt[o]), roots[o])]
         return pa.Table.from_arrays([pa.array([r[c] for r in out], t.type) for c, t in enumerate(schema)], schema=schema)
 
@@ -314,7 +314,7 @@ def _compare(share):
     return run
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: tuple[int, int] = SHARE, cluster: int = CLUSTER) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: tuple[int, int] = SHARE, cluster: int = CLUSTER, nodes_a_task: int = NODES) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id that links reach), for each document."""
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "jaccard")
     n, (p, q) = partitions(spark), share
@@ -361,7 +361,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if nodes.take(1):
         comp = components(work, links, "comps")
         part = nodes.join(comp, nodes.root == comp.node, "left").select("cluster", "salt", nodes.root, "map", "least", "most", "over", F.coalesce(comp.root, nodes.root).alias("comp"))
-        pairs = work.write(part.groupBy("cluster").applyInArrow(groupwise(_open_pairs(share)), "cluster long, pair long, side int, salt int, root binary"), "pairs")
+        # Each draw of nodes meets each other draw, and itself, in a task of its own.
+        draws = work.write(nodes.groupBy("cluster").agg(F.ceil(F.count("*") / nodes_a_task).cast("int").alias("draws")), "draws")
+        part = part.join(draws, "cluster").withColumn("draw", F.pmod(F.xxhash64("root", "salt"), "draws").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("draws") - 1)))
+        part = part.withColumns({"one": F.least("draw", "other"), "two": F.greatest("draw", "other")}).drop("draws", "other")
+        pairs = work.write(part.groupBy("cluster", "one", "two").applyInArrow(groupwise(_open_pairs(share)), "cluster long, pair long, side int, salt int, root binary"), "pairs")
         if pairs.take(1):
             inside = local.where("map is not null or root <> cls").select("cluster", "salt", "cls", "root")
             sets = pairs.join(inside, ["cluster", "salt", "root"]).join(members, ["cluster", "cls"])

@@ -175,9 +175,10 @@ def test_licenses_odd(odd):
 
 
 # ------------------------------------------------------------------ Jaccard join
-@pytest.mark.parametrize("cluster", [2048, 3])
-def test_jaccard(docs, rows, cluster):
-    got = collected(jaccard.similar_components(docs, cluster=cluster), "doc_id", "n_shingles", "component_id")
+@pytest.mark.parametrize(("cluster", "nodes"), [(2048, jaccard.NODES), (3, 2)])
+def test_jaccard(docs, rows, cluster, nodes):
+    """One tree a cluster; blocks of a few classes, whose super nodes meet by twos."""
+    got = collected(jaccard.similar_components(docs, cluster=cluster, nodes_a_task=nodes), "doc_id", "n_shingles", "component_id")
     assert got == sorted(brute.components([r[:2] for r in rows]), key=str)
 
 
@@ -225,7 +226,7 @@ def test_jaccard_chain_over_blocks(spark):
     for k in range(24):
         w[k * 12] = f"x{k}"
         rows.append((100 - k, " ".join(w)))
-    got = collected(jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), cluster=4), "doc_id", "n_shingles", "component_id")
+    got = collected(jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), cluster=4, nodes_a_task=3), "doc_id", "n_shingles", "component_id")
     assert got == sorted(brute.components(rows), key=str)
 
 
@@ -478,6 +479,35 @@ def test_packing(docs, rows, odd, empty):
     assert packing.pack_sequences(odd, path, 1, 49_408).count() == odd.count()
 
 
+def test_packed_and_packing_on_odd_rows(spark):
+    """Null ids, ties, repeated rows and a very long text, beside columns with the operators' own names: each document's ids, in order and without gaps."""
+    rows = odd_rows()
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, h string, part int").repartition(3)
+    ids = [(r[0], encoded("byte_bpe_50k.json", r[1], 2)) for r in rows]
+    shards = packed_ids.write_packed_ids(frame, queries.tokenizer_file("byte_bpe_50k.json"), 2, 50_257)
+    got = sorted(packed_ids.read_packed_ids(spark, shards).collect(), key=lambda r: r.start)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((i, len(x), zlib.crc32(x.tobytes())) for i, x in ids)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    order = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert order == sorted(order)
+
+    pieces = packing.pack_sequences(frame, queries.tokenizer_file("word_bpe_49k.json"), 1, 49_408).collect()
+    line = sorted(pieces, key=lambda p: (p.sequence_id, p.offset))
+    assert [2048 * p.sequence_id + p.offset for p in line] == [0, *np.cumsum([p.length for p in line])[:-1].tolist()]
+    whole, now = Counter(), []
+    for p in line:  # a document's pieces follow each other
+        assert p.start == sum(x.length for x in now) and (not now or now[0].doc_id == p.doc_id)
+        now.append(p)
+        if p.start + p.length == p.doc_tokens:
+            whole[p.doc_id, tuple((x.length, x.ids_crc32) for x in now)] += 1
+            now = []
+    want = [(r[0], encoded("word_bpe_49k.json", r[1], 1)) for r in rows]
+    plain = Counter((i, zlib.crc32(x.tobytes())) for i, x in want if len(x) < 2048)
+    assert not now and sum(whole.values()) == len(rows)
+    assert Counter((i, parts[0][1]) for i, parts in whole.elements() if len(parts) == 1) <= plain
+    assert Counter((i, sum(n for n, _ in parts)) for i, parts in whole.elements()) == Counter((i, len(x)) for i, x in want)
+
+
 # ------------------------------------------------------------------ language model
 def test_lm_base_scores(docs, rows):
     got = {r.doc_id: r for r in neural_lm.score_documents(docs).collect()}
