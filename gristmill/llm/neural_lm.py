@@ -15,7 +15,7 @@ problem of its own, solved by the tasks, a block of words at a time, whose batch
 the normaliser of their class after each class. The sum over all known words and one unknown word a suffix class is 1
 after any context.
 
-Counts and vectors of the FREQUENT most frequent tokens are broadcast. All other tokens go to their counts by a plain
+Counts of the FREQUENT most frequent tokens and vectors of the NEAR most frequent are broadcast. All other tokens go to their counts by a plain
 equi-join on the hash, of a row per document and distinct rare word, and to their vectors by one of a row an occurrence
 (a bitmap of fixed size keeps most words without a vector away), so no key is hot.
 
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .blocks import BYTE_LOWER, LOWER, batchwise, groupwise, mix, span_hashes, sums_by, text_slices, word_bounds
 from .shared import Workspace
 
-#: Classes of the model, those of suffixes among them; the tokens whose counts are broadcast.
-CLASSES, SUFFIXES, FREQUENT = 1024, 224, 1 << 16
+#: Classes of the model, those of suffixes among them; the tokens whose counts, and those whose vectors, are broadcast.
+CLASSES, SUFFIXES, FREQUENT, NEAR = 1024, 224, 1 << 16, 1 << 14
 DIMENSION, NOISE, STEPS, RATE = 48, 20, 250, 0.05
 #: Occurrences from which a word has a vector, words solved at once, their steps, and the weight of their prior.
 LEAST, BLOCK, SOLVES, PRIOR = 32, 1024, 12, 4.0
@@ -127,6 +127,10 @@ class Vocabulary:
         at = h & (BITMAP - 1)
         return (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
+    def asks(self, h: np.ndarray, at: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """Which tokens may have a vector that is not here."""
+        return np.where(hit, self.may[at] & (self.vector_of[at] < 0) if len(self.h) else False, self.far(h))
+
     def able(self, h: np.ndarray, at: np.ndarray, hit: np.ndarray) -> np.ndarray:
         """Which tokens may have a vector."""
         return np.where(hit, self.may[at] if len(self.h) else hit, self.far(h))
@@ -209,12 +213,15 @@ def _solve_words(state):
         suffix, salt = table.column("suffix")[0].as_py(), table.column("salt")[0].as_py()
         h, first, at = np.unique(table.column("h").to_numpy(), return_index=True, return_inverse=True)
         n = table.column("n").to_numpy()[first]
-        data = np.zeros((len(h), CLASSES), np.float32)
-        data[at, table.column("previous").to_numpy()] = table.column("m").to_numpy()
+        previous, m = table.column("previous").to_numpy(), table.column("m").to_numpy()
+        by = np.argsort(at, kind="stable")
+        edge = np.searchsorted(at[by], np.arange(0, len(h) + BLOCK, BLOCK))
         vectors, sums = np.empty((len(h), contexts.shape[1]), np.float32), np.zeros(CLASSES)
         for k in range(0, len(h), BLOCK):
-            own = slice(k, k + BLOCK)
-            vectors[own] = train_words(data[own], (n[own] + 0.1) / mass[suffix], pairs[:, suffix], contexts)
+            own, mine = slice(k, k + BLOCK), by[edge[k // BLOCK] : edge[k // BLOCK + 1]]
+            data = np.zeros((len(h[own]), CLASSES), np.float32)
+            data[at[mine] - k, previous[mine]] = m[mine]
+            vectors[own] = train_words(data, (n[own] + 0.1) / mass[suffix], pairs[:, suffix], contexts)
             sums += (n[own] + 0.1) @ np.expm1(vectors[own].astype(np.float64) @ contexts.T.astype(np.float64))
         made = [x.tobytes() for x in vectors] + [sums.tobytes()]
         columns = [pa.array([*h.tolist(), None], pa.int64()), pa.array([*n.tolist(), 0]), pa.array([suffix] * len(made), pa.int16()), pa.array([salt] * len(made), pa.int32()), pa.array(made, pa.binary())]
@@ -339,7 +346,7 @@ def _score(state):
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc[by][start], minlength=n))]).astype(np.int32)
                 arrays = [np.arange(row, row + n), ids[first:last], counts, sums_by(hit.astype(np.int64), counts), sums_by(log_count, counts), sums_by(score, counts)]
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (h[by][start], times)]
-                far = rare[v.far(h[rare])]
+                far = np.flatnonzero(v.asks(h, at, hit))
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc[far], minlength=n))]).astype(np.int32)
                 lists += [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (h[far], previous[far].astype(np.int16))]
                 row += n
@@ -353,9 +360,14 @@ def train_model(work: Workspace, train: DataFrame, counts: DataFrame, total: int
     spark = work.spark
     top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()  # FREQUENT rows
     v = Vocabulary(top.column("h").to_numpy(), top.column("n").to_numpy())
-    lowest = (top.column("n")[-1].as_py(), top.column("h")[-1].as_py()) if len(top) else (0, 0)
-    near = (F.col("n") > lowest[0]) | (F.col("n") == lowest[0]) & (F.col("h") <= lowest[1])
-    maps = counts.where((F.col("n") >= LEAST) & ~near).select("h").coalesce(8).mapInArrow(_bitmap, "bits binary").collect()  # 8 rows at most
+
+    def among(most: int):
+        """Whether a word is among the `most` most frequent."""
+        n, h = (top.column(c)[min(most, len(top)) - 1].as_py() for c in ("n", "h")) if len(top) else (0, 0)
+        return (F.col("n") > n) | (F.col("n") == n) & (F.col("h") <= h)
+
+    near = among(NEAR)
+    maps = counts.where((F.col("n") >= LEAST) & ~among(FREQUENT)).select("h").coalesce(8).mapInArrow(_bitmap, "bits binary").collect()  # 8 rows at most
     if maps:
         v.bits = np.bitwise_or.reduce([np.frombuffer(r.bits, np.uint8) for r in maps])
 
@@ -377,16 +389,16 @@ def train_model(work: Workspace, train: DataFrame, counts: DataFrame, total: int
         mass[classes[h]] -= n + 0.1
 
     able = counts.where(F.col("n") >= LEAST)
-    salts = able.count() // SUFFIXES // BLOCK + 1
-    rows = counted.where("h is not null").groupBy("h", "previous").agg(F.sum("n").alias("m")).join(able, "h")
-    rows = rows.select("h", "n", "suffix", "previous", "m", F.pmod("h", F.lit(salts)).cast("int").alias("salt"))
+    salts = able.groupBy("suffix").agg((F.count("*") / BLOCK + 1).cast("int").alias("salts"))  # a row a suffix class
+    words = able.join(F.broadcast(salts), "suffix").select("h", "n", "suffix", F.pmod("h", "salts").cast("int").alias("salt"))
+    rows = counted.where("h is not null").groupBy("h", "previous").agg(F.sum("n").alias("m")).join(words, "h").select("h", "n", "suffix", "previous", "m", "salt")
     solve = _solve_words(spark.sparkContext.broadcast((contexts, pairs.astype(np.float32), mass)))
     solved = work.write(rows.groupBy("suffix", "salt").applyInArrow(groupwise(solve), "h long, n long, suffix short, salt int, vector binary"), "vectors")
     work.drop("pairs")
     normal = np.tile(mass, (CLASSES, 1))
     for r in solved.where("h is null").select("suffix", "salt", "vector").groupBy("suffix").applyInArrow(_total, "suffix short, total binary").collect():  # a row a suffix class
         normal[:, r.suffix] += np.frombuffer(r.total)
-    held = solved.where(F.col("h").isNotNull() & near).select("h", "vector").toArrow()  # FREQUENT rows at most
+    held = solved.where(F.col("h").isNotNull() & near).select("h", "vector").toArrow()  # NEAR rows at most
     if len(held):
         v.add_vectors(held.column("h").to_numpy(), np.frombuffer(b"".join(held.column("vector").to_pylist()), np.float32).reshape(len(held), -1))
     return (v, log_p, np.log10(normal), contexts), solved.where(F.col("h").isNotNull() & ~near).select("h", "vector")
@@ -416,7 +428,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     zero = F.lit(0).cast("long")
     lines = found.select("doc_row", zero.alias("doc_id"), F.lit(False).alias("own"), zero.alias("n_tokens"), F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).cast("long").alias("n_known"), log_count.alias("base"), log_count.alias("score"))
     lines = lines.union(partial.select("doc_row", "doc_id", F.lit(True), "n_tokens", "n_known", "base", "score"))
-    if len(model[0].bits):
+    if len(model[0].bits) or (model[0].may & (model[0].vector_of < 0)).any():
         far = partial.select("doc_row", F.explode(F.arrays_zip("far", "previous")).alias("x")).select("doc_row", F.col("x.far").alias("h"), F.col("x.previous").alias("previous"))
         far = far.join(vectors, "h").select("doc_row", "previous", "vector").mapInArrow(batchwise(_far_words(spark.sparkContext.broadcast(model[3]))), "doc_row long, extra double")
         lines = lines.union(far.select("doc_row", zero, F.lit(False), zero, zero, F.lit(0.0), "extra"))
