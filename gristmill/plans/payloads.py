@@ -5,17 +5,19 @@ from __future__ import annotations
 import datetime as dt
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..sources import payloads
 from .listings import table
 
 COLUMNS = ("vendor_id", "vendor_sku", "title_raw", "url", "price_ils", "in_stock", "category_guess")
-K = F.col("p_partkey").cast("string")
+#: Stands for the part's key in the texts below.
+K = object()
 
 
-def _text(*parts) -> F.Column:
-    return F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+def _text(*parts) -> Column:
+    key = F.col("p_partkey").cast("string")
+    return F.concat(*(F.lit(x) if isinstance(x, str) else key if x is K else x for x in parts))
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
