@@ -46,6 +46,13 @@ def test_clean(spark):
     assert values(spark, given, text.clean) == ["", "a b", "CoreTM i3 & x", "AMD", "2 x", "ABC1", "a b c d#+/.&()-"]
 
 
+def test_entities_without_a_semicolon(spark):
+    """As html.unescape has it, in texts and in parsed titles."""
+    assert values(spark, ["a &amp</title>", "x&ampy &copy z"], text.clean) == ["a & /title", "x&y z"]
+    page = '<html lang="en"><title>a &amp;&amp</title><a href="/x">'
+    assert values(spark, [page], lambda c: payloads.select_nodes(c, {"title": "title"}, "html")) == [[{"title": "a &&"}]]
+
+
 def test_sku_and_quote(spark):
     assert values(spark, ["a%20b-1", "%D7%90x", "50%", None, "a+b"], text.normalize_sku) == ["AB1", "X", "50", "", "AB"]
     assert values(spark, ["a b/c~d*e", "א"], text.quote) == ["a%20b/c~d%2Ae", "%D7%90"]
