@@ -211,7 +211,8 @@ def test_score_bound_is_never_below(spark):
 def test_fuzzy_score_query_matches_all_pairs(spark):
     from gristmill.plans.catalog import matched, q_fuzzy_score
 
-    rows = fuzzy.with_critical(matched(spark, SF)).collect()
+    listings = matched(spark, SF)
+    rows = fuzzy.with_critical(listings).collect()
     sizes = {}
     for r in rows:
         sizes[r.product_id] = sizes.get(r.product_id, 0) + 1
@@ -223,7 +224,49 @@ def test_fuzzy_score_query_matches_all_pairs(spark):
             continue
         if (score := fuzzy.token_set_ratio(a.match_text, b.match_text)) >= 88:
             want.add((a.listing_key, b.listing_key, int(score)))
-    assert {(r.listing_key_a, r.listing_key_b, r.score) for r in q_fuzzy_score(spark, SF).collect()} == want and want
+    assert {(r.listing_key_a, r.listing_key_b, r.score) for r in fuzzy.score_pairs(fuzzy.candidate_pairs(listings)).collect()} == want and want
+    got = q_fuzzy_score(spark, SF).collect()
+    assert {r.listing_key for r in got} == {r.listing_key for r in rows if r.brand and r.category not in ("other", "")}
+    assert {(r.listing_key, r.links, r.component_id) for r in got} == linked([r.listing_key for r in got], [(a, b) for a, b, _ in want])
+
+
+def linked(keys, pairs):
+    """(key, links, smallest key reached) by a plain loop."""
+    near = {k: set() for k in keys}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    first = {}
+    for k in sorted(keys):
+        todo = [k]
+        while todo:
+            if (x := todo.pop()) not in first:
+                first[x] = k
+                todo += near[x]
+    return {(k, len(near[k]), first[k]) for k in keys}
+
+
+@pytest.mark.parametrize("part", [2, 1024])
+def test_counted_links_equal_listed_pairs(spark, part):
+    """Copies, products of several, unknown and clashing values, shared and clashing revisions, equal and empty words, over many parts and one."""
+    texts = ["gear rtx 4070 v1", "gear rtx 4070 v1 v2", "gear rtx 4070 v2", "gear rtx 4070 v3 8gb", "gear rtx 4070 16gb", "kitten sitting on mats", "kitten sitting on matt", "abcdefgh", "abcdefgi", "abcdefgh abcdefgh", "gear 850w pack of 2", "gear 750w 2 pack", " "]
+    rows = [(f"p{k % 11 if k % 4 == 0 else k + 100}", "tms", f"tms:{k:03}", ("gpu", "cpu", "other")[k % 7 // 3], "MSI" if k % 13 else None, "t", texts[k * k % len(texts) if k % 2 else k % len(texts)], (None, "A1", "B2")[k % 5 % 3]) for k in range(120)]
+    listings = spark.createDataFrame(rows, "product_id string, vendor string, listing_key string, category string, brand string, title_raw string, match_text string, mpn string")
+    pairs = fuzzy.candidate_pairs(listings)
+    keys = [r[2] for r in rows if r[3] != "other" and r[4]]
+    near = [(r.listing_key_a, r.listing_key_b) for r in fuzzy.score_pairs(pairs).collect()]
+    every = [(r.listing_key_a, r.listing_key_b) for r in pairs.collect()]
+    assert 0 < len(near) < len(every)
+    assert {(r.listing_key, r.links, r.component_id) for r in fuzzy.link_counts(listings, fuzzy.THRESHOLD, part).collect()} == linked(keys, near)
+    assert {(r.listing_key, r.links) for r in fuzzy.link_counts(listings, part=part).collect()} == {x[:2] for x in linked(keys, every)}
+
+
+def test_links_are_counted_without_listing_pairs(spark):
+    """2,000,000,000 pairs of two texts; joined, they would not end."""
+    rows = spark.range(0, 64_000, 1, 4).selectExpr("cast(id as string) as product_id", "'tms' as vendor", "concat('tms:', id) as listing_key", "'gpu' as category", "'MSI' as brand", "if(id % 2 = 0, 'msi rtx 4070', 'msi rtx 4070 ti') as match_text", "cast(null as string) as mpn")
+    for threshold in (None, fuzzy.THRESHOLD):
+        got = fuzzy.link_counts(rows, threshold).agg(F.min("links"), F.max("links"), F.count("*"), F.countDistinct("class_id"), F.max("class_id")).collect()
+        assert [tuple(r) for r in got] == [(63_999, 63_999, 64_000, 1, "tms:0") if threshold is None else (63_999, 63_999, 64_000, 2, "tms:1")]
 
 
 def test_blocked_pairs(spark):
