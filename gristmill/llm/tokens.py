@@ -22,7 +22,8 @@ NOT_LATIN = re.compile("[^\x00-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]")
 #: White space, and what some regular expressions count as such, beyond ASCII.
 WIDE = re.compile("[\x1C-\x1F\x85\xA0\u1680\u180E\u2000-\u200B\u2028\u2029\u202F\u205F\u3000\uFEFF]")
 CONTROL = re.compile(rb"[\x1C-\x1F]")
-#: Distinct pieces that a Python worker remembers, also from one task to the next; then it starts anew.
+#: Distinct pieces that a Python worker remembers, also from one task to the next: the newer half and, until it
+#: is full, the half before; a piece of that which comes again is moved, so frequent ones stay.
 REMEMBERED = 1_000_000
 #: A character that stands alone between pieces; texts that hold it are encoded whole.
 LONE = "\x01"
@@ -39,7 +40,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.before = Tokenizer.from_file(path), {}, {}
         self.drops_white = self.tokenizer.encode(" a\n", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
         special = {k: t.content for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.part, self.mark = max(special.items())
@@ -59,7 +60,8 @@ class Encoder:
 
     def _learn(self, pieces: list[bytes]) -> None:
         groups = [pieces[k : k + TOGETHER] for k in range(0, len(pieces), TOGETHER)]
-        joined = [self.mark.join([p.decode("utf-8", "replace") for p in g]) for g in groups]
+        mark = self.mark.encode()
+        joined = [mark.join(g).decode("utf-8", "replace") for g in groups]
         for some, got in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(got.ids, "<u4")
             ends = [*(4 * np.flatnonzero(ids == self.part)).tolist(), 4 * len(ids)]
@@ -84,13 +86,21 @@ class Encoder:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         cut = [self._pieces(raw) for raw in texts]
-        found = [list(map(self.known.get, pieces or ())) for pieces in cut]
-        lacking = [k for k, ids in enumerate(found) if None in ids]
-        new = {p for k in lacking for p, i in zip(cut[k], found[k], strict=True) if i is None}
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()  # what is found stays so
-        self._learn(list(new))
-        known = self.known
-        for k in lacking:
-            found[k] = [known[p] if i is None else i for p, i in zip(cut[k], found[k], strict=True)]
+        known, before = self.known, self.before
+        found = [list(map(known.get, pieces or ())) for pieces in cut]
+        gaps = [[k for k, i in enumerate(ids) if i is None] if None in ids else () for ids in found]
+        new = {pieces[k] for pieces, places in zip(cut, gaps, strict=True) for k in places}
+        if len(known) + len(new) > REMEMBERED // 2:  # what is found stays so
+            before, known = known, {}
+            self.known, self.before = known, before
+        lacking = []
+        for p in new:
+            if (ids := before.get(p)) is None:
+                lacking.append(p)
+            else:
+                known[p] = ids
+        self._learn(lacking)
+        for pieces, ids, places in zip(cut, found, gaps, strict=True):
+            for k in places:
+                ids[k] = known[pieces[k]]
         return [self._whole(raw.decode("utf-8", "replace")) if pieces is None else b"".join(ids) for raw, pieces, ids in zip(texts, cut, found, strict=True)]

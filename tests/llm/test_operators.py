@@ -413,6 +413,19 @@ def test_encoder_equals_the_library(name, rows):
     assert tokens.Encoder(path)([t.encode() for t in texts]) == want
 
 
+def test_frequent_pieces_are_learnt_once(monkeypatch):
+    """However many rare pieces come between, and with the same ids."""
+    path, learnt = queries.tokenizer_file("byte_bpe_50k.json"), []
+    texts = [f" often again w{'abcdefghij'[k % 10]}x{'abcdefghij'[k // 10]}".encode() for k in range(100)]
+    want = tokens.Encoder(path)(texts)
+    monkeypatch.setattr(tokens, "REMEMBERED", 20)
+    encode = tokens.Encoder(path)
+    learn = encode._learn
+    encode._learn = lambda pieces: (learnt.extend(pieces), learn(pieces))
+    assert [encode([t])[0] for t in texts] == want
+    assert learnt.count(b" often") == 1 and len(encode.known) + len(encode.before) <= 20
+
+
 @pytest.mark.parametrize("bits", [1, 3, 7, 8, 13, 16, 17, 31, 32])
 def test_packed_round_trip(bits, tmp_path):
     rng = np.random.default_rng(bits)
