@@ -7,6 +7,7 @@ occurs inside a multi-byte character, so splitting bytes and splitting character
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,10 +170,18 @@ def release() -> None:
         pass
 
 
-def batchwise(run):
-    """A function of record batches that releases memory at its task's end."""
+def forget_encoders() -> None:
+    """Drop the pieces that tokens.py remembers in this worker, some hundred bytes each."""
+    if tokens := sys.modules.get(f"{__package__}.tokens"):
+        tokens.forget()
+
+
+def batchwise(run, encoders: bool = False):
+    """A function of record batches that releases memory at its task's end, and encoders before it starts unless it leaves them."""
 
     def wrapped(batches):
+        if not encoders:
+            forget_encoders()
         try:
             yield from run(batches)
         finally:
@@ -185,6 +194,7 @@ def groupwise(run):
     """A function of one group's table that releases memory at its end."""
 
     def wrapped(table):
+        forget_encoders()
         try:
             return run(table)
         finally:

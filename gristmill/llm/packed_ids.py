@@ -188,7 +188,7 @@ def write_packed_ids(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: i
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")  # the range's sample holds no texts
     task = _write(folder or f"{work.path}/shards", tokenizer, end_id, bits)
-    manifest = work.write(rows.mapInArrow(batchwise(task), "part int, path string, n_docs long, n_ids long"), "manifest")
+    manifest = work.write(rows.mapInArrow(batchwise(task, encoders=True), "part int, path string, n_docs long, n_ids long"), "manifest")
     shards, base = [], 0
     for r in sorted(manifest.collect()):  # a row a shard
         shards.append((r.path, base))
@@ -199,4 +199,4 @@ def write_packed_ids(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: i
 def read_packed_ids(spark, shards: list[tuple[str, int]]) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files."""
     at = spark.range(0, max(1, len(shards)), 1, max(1, len(shards))).where(F.col("id") < len(shards))
-    return at.mapInArrow(batchwise(_read(shards)), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return at.mapInArrow(batchwise(_read(shards), encoders=True), "doc_id long, start long, n_tokens long, ids_crc32 long")

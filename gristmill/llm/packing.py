@@ -69,10 +69,10 @@ def pack_sequences(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. tokenizer: a tokenizers JSON file."""
     work, small = Workspace(docs.sparkSession, "pack"), vocabulary <= 1 << 16
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    encoded = work.write(rows.mapInArrow(batchwise(_encode(tokenizer, end_id, small)), "part int, local_start long, doc_id long, n long, ids binary"), "ids")
+    encoded = work.write(rows.mapInArrow(batchwise(_encode(tokenizer, end_id, small), encoders=True), "part int, local_start long, doc_id long, n long, ids binary"), "ids")
     base, total = {}, 0
     for r in sorted(encoded.groupBy("part").agg(F.sum("n").alias("n")).collect()):  # a row a partition
         base[r.part] = total
         total += r.n
     pieces = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return encoded.select("part", "local_start", "doc_id", "n", "ids").mapInArrow(batchwise(_cut(base, window, small)), pieces)
+    return encoded.select("part", "local_start", "doc_id", "n", "ids").mapInArrow(batchwise(_cut(base, window, small), encoders=True), pieces)

@@ -33,6 +33,11 @@ TOGETHER = 200
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def forget() -> None:
+    """Drop this worker's encoders: what runs next does not encode."""
+    _ENCODERS.clear()
+
+
 class Encoder:
     """Ids of texts as little-endian uint32 bytes."""
 

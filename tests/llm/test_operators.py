@@ -413,6 +413,16 @@ def test_encoder_equals_the_library(name, rows):
     assert tokens.Encoder(path)([t.encode() for t in texts]) == want
 
 
+def test_tasks_that_do_not_encode_free_the_encoders():
+    from gristmill.llm import blocks
+
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    for wrap, stays in ((blocks.batchwise(iter), False), (blocks.batchwise(iter, encoders=True), True), (lambda x: [blocks.groupwise(list)(x)], False)):
+        first = tokens.Encoder.of(path)
+        list(wrap([1]))
+        assert (tokens.Encoder.of(path) is first) == stays
+
+
 def test_frequent_pieces_are_learnt_once(monkeypatch):
     """However many rare pieces come between, and with the same ids."""
     path, learnt = queries.tokenizer_file("byte_bpe_50k.json"), []
