@@ -40,6 +40,8 @@ CLASSES, SUFFIXES, FREQUENT, NEAR = 1024, 224, 1 << 16, 1 << 14
 DIMENSION, NOISE, STEPS, RATE = 48, 20, 250, 0.05
 #: Occurrences from which a word has a vector, words solved at once, their steps, and the weight of their prior.
 LEAST, BLOCK, SOLVES, PRIOR = 32, 1024, 12, 4.0
+#: Words of a block whose matrices are in cache together.
+TILE = 128
 #: Bits of the bitmap of words with vectors.
 BITMAP = 1 << 24
 END_TOKEN = int(mix(np.array([0x454E44], np.uint64)).astype(np.int64)[0])
@@ -148,24 +150,50 @@ class Vocabulary:
         return np.where(hit & (own >= 0), own, suffix)
 
 
-def _count_pairs(vocabulary):
-    """Counts of each task: class after class (word null), and word after class of the words that may have a vector; a document begins after an end."""
-    schema = pa.schema([("h", pa.int64()), ("previous", pa.int16()), ("next", pa.int16()), ("n", pa.int64())])
+def _blobs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Consecutive runs of the values as bytes, a row each."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
-    def rows(held):
-        h, c, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        by = np.lexsort((c, h))
-        h, c, n = h[by], c[by], n[by]
-        new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
-        return h[new], c[new], np.add.reduceat(n, new)
 
-    def emit(h, c, n):
-        for k in range(0, len(h), 100_000):
-            part = h[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(c[k : k + 100_000]), pa.nulls(len(part), pa.int16()), pa.array(n[k : k + 100_000])], schema=schema)
+def _group_pairs(at, h, previous, suffix):
+    """Of tokens that may have a vector: each distinct word's number, suffix class and run of pairs, and each pair's class before and count.
+
+    at: the tokens' places in the vocabulary, or -1; h: the hashes of those without a place, numbered after the others.
+    """
+    far, inside = np.unique(h, return_inverse=True)
+    most = int(at.max(initial=-1)) + 1
+    word = at.astype(np.int64)
+    word[at < 0] = most + inside
+    group = np.zeros(most + len(far), np.int64)
+    group[word] = suffix
+    key, m = np.unique(word * CLASSES + previous, return_counts=True)
+    first = np.flatnonzero(np.diff(key // CLASSES, prepend=-1))
+    runs, word = np.diff(np.append(first, len(key))), key[first] // CLASSES
+    return most, far, word, group[word], first, runs, (key % CLASSES).astype(np.int16), m.astype(np.int32)
+
+
+def _count_pairs(state):
+    """Counts of each task: class after class (n), and a row a block of words of a class: the block's words that may have a vector, with the classes before them; a document begins after an end."""
+    blob = pa.binary()
+    schema = pa.schema([("previous", pa.int16()), ("next", pa.int16()), ("n", pa.int64()), ("suffix", pa.int16()), ("salt", pa.int32()), ("words", blob), ("runs", blob), ("before", blob), ("times", blob)])
+
+    def emit(v, salts, held):
+        at, previous, suffix = (np.concatenate(x) for x in list(zip(*held, strict=True))[:3])
+        most, far, word, suffix, first, runs, before, times = _group_pairs(at, np.concatenate([x[3] for x in held]), previous, suffix)
+        h = np.where(word < most, v.h[np.minimum(word, len(v.h) - 1)] if len(v.h) else 0, far[np.maximum(word - most, 0)] if len(far) else 0)
+        salt = h % salts[suffix]
+        by = np.lexsort((h, salt, suffix))
+        suffix, salt, runs = suffix[by], salt[by], runs[by]
+        ends = np.append(0, np.cumsum(runs))
+        pairs = np.repeat(first[by] - ends[:-1], runs) + np.arange(ends[-1])
+        edge = np.append(np.flatnonzero((np.diff(suffix, prepend=-1) != 0) | (np.diff(salt, prepend=-1) != 0)), len(by))
+        columns = [pa.array(suffix[edge[:-1]].astype(np.int16)), pa.array(salt[edge[:-1]].astype(np.int32)), _blobs(h[by], edge), _blobs(runs.astype(np.int32), edge), _blobs(before[pairs], ends[edge]), _blobs(times[pairs], ends[edge])]
+        none = [pa.nulls(len(edge) - 1, t) for t in (pa.int16(), pa.int16(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*none, *columns], schema=schema)
 
     def run(batches):
-        v, table, held, size = vocabulary.value, np.zeros(CLASSES * CLASSES, np.int64), [], 0
+        v, salts = state.value
+        table, held, size = np.zeros(CLASSES * CLASSES, np.int64), [], 0
         for batch in batches:
             for first, last, buf, offs in text_slices(batch.column(0)):
                 words, suffix, doc = words_of(buf, offs)
@@ -176,21 +204,17 @@ def _count_pairs(vocabulary):
                 previous = np.concatenate([[END], c[:-1]])
                 table += np.bincount(previous.astype(np.int64) * CLASSES + c, minlength=len(table))
                 able = np.flatnonzero(v.able(h, at, hit))
-                if len(able):
-                    held.append(rows([(h[able], previous[able].astype(np.int16), np.ones(len(able), np.int64))]))
-                    size += len(held[-1][0])
-            if size > HELD:
-                held = [rows(held)]
-                size = len(held[0][0])
-                if size > HELD // 2:
-                    yield from emit(*held[0])
+                held.append((np.where(hit[able], at[able], -1).astype(np.int32), previous[able].astype(np.int16), suffix[able], h[able][~hit[able]]))
+                size += len(able)
+                if size > HELD:
+                    yield from emit(v, salts, held)
                     held, size = [], 0
-        if held:
-            yield from emit(*rows(held))
+        if size:
+            yield from emit(v, salts, held)
         some = np.flatnonzero(table)
         for k in range(0, len(some), 100_000):
             part = some[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array((part // CLASSES).astype(np.int16)), pa.array((part % CLASSES).astype(np.int16)), pa.array(table[part])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array((part // CLASSES).astype(np.int16)), pa.array((part % CLASSES).astype(np.int16)), pa.array(table[part]), *(pa.nulls(len(part), f.type) for f in list(schema)[3:])], schema=schema)
 
     return run
 
@@ -205,22 +229,25 @@ def _bitmap(batches):
 
 
 def _solve_words(state):
-    """One block of words of a class, with rows h, n, suffix, previous, m: each word's vector, and in a row without word the sums over them by previous class."""
+    """One block of words of a class, from the tasks' rows words, runs, before, times: each word's vector, and in a row without word the sums over them by previous class."""
     schema = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("suffix", pa.int16()), ("salt", pa.int32()), ("vector", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
         contexts, pairs, mass = state.value
         suffix, salt = table.column("suffix")[0].as_py(), table.column("salt")[0].as_py()
-        h, first, at = np.unique(table.column("h").to_numpy(), return_index=True, return_inverse=True)
-        n = table.column("n").to_numpy()[first]
-        previous, m = table.column("previous").to_numpy(), table.column("m").to_numpy()
-        by = np.argsort(at, kind="stable")
-        edge = np.searchsorted(at[by], np.arange(0, len(h) + BLOCK, BLOCK))
+        h, runs, before, times = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("words", np.int64), ("runs", np.int32), ("before", np.int16), ("times", np.int32)))
+        h, at = np.unique(h, return_inverse=True)
+        at = np.repeat(at, runs)
+        n = np.bincount(at, times, len(h)).astype(np.int64)  # each occurrence has a class before it
+        kept = n >= LEAST  # the bitmap lets others through
+        mine = kept[at]
+        at, before, times = (np.cumsum(kept) - 1)[at[mine]], before[mine], times[mine]
+        h, n = h[kept], n[kept]
         vectors, sums = np.empty((len(h), contexts.shape[1]), np.float32), np.zeros(CLASSES)
         for k in range(0, len(h), BLOCK):
-            own, mine = slice(k, k + BLOCK), by[edge[k // BLOCK] : edge[k // BLOCK + 1]]
-            data = np.zeros((len(h[own]), CLASSES), np.float32)
-            data[at[mine] - k, previous[mine]] = m[mine]
+            own, mine = slice(k, k + BLOCK), (at >= k) & (at < k + BLOCK)
+            size = len(h[own])
+            data = np.bincount((at[mine] - k) * CLASSES + before[mine], times[mine], size * CLASSES).astype(np.float32).reshape(size, CLASSES)
             vectors[own] = train_words(data, (n[own] + 0.1) / mass[suffix], pairs[:, suffix], contexts)
             sums += (n[own] + 0.1) @ np.expm1(vectors[own].astype(np.float64) @ contexts.T.astype(np.float64))
         made = [x.tobytes() for x in vectors] + [sums.tobytes()]
@@ -297,17 +324,30 @@ def train_words(data: np.ndarray, share: np.ndarray, after: np.ndarray, contexts
     """
     spread = (contexts * after[:, None]).T @ contexts / max(after.sum(), 1)
     basis = np.linalg.eigh(spread.astype(np.float64))[1].astype(np.float32)
-    x, q = contexts @ basis, np.zeros((len(data), contexts.shape[1]), np.float32)
-    drawn, squares = (noise * share[:, None] * after[None]).astype(np.float32), x * x
-    scores = np.zeros_like(data)
-    for _ in range(steps):
-        sure = 1 / (1 + np.exp(np.log(noise) - scores))  # that a cell is data
-        curve = ((data + drawn) * sure * (1 - sure)) @ squares + prior
-        step = ((data * (1 - sure) - drawn * sure) @ x - prior * q) / curve
-        change = step @ x.T
-        scale = 0.7 / np.maximum(np.abs(change).max(1, keepdims=True), 1)  # no score moves by more than that
-        q, scores = q + scale * step, scores + scale * change
-    return q @ basis.T
+    x, out = contexts @ basis, np.empty((len(data), contexts.shape[1]), np.float32)
+    squares, across = x * x, np.ascontiguousarray(x.T)
+    for first in range(0, len(data), TILE):
+        own = data[first : first + TILE]
+        seen, q = own @ x, np.zeros((len(own), x.shape[1]), np.float32)
+        both = own + (noise * share[first : first + TILE, None] * after[None]).astype(np.float32)  # with the expected noise draws
+        below = np.full_like(own, np.log(noise))  # minus the score
+        odds, pull = np.empty_like(own), np.empty_like(own)
+        for _ in range(steps):
+            with np.errstate(over="ignore"):
+                np.exp(below, out=odds)
+            odds += 1
+            np.divide(both, odds, out=pull)  # 1 / odds: that a cell is data
+            slope = seen - pull @ x - prior * q
+            np.divide(pull, odds, out=odds)
+            pull -= odds
+            step = slope / (pull @ squares + prior)
+            change = step @ across
+            scale = 0.7 / np.maximum(np.maximum(change.max(1, keepdims=True), -change.min(1, keepdims=True)), 1)  # no score moves by more than that
+            q += scale * step
+            change *= scale
+            below -= change
+        out[first : first + TILE] = q
+    return out @ basis.T
 
 
 def _score(state):
@@ -371,10 +411,15 @@ def train_model(work: Workspace, train: DataFrame, counts: DataFrame, total: int
     if maps:
         v.bits = np.bitwise_or.reduce([np.frombuffer(r.bits, np.uint8) for r in maps])
 
+    # A class's words are dealt over blocks by their hash.
+    salts = np.ones(CLASSES, np.int64)
+    for r in counts.where(F.col("n") >= LEAST).groupBy("suffix").agg(F.count("*").alias("words")).collect():  # a row a suffix class
+        salts[r.suffix] = r.words // BLOCK + 1
+
     pairs = np.zeros((CLASSES, CLASSES), np.int64)
-    fields = "h long, previous short, next short, n long"
-    counted = work.write(train.mapInArrow(batchwise(_count_pairs(spark.sparkContext.broadcast(v))), fields), "pairs")
-    table = counted.where("h is null").groupBy("previous", "next").agg(F.sum("n").alias("n")).toArrow()  # CLASSES ** 2 rows at most
+    fields = "previous short, next short, n long, suffix short, salt int, words binary, runs binary, before binary, times binary"
+    counted = work.write(train.mapInArrow(batchwise(_count_pairs(spark.sparkContext.broadcast((v, salts)))), fields), "pairs")
+    table = counted.where("suffix is null").groupBy("previous", "next").agg(F.sum("n").alias("n")).toArrow()  # CLASSES ** 2 rows at most
     pairs[table.column("previous").to_numpy(), table.column("next").to_numpy()] = table.column("n").to_numpy()
     log_p, contexts = train_log_bilinear(pairs)
     contexts = np.append(contexts, np.ones((CLASSES, 1)), 1).astype(np.float32)
@@ -388,10 +433,7 @@ def train_model(work: Workspace, train: DataFrame, counts: DataFrame, total: int
     for h, n in zip(v.h[owned].tolist(), v.n[owned].tolist(), strict=True):
         mass[classes[h]] -= n + 0.1
 
-    able = counts.where(F.col("n") >= LEAST)
-    salts = able.groupBy("suffix").agg((F.count("*") / BLOCK + 1).cast("int").alias("salts"))  # a row a suffix class
-    words = able.join(F.broadcast(salts), "suffix").select("h", "n", "suffix", F.pmod("h", "salts").cast("int").alias("salt"))
-    rows = counted.where("h is not null").groupBy("h", "previous").agg(F.sum("n").alias("m")).join(words, "h").select("h", "n", "suffix", "previous", "m", "salt")
+    rows = counted.where("suffix is not null").select("suffix", "salt", "words", "runs", "before", "times")
     solve = _solve_words(spark.sparkContext.broadcast((contexts, pairs.astype(np.float32), mass)))
     solved = work.write(rows.groupBy("suffix", "salt").applyInArrow(groupwise(solve), "h long, n long, suffix short, salt int, vector binary"), "vectors")
     work.drop("pairs")

@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import brute
 import numpy as np
@@ -613,6 +614,36 @@ def test_lm_scores_equal_plain(spark, monkeypatch, frequent, near, least):
         assert math.isclose(score, got[doc_id], rel_tol=1e-4, abs_tol=1e-4), doc_id
 
 
+def test_lm_pairs_travel_in_blocks(monkeypatch):
+    """A task gives a row a block of words however many pairs there are, and they are those of a plain count, over several flushes too."""
+    monkeypatch.setattr(neural_lm, "LEAST", 2)
+    monkeypatch.setattr(neural_lm, "HELD", 3000)
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.choice('abc')}{rng.randrange(900)}" for _ in range(400)) for _ in range(20)]
+    hashes, suffixes, doc = neural_lm.words_of(np.frombuffer("".join(texts).encode(), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])))
+    known, n = np.unique(hashes, return_counts=True)
+    v = neural_lm.Vocabulary(np.append(known[:1900], neural_lm.END_TOKEN), np.append(n[:1900], 20))
+    v.bits = np.full(neural_lm.BITMAP // 8, 255, np.uint8)
+    salts, got, rows = np.full(neural_lm.CLASSES, 2), Counter(), 0
+    for batch in neural_lm._count_pairs(SimpleNamespace(value=(v, salts)))([pa.RecordBatch.from_arrays([pa.array([t])], names=["text"]) for t in texts]):
+        for r in batch.to_pylist():
+            if r["suffix"] is not None:
+                rows += 1
+                h, runs, before, times = (np.frombuffer(r[c], t) for c, t in (("words", np.int64), ("runs", np.int32), ("before", np.int16), ("times", np.int32)))
+                assert (h % 2 == r["salt"]).all()
+                for word, c, m in zip(np.repeat(h, runs).tolist(), before.tolist(), times.tolist(), strict=True):
+                    got[r["suffix"], word, c] += m
+    want, at = Counter(), dict(zip(v.h.tolist(), zip(v.own.tolist(), v.n.tolist(), strict=True), strict=True))
+    for k, (h, suffix) in enumerate(zip(hashes.tolist(), suffixes.tolist(), strict=True)):
+        if k == 0 or doc[k] != doc[k - 1]:
+            previous = neural_lm.END
+        own, count = at.get(h, (-1, neural_lm.LEAST))
+        if own < 0 and count >= neural_lm.LEAST:
+            want[suffix, h, previous] += 1
+        previous = own if own >= 0 else suffix
+    assert got == want and rows < sum(want.values()) / 2
+
+
 def test_lm_odd(odd, empty):
     assert neural_lm.score_documents(empty).count() == 0
     got = neural_lm.score_documents(odd).collect()
