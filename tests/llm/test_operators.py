@@ -424,6 +424,29 @@ def test_tasks_that_do_not_encode_free_the_encoders():
         assert (tokens.Encoder.of(path) is first) == stays
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_cuts_equal_the_library(name):
+    """Texts of all neighbours of white space, punctuation, stops, letters and control characters, regular and not."""
+    path, rng = queries.tokenizer_file(name), random.Random(8)
+    parts = ["a", "B", "7", " ", " ", "\n", "\t", "\r", "\x0b", ",", ".", ".", "!", "$", "'s", "(", "é", "À", "ÿ", "œ", "İ", "Ⱥ", "\x02", "\x1c", "\u00a0", "中", "e\u0301", "word", "other"]
+    texts = ["", " ", "\n", ",", ".", " ,", "\t", *("".join(rng.choice(parts) for _ in range(rng.choice([2, 3, 5, 9]))) for _ in range(4000))]
+    texts += [" ".join(rng.choice(["plain", "words", "ÀÉ", "of,", "a.", "3.14", "x,y", "\nline", "long"]) + "x" * rng.randrange(3) for _ in range(rng.choice([1, 30, 200]))) for _ in range(100)]
+    plain = pytest.importorskip("tokenizers").Tokenizer.from_file(path)
+    want = [np.array(x.ids, "<u4").tobytes() for x in plain.encode_batch(texts, add_special_tokens=False)]
+    got = tokens.Encoder(path)([t.encode() for t in texts])
+    assert [t for t, g, w in zip(texts, got, want, strict=True) if g != w] == []
+
+
+@pytest.mark.parametrize(("name", "most"), [("byte_bpe_50k.json", 3), ("word_bpe_49k.json", 0)])
+def test_words_are_learnt_without_marks(name, most, monkeypatch):
+    """Marks cost more than a word; only pieces whose ends tokens' lengths may not show get them."""
+    encode, marked = tokens.Encoder(queries.tokenizer_file(name)), []
+    learn = encode._learn_marked
+    monkeypatch.setattr(encode, "_learn_marked", lambda pieces: (marked.extend(pieces), learn(pieces)))
+    encode([f"First words, schön größer w{k} of À.\nMore follow".encode() for k in range(300)])
+    assert len(marked) <= most and len(encode.known) > 300
+
+
 def test_frequent_pieces_are_learnt_once(monkeypatch):
     """However many rare pieces come between, and with the same ids."""
     path, learnt = queries.tokenizer_file("byte_bpe_50k.json"), []
