@@ -42,6 +42,8 @@ DIMENSION, NOISE, STEPS, RATE = 48, 20, 250, 0.05
 LEAST, BLOCK, SOLVES, PRIOR = 32, 1024, 12, 4.0
 #: Words of a block whose matrices are in cache together.
 TILE = 128
+#: Bits of a hash by which the vocabulary is looked up.
+PREFIX = 18
 #: Bits of the bitmap of words with vectors.
 BITMAP = 1 << 24
 END_TOKEN = int(mix(np.array([0x454E44], np.uint64)).astype(np.int64)[0])
@@ -117,6 +119,7 @@ class Vocabulary:
         self.may = (self.own < 0) & (self.n >= LEAST)
         self.bits = np.zeros(0, np.uint8)  # of the other words that may have a vector
         self.vectors, self.vector_of = np.zeros((0, DIMENSION + 1), np.float32), np.full(len(h), -1)
+        self.first = None  # the place of the first hash with each prefix; a worker makes its own
 
     def add_vectors(self, h: np.ndarray, vectors: np.ndarray) -> None:
         self.vectors, at = vectors, np.searchsorted(self.h, h)
@@ -140,7 +143,14 @@ class Vocabulary:
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.h):
             return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        if self.first is None:
+            self.first = np.searchsorted(self.h, np.arange(-(1 << PREFIX - 1), 1 << PREFIX - 1) << 64 - PREFIX)
+        last = len(self.h) - 1
+        at = np.minimum(self.first[(h >> 64 - PREFIX) + (1 << PREFIX - 1)], last)
+        behind = np.flatnonzero((self.h[at] < h) & (at < last))
+        while len(behind):
+            at[behind] += 1
+            behind = behind[(self.h[at[behind]] < h[behind]) & (at[behind] < last)]
         return at, self.h[at] == h
 
     def classes(self, at: np.ndarray, hit: np.ndarray, suffix: np.ndarray) -> np.ndarray:

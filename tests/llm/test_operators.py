@@ -637,6 +637,18 @@ def test_lm_scores_equal_plain(spark, monkeypatch, frequent, near, least):
         assert math.isclose(score, got[doc_id], rel_tol=1e-4, abs_tol=1e-4), doc_id
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 1000])
+def test_lm_vocabulary_finds_what_a_search_does(n):
+    """Also with many hashes of one prefix and at the ends of their range."""
+    rng, ends = np.random.default_rng(n), np.array([-(2**63), 2**63 - 1, -1, 0, 1])
+    h = np.unique(np.concatenate([rng.integers(-(2**63), 2**63 - 1, n), rng.integers(5, 5 + n, n), ends[: n // 2]]))[:: 1 if n > 1 else 2]
+    v = neural_lm.Vocabulary(h, np.ones(len(h), np.int64))
+    asked = np.concatenate([h, h - 1, h + 1, ends, rng.integers(-(2**63), 2**63 - 1, 100)])
+    at, hit = v.find(asked)
+    assert (at == np.minimum(np.searchsorted(v.h, asked), len(v.h) - 1)).all() and (hit == np.isin(asked, h)).all()
+    assert v.first is not None
+
+
 def test_lm_pairs_travel_in_blocks(monkeypatch):
     """A task gives a row a block of words however many pairs there are, and they are those of a plain count, over several flushes too."""
     monkeypatch.setattr(neural_lm, "LEAST", 2)
