@@ -9,8 +9,9 @@
    clusters, larger than the components sought but never smaller.
 3. A cluster's classes go into one signature tree (see signature_tree), many clusters a task. A cluster above
    CLUSTER classes is dealt over blocks, each with the cluster's pivots; the blocks' own components become super
-   nodes (OR of bitmaps, size range). These are drawn into lots, each lot meets each other in a task of its own, and
-   only pairs of super nodes that are in different components, and whose bound allows a link, are compared set by set.
+   nodes (OR of bitmaps, size range). One task a cluster joins the super nodes that a pivot links. These are drawn into
+   lots, each lot meets each other in a task of its own, and only pairs of super nodes that are in different components,
+   and whose bound allows a link, are compared set by set.
 
 A group of copies is one class, and reaches each bucket once a batch. No bucket, cluster or task gathers the
 texts or all sets of a hot group, no candidate pair is written out, and no link is lost.
@@ -223,26 +224,55 @@ def _gather(share):
 
 
 # ---------------------------------------------------------------- components of a graph
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node of each node's component, of nodes 0 to n - 1 and edges a, b."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        open_ = x != y
+        if not open_.any():
+            return root
+        a, b = x[open_], y[open_]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != (jump := root[root])).any():
+            root = jump
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node) of the components of a, b, without the least nodes' own rows."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = _roots(at[: len(a)], at[len(a) :], len(nodes))
+    leaf = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[leaf], nodes[root[leaf]]
+
+
 def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
     """(node, root): the least node of each node's component, by alternating large and small stars on written tables."""
-    now, before, k = work.write(edges.select("a", "b").where("a <> b").distinct(), f"{name}-0"), None, 0
+    now, k = work.write(edges.select("a", "b").where("a <> b").distinct(), f"{name}-0"), 0
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        low = work.write(low, f"{name}-low-{k}")  # so that both sides of the joins are exchanges, which AQE can split at a hub
-        large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.union(both.join(low, "a").where("a > m and b = m").select("a", F.col("m").alias("b"))).distinct()
+        # A node that has less than itself beside it is done if that is one node and nothing else stands beside it.
+        near = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+        low = work.write(near.select("a", F.least("a", "m").alias("m"), ((F.col("m") < F.col("a")) & (F.col("c") > 1)).alias("open")), f"{name}-low-{k}")  # so that both sides of the joins are exchanges, which AQE can split at a hub
+        if not low.agg(F.max("open")).first()[0]:
+            work.drop(f"{name}-low-{k}")
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        low = low.drop("open")
+        down = both.join(low, "a").where("b > a or b = m").select(F.greatest("a", "b").alias("a"), F.col("m").alias("b")).distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         k += 1
         now = work.write(small.where("a <> b").distinct(), f"{name}-{k}")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         work.drop(f"{name}-low-{k - 1}")
-        if k > 1:
-            work.drop(f"{name}-{k - 2}")
-        if state == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state
+        work.drop(f"{name}-{k - 1}")
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """The links between one dealt cluster's classes, as stars."""
+    a, b = (np.frombuffer(b"".join(table.column(c).to_pylist()), KEY) for c in ("a", "b"))
+    node, root = (x.tobytes() for x in _stars(a, b))
+    cluster, rows = table.column("cluster")[0].as_py(), range(0, len(node), KEY.itemsize)
+    return pa.Table.from_arrays([pa.array([cluster] * len(rows), pa.int64()), *(pa.array([raw[k : k + KEY.itemsize] for k in rows], pa.binary()) for raw in (node, root))], names=["cluster", "node", "root"])
 
 
 # ---------------------------------------------------------------- trees
@@ -251,14 +281,14 @@ def _tokens(raw: bytes) -> np.ndarray:
 
 
 def _trees(share):
-    """Blocks of classes: (cluster, salt, cls, root, and of a dealt cluster's roots the super node)."""
-    names = ["cluster", "salt", "cls", "root", "map", "least", "most", "over"]
-    schema = pa.schema(list(zip(names, [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()], strict=True)))
+    """Blocks of classes: (cluster, salt, role, cls, root, and of a dealt cluster's roots the super node)."""
+    names = ["cluster", "salt", "role", "cls", "root", "map", "least", "most", "over"]
+    schema = pa.schema(list(zip(names, [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()], strict=True)))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("cluster", "ascending"), ("cls", "ascending")])
         cluster = table.column("cluster").to_numpy()
-        cls, n, raw = (table.column(c).to_pylist() for c in ("cls", "n", "tokens"))
+        cls, n, raw, role = (table.column(c).to_pylist() for c in ("cls", "n", "tokens", "role"))
         dealt, salt, largest = table.column("dealt")[0].as_py(), table.column("salt")[0].as_py(), table.column("largest")[0].as_py()
         edge, out = np.append(np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1]])), len(cluster)), []
         for i, j in zip(edge, edge[1:], strict=False):
@@ -270,7 +300,7 @@ def _trees(share):
                     mine = np.flatnonzero(labels == root)
                     node = (np.bitwise_or.reduce(tree.maps[mine], 0).tobytes(), int(tree.sizes[mine].min()), int(tree.sizes[mine].max()), int(tree.excess[mine].max()))
                 if dealt or root != k - i:
-                    out.append((int(cluster[i]), salt, cls[k], cls[i + root], *node))
+                    out.append((int(cluster[i]), salt, role[k], cls[k], cls[i + root], *node))
         return pa.Table.from_arrays([pa.array([r[c] for r in out], t.type) for c, t in enumerate(schema)], schema=schema)
 
     return run
@@ -300,7 +330,7 @@ def _open_pairs(share):
 
 def _compare(share):
     """Two components of different blocks: an edge if any of their classes link."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    schema = pa.schema([("cluster", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
         side, roots = table.column("side").to_numpy(), table.column("root").to_pylist()
@@ -308,8 +338,8 @@ def _compare(share):
         first = [int(np.flatnonzero(side == k)[0]) for k in (0, 1)]
         tree = SignatureTree([_tokens(x) for x in table.column("tokens").to_pylist()], table.column("n").to_numpy(), labels, share)
         found = len(set(tree.join().tolist())) == 1
-        edges = [(roots[first[0]], roots[first[1]])] if found else []
-        return pa.Table.from_arrays([pa.array([e[k] for e in edges], pa.binary()) for k in (0, 1)], schema=schema)
+        edges = [(table.column("cluster")[0].as_py(), roots[first[0]], roots[first[1]])] if found else []
+        return pa.Table.from_arrays([pa.array([e[k] for e in edges], t.type) for k, t in enumerate(schema)], schema=schema)
 
     return run
 
@@ -349,18 +379,23 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     draw = F.shiftrightunsigned(F.xxhash64("cls", F.lit(1)), 1)
     block = members.join(sizes, "cluster").withColumns({"dealt": dealt, "salts": salts, "draw": draw})
     plain = F.pmod(F.xxhash64("cluster"), F.lit(packs))
-    own = block.withColumns({"block": F.when(F.col("dealt"), F.col("cluster")).otherwise(plain), "salt": F.when(F.col("dealt"), F.pmod("draw", "salts")).otherwise(0).cast("int")})
-    pivot = block.where(F.col("dealt") & (F.col("draw") / F.lit(2.0**63) < F.lit(float(PIVOTS)) / F.col("size")))
-    pivot = pivot.withColumns({"block": F.col("cluster"), "own": F.pmod("draw", "salts").cast("int"), "salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1))}).where("own <> salt").drop("own")
-    columns = ["dealt", "block", "salt", "cluster", "cls", "n", "tokens", "largest"]
+    hot = F.col("dealt") & (F.col("draw") / F.lit(2.0**63) < F.lit(float(PIVOTS)) / F.col("size"))
+    # A pivot's role is 1 in its own block and 2 in the others.
+    own = block.withColumns({"block": F.when(F.col("dealt"), F.col("cluster")).otherwise(plain), "salt": F.when(F.col("dealt"), F.pmod("draw", "salts")).otherwise(0).cast("int"), "role": hot.cast("int")})
+    pivot = block.where(hot).withColumns({"block": F.col("cluster"), "own": F.pmod("draw", "salts").cast("int"), "salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1)), "role": F.lit(2)}).where("own <> salt").drop("own")
+    columns = ["dealt", "block", "salt", "role", "cluster", "cls", "n", "tokens", "largest"]
     grouped = own.select(columns).union(pivot.select(columns)).groupBy("dealt", "block", "salt")
-    local = work.write(grouped.applyInArrow(groupwise(_trees(share)), "cluster long, salt int, cls binary, root binary, map binary, least long, most long, over long"), "local")
+    local = work.write(grouped.applyInArrow(groupwise(_trees(share)), "cluster long, salt int, role int, cls binary, root binary, map binary, least long, most long, over long"), "local")
 
-    links = local.select(F.col("cls").alias("a"), F.col("root").alias("b")).where("a <> b")
+    comp = local.where("role < 2").select(F.col("cls").alias("node"), "root")
     nodes = local.where("map is not null")
     if nodes.take(1):
-        comp = components(work, links, "comps")
-        part = nodes.join(comp, nodes.root == comp.node, "left").select("cluster", "salt", nodes.root, "map", "least", "most", "over", F.coalesce(comp.root, nodes.root).alias("comp"))
+        # What pivots link, a cluster's rows in one task: some PIVOTS a block, far fewer than its classes.
+        merge = groupwise(_merge), "cluster long, node binary, root binary"
+        links = local.where("role > 0").select("cluster", F.col("cls").alias("a"), F.col("root").alias("b"))
+        merged = work.write(links.groupBy("cluster").applyInArrow(*merge), "merged")
+        top = merged.select("node", F.col("root").alias("top"))
+        part = nodes.join(top, nodes.root == top.node, "left").select("cluster", "salt", "root", "map", "least", "most", "over", F.coalesce("top", "root").alias("comp"))
         # Each draw of nodes meets each other draw, and itself, in a task of its own.
         draws = work.write(nodes.groupBy("cluster").agg(F.ceil(F.count("*") / nodes_a_task).cast("int").alias("draws")), "draws")
         part = part.join(draws, "cluster").withColumn("draw", F.pmod(F.xxhash64("root", "salt"), "draws").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("draws") - 1)))
@@ -369,11 +404,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if pairs.take(1):
             inside = local.where("map is not null or root <> cls").select("cluster", "salt", "cls", "root")
             sets = pairs.join(inside, ["cluster", "salt", "root"]).join(members, ["cluster", "cls"])
-            more = sets.select("cluster", "pair", "side", "root", "n", "tokens").groupBy("cluster", "pair").applyInArrow(groupwise(_compare(share)), "a binary, b binary")
-            links = work.write(links.union(more), "links")
-            comp = components(work, links, "comps-all")
-    else:
-        comp = links.select(F.col("a").alias("node"), F.col("b").alias("root"))  # stars already
+            more = sets.select("cluster", "pair", "side", "root", "n", "tokens").groupBy("cluster", "pair").applyInArrow(groupwise(_compare(share)), "cluster long, a binary, b binary")
+            merged = work.write(merged.toDF("cluster", "a", "b").union(more).groupBy("cluster").applyInArrow(*merge), "merged-all")
+            top = merged.select("node", F.col("root").alias("top"))
+        comp = comp.join(top.withColumnRenamed("node", "old"), F.col("root") == F.col("old"), "left").select("node", F.coalesce("top", "root").alias("root"))
 
     least = work.write(heads.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least")), "classes")
     labelled = least.join(comp, least.cls == comp.node, "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))

@@ -13,7 +13,7 @@ import pyspark.sql.functions as F
 import pytest
 from conftest import sentence
 
-from gristmill.llm import chat, exact_dedup, jaccard, licenses, mixing, neural_lm, oracles, packed_ids, packing, quality, queries, repeats, suffix_sort, tokens
+from gristmill.llm import chat, exact_dedup, jaccard, licenses, mixing, neural_lm, oracles, packed_ids, packing, quality, queries, repeats, shared, suffix_sort, tokens
 from gristmill.llm.signature_tree import SignatureTree
 
 
@@ -231,6 +231,41 @@ def test_jaccard_chain_over_blocks(spark):
     assert got == sorted(brute.components(rows), key=str)
 
 
+@pytest.fixture
+def written(monkeypatch):
+    """Names of the tables that operators write."""
+    names, write = [], shared.Workspace.write
+    monkeypatch.setattr(shared.Workspace, "write", lambda self, df, name, *a: names.append(name) or write(self, df, name, *a))
+    return names
+
+
+def test_blocks_are_joined_without_rounds(spark, written):
+    """Near copies of one text in a cluster that is dealt: only the candidate clusters are found in rounds."""
+    rng, rows = random.Random(4), []
+    for k in range(150):
+        w = [f"w{j}" for j in range(300)]
+        w[rng.randrange(300)] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    got = collected(jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), cluster=40, nodes_a_task=3), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(brute.components(rows), key=str)
+    assert "draws" in written
+    assert {n.split("-")[0] for n in written if "-low-" in n} == {"clusters"}
+
+
+def test_components(spark, written):
+    """A chain, a hub above its leaves, one below them, and copies of edges; stars are seen to be done at the first look."""
+    edges = [(k, k - 1) for k in range(-20, 0)] + [(900, k) for k in range(100, 160)] + [(k, 200) for k in range(201, 260)] + [(5, 5), (8, 7), (7, 8), (8, 7)]
+    work = shared.Workspace(spark, "test")
+    found = jaccard.components(work, spark.createDataFrame(edges, "a long, b long"), "x")
+    want = [(k, -21) for k in range(-20, 0)] + [(k, 100) for k in (*range(101, 160), 900)] + [(k, 200) for k in range(201, 260)] + [(8, 7)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    written.clear()
+    again = jaccard.components(work, found.toDF("a", "b"), "y")
+    assert sorted(map(tuple, again.collect())) == sorted(want)
+    assert written == ["y-0", "y-low-0"]
+    work.drop()
+
+
 def test_jaccard_odd(odd, empty):
     assert jaccard.similar_components(empty).count() == 0
     got = collected(jaccard.similar_components(odd), "doc_id", "n_shingles", "component_id")
