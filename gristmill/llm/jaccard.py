@@ -14,7 +14,8 @@
    and whose bound allows a link, are compared set by set.
 
 A group of copies is one class, and reaches each bucket once a batch. No bucket, cluster or task gathers the
-texts or all sets of a hot group, no candidate pair is written out, and no link is lost.
+texts or all sets of a hot group, and no link is lost. No candidate pair is written out but those of a dealt cluster's
+super nodes that the bound leaves open.
 
 Defined results: a null text, and one without words, has an empty set and links with nothing; a null id takes
 part, but names a component only if all its ids are null, as null; rows repeated with the same id are one
